@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside, to bound the memory of Python workers."""
+    keys = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": size}
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

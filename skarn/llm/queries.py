@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import toxicity
+    from ._common import id_bucket
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_sample(docs, read_table(spark, sf_dir, "labels"), modulus=5, held=0)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    held = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +74,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,

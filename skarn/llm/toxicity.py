@@ -17,8 +17,9 @@ text.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,9 +31,13 @@ from pyspark.sql import functions as F
 
 from ._common import Growing, Slots, char_blocks, id_bucket, mix64
 
-P, SPAN, DECAY, POWER = 4, 6, 0.7, 3
-BUCKETS = 1 << 15
-LANDMARKS, SAMPLE, SAMPLE_CHARS = 192, 6_000, 16_000_000
+P, SPAN, DECAY, POWER = 4, 6, 0.85, 2
+#: Word margins below this are left out of a document's sum.
+FAINT = 1.0
+COST, ODD_COST = 0.2, 30
+BUCKET_BITS = 22
+BUCKETS = 1 << BUCKET_BITS
+LANDMARKS, SAMPLE, SAMPLE_CHARS = 128, 4_000, 9_000_000
 MAX_WORD, CACHE_WORDS = 40, 250_000
 BLOCK_CHARS, BLOCK_ROWS = 1_500_000, 2_000
 SIGNS = re.compile(r"[\W_]+")
@@ -48,48 +53,109 @@ def words_of(text: str) -> list[str]:
     return lowered.split()
 
 
+def anchored(word: str) -> str:
+    """The word's letters between marks for its start and end."""
+    return "^" + SIGNS.sub("", word) + "$"
+
+
+def choose_landmarks(words: list[list[str]], labels: np.ndarray, most: int) -> tuple[list[str], int]:
+    """Words and openings of words: three in four those that tell the classes apart, then common words.
+
+    Of openings of one another with much the same counts, only one is taken, the longest of those
+    that gain most.  Also returns how many tell the classes apart.
+    """
+    seen: dict[str, list[int]] = {}
+    total = np.zeros(4)
+    copies: set[tuple] = set()
+    for ws, y in zip(words, labels, strict=True):
+        # One of each group of copies counts: those share the words of least hash.
+        mark = tuple(min((zlib.crc32(f"{salt}{w}".encode()), w) for w in set(ws))[1] for salt in "abcd") if ws else ()
+        if copies & (pairs := set(combinations(enumerate(mark), 2))):
+            continue
+        copies |= pairs
+        # By label and half: what one half finds must hold in the other.
+        k = 2 * int(y) + zlib.crc32(" ".join(ws).encode()) % 2
+        total[k] += 1
+        found = {w for w in map(anchored, ws) if 4 < len(w) <= MAX_WORD}
+        for w in found | {w[:n] for w in found for n in range(5, min(9, len(w)))}:
+            seen.setdefault(w, [0, 0, 0, 0])[k] += 1
+    names = [w for w, n in seen.items() if sum(n) >= 3]
+    counts = np.array([seen[w] for w in names], float).reshape(-1, 4)
+    share = (counts + 0.5) / (total + 1)
+    ratio = share[:, 2:] / share[:, :2]
+    gain = counts[:, 2:] * np.log(ratio)
+    told = (ratio > 8) & (gain > math.log(len(names) + 1) + 3)
+    told = told & ((ratio > 8) & (counts[:, 2:] > 2))[:, ::-1]
+    gain = np.where(told.any(1), gain.sum(1), 0)
+    clean, toxic = counts[:, :2].sum(1), counts[:, 2:].sum(1)
+    chosen: list[str] = []
+    for i in sorted(np.flatnonzero(gain > 0), key=lambda i: (-gain[i], -len(names[i]), names[i])):
+        w = names[i]
+        if not any((w.startswith(c) or c.startswith(w)) for c in chosen):
+            chosen.append(w)
+            if len(chosen) == most * 3 // 4:
+                break
+    n, taken = len(chosen), set(chosen)
+    common = sorted((i for i, w in enumerate(names) if w.endswith("$") and w not in taken), key=lambda i: (-clean[i] - toxic[i], names[i]))
+    return chosen + [names[i] for i in common[: most - n]], n
+
+
+def variants(word: str) -> list[str]:
+    """The word with one sign or letter put in at each inner place, and with one letter doubled."""
+    inner = range(2, len(word) - 1)
+    return [word[:k] + "xeoq"[k % 4] + word[k:] for k in inner] + [word[:k] + word[k - 1] + word[k:] for k in inner]
+
+
 class Kernel:
-    """Explicit subsequence features of many words at once: rows of (word, feature, value)."""
-
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors; words of over MAX_WORD letters are cut into overlapping windows, summed."""
-        bare = ["^" + SIGNS.sub("", w) + "$" for w in words]
-        owner, pieces = [], []
-        for k, w in enumerate(bare):
-            for lo in range(0, max(1, len(w) - SPAN), MAX_WORD):
-                owner.append(k)
-                pieces.append(w[lo : lo + MAX_WORD + SPAN])
-        width = max(map(len, pieces), default=0) + SPAN
-        codes = np.zeros((len(pieces), width), np.uint64)
-        lengths = np.array([len(w) for w in pieces])
-        flat = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        codes[np.arange(width) < lengths[:, None]] = flat
-        n = width - SPAN + 1
-        rows, feats, values = [], [], []
-        number = np.array(owner)
+    """Explicit subsequence features of many words at once."""
+
+    def features(self, bare: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, feature, value) by string and feature; the values of each string make a unit vector."""
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+        codes = np.frombuffer("".join(bare).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(bare)), sizes)
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        keys = []
         with np.errstate(over="ignore"):
-            for shape in SHAPES:
-                h, live = np.full((len(pieces), n), 7, np.uint64), np.ones((len(pieces), n), bool)
-                for k in shape:
-                    part = codes[:, k : k + n]
-                    h, live = h * np.uint64(0x100000001B3) + part, live & (part > 0)
-                i, j = np.nonzero(live)
-                rows.append(number[i])
-                feats.append((mix64(h[i, j]) % np.uint64(BUCKETS)).astype(np.int64))
-                values.append(np.full(len(i), DECAY ** (shape[-1] + 1)))
-        key = np.concatenate(rows) * BUCKETS + np.concatenate(feats)
-        key, at = np.unique(key, return_inverse=True)
-        value = np.bincount(at, np.concatenate(values), len(key))
+            for span in range(P, SPAN + 1):
+                at = np.flatnonzero(room >= span)
+                of = owner[at].astype(np.uint64) * np.uint64(BUCKETS)
+                for shape in (x for x in SHAPES if x[-1] == span - 1):
+                    h = codes[at]
+                    for k in shape[1:]:
+                        h = h * np.uint64(0x9E3779B1) + codes[at + k]
+                    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+                    keys.append(((of + h) << np.uint64(2)) | np.uint64(span - P))
+        key = np.sort(np.concatenate(keys).view(np.int64))
+        if not len(key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        one = DECAY ** np.arange(P, SPAN + 1)
+        start = np.flatnonzero(np.r_[True, (key[1:] >> 2) != (key[:-1] >> 2)])
+        value = np.add.reduceat(one[key & 3], start)
+        key = key[start] >> 2
         row = key // BUCKETS
-        norm = np.sqrt(np.bincount(row, value * value, len(words)))
+        norm = np.sqrt(np.bincount(row, value * value, len(bare)))
         return row, key % BUCKETS, value / norm[row]
 
-    def against(self, words: list[str], landmarks: np.ndarray) -> np.ndarray:
-        """Kernel of each word and each landmark, to the POWER; `landmarks` is features x landmarks."""
-        out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-        for lo in range(0, len(words), 2_000):
-            some = words[lo : lo + 2_000]
-            row, feat, value = self.features(some)
+    def table(self, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The landmarks' features, as the row of each feature (0: in no landmark) and the rows."""
+        row, feat, value = self.features(landmarks)
+        used, at = np.unique(feat, return_inverse=True)
+        rows = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+        rows[at + 1, row] = value
+        place = np.zeros(BUCKETS, np.int32)
+        place[used] = np.arange(1, len(used) + 1)
+        return place, rows
+
+    def against(self, bare: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Kernel of each string and each landmark of a table, to the POWER."""
+        place, landmarks = table
+        out = np.zeros((len(bare), landmarks.shape[1]), np.float32)
+        for lo in range(0, len(bare), 2_000):
+            row, feat, value = self.features(bare[lo : lo + 2_000])
+            at = place[feat]
+            some = at > 0
+            row, feat, value = row[some], at[some], value[some]
             if len(row):
                 start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 out[lo + row[start]] = np.add.reduceat(landmarks[feat] * value[:, None].astype(np.float32), start)
@@ -98,7 +164,7 @@ class Kernel:
 
 @dataclass
 class Model:
-    landmarks: np.ndarray
+    landmarks: list[str]
     word_weights: np.ndarray
     calibration: np.ndarray
 
@@ -108,6 +174,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.kernel = model, Kernel()
+        self.table = self.kernel.table(model.landmarks)
         self.reset()
 
     def reset(self) -> None:
@@ -121,7 +188,7 @@ class Scorer:
         at = np.fromiter((self.slots[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
         if fresh := self.slots.fresh:
             self.slots.fresh = []
-            self.margin.extend(self.kernel.against(fresh, self.model.landmarks) @ self.model.word_weights)
+            self.margin.extend(self.kernel.against([anchored(w) for w in fresh], self.table) @ self.model.word_weights)
             self.ends.extend(np.array([w[-1] in ".!?" for w in fresh]))
         sizes = np.array([len(w) for w in words])
         return document_inputs(self.margin.data[at], self.ends.data[at], sizes)
@@ -132,23 +199,24 @@ class Scorer:
 
 
 def document_inputs(margins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """From word margins: the best sentence, the sum of telling words, and their density."""
+    """From word margins: the best sentence, and the sum and density of telling words against length."""
     n = len(sizes)
-    out = np.zeros((n, 4))
+    out = np.zeros((n, 5))
     if len(margins):
         owner = np.repeat(np.arange(n), sizes)
-        cut = np.r_[True, ends[:-1] | (owner[1:] != owner[:-1])]
-        start = np.flatnonzero(cut)
+        start = np.flatnonzero(np.r_[True, ends[:-1] | (owner[1:] != owner[:-1])])
         sums = np.add.reduceat(margins.astype(float), start)
         best = np.full(n, -np.inf)
         np.maximum.at(best, owner[start], sums)
         full = sizes > 0
-        telling = np.bincount(owner, np.maximum(margins, 0), n)
-        strong = np.bincount(owner, margins > 0.5, n)
-        out[full, 0] = np.clip(best[full], -3, 3)
-        out[full, 1] = np.log1p(telling[full])
-        out[full, 2] = np.sqrt(telling[full] / sizes[full])
-        out[full, 3] = np.sqrt(strong[full] / sizes[full])
+        telling = np.bincount(owner, np.clip(margins - FAINT, 0, FAINT), n)
+        most = np.full(n, -np.inf)
+        np.maximum.at(most, owner, margins)
+        out[full, 0] = np.clip(best[full], 0, 2 * FAINT)
+        out[full, 1] = np.clip(most[full], 0, 2 * FAINT)
+        out[full, 2] = np.log1p(telling[full])
+        out[full, 3] = np.sqrt(telling[full] / sizes[full])
+        out[full, 4] = np.log(sizes[full])
     return out
 
 
@@ -185,37 +253,23 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray
     return w
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS) -> Model:
-    """Train on whole texts with 0/1 labels.  Without both labels the score is the label's share."""
+def fit(texts: list[str], labels: np.ndarray, share: float | None = None, landmarks: int = LANDMARKS) -> Model:
+    """Train on whole texts with 0/1 labels, of which a share (theirs, unless given) are 1 elsewhere.  Without both labels the score is the label's share."""
     labels = np.asarray(labels, int)
     words = [words_of(t) for t in texts]
     if not 0 < labels.sum() < len(labels):
         share = np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3)
-        return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.r_[np.zeros(4), np.log(share / (1 - share))])
+        return Model(["^$"], np.zeros(1), np.r_[np.zeros(5), np.log(share / (1 - share))])
     kernel = Kernel()
-    # Landmarks: the words that tell the classes apart most, half; the commonest others, half.
-    seen = [Counter(), Counter()]
-    for ws, y in zip(words, labels, strict=True):
-        seen[y].update({SIGNS.sub("", w) for w in ws})
-    total = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    vocab = [w for w, n in (seen[0] + seen[1]).items() if n >= 3 and 2 < len(w) <= MAX_WORD]
-    toxic, clean = (np.array([c[w] for w in vocab], float) for c in (seen[1], seen[0]))
-    p, q = (toxic + 0.5) / (total[1] + 1), (clean + 0.5) / (total[0] + 1)
-    gain = np.where(p > q, toxic * np.log(p / q), -np.inf)
-    telling = [vocab[i] for i in np.argsort(-gain, kind="stable")[: landmarks * 3 // 4] if gain[i] > 0]
-    taken = set(telling)
-    common = [vocab[i] for i in np.argsort(-(toxic + clean), kind="stable") if vocab[i] not in taken]
-    chosen = (telling + common)[:landmarks]
-    row, feat, value = kernel.features(chosen)
-    table = np.zeros((BUCKETS, len(chosen)), np.float32)
-    table[feat, row] = value
+    chosen, telling = choose_landmarks(words, labels, landmarks)
+    table = kernel.table(chosen)
     gram = kernel.against(chosen, table).astype(float)
     spectrum, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors * np.where(spectrum > 1e-3 * spectrum.max(), np.maximum(spectrum, 1e-12) ** -0.5, 0)
     # Sentences as sums of their words' Nystroem features.
     slots = Slots()
     at = np.fromiter((slots[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-    mapped = (kernel.against(list(slots), table) @ root).astype(np.float32)
+    mapped = (kernel.against([anchored(w) for w in slots], table) @ root).astype(np.float32)
     ends = np.array([w[-1] in ".!?" for w in slots], bool)
     sizes = np.array([len(w) for w in words])
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -227,42 +281,59 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS) -> Mod
     if len(clean_rows) > 40_000:
         clean_rows = clean_rows[np.argsort(mix64(clean_rows.astype(np.uint64)))[:40_000]]
     chosen_bad, w = np.flatnonzero(bad), None
-    for _ in range(6):
+    # Telling words with something put in are sentences of their own, in the last rounds.
+    odd = [v for c in chosen[:telling] if len(c) > 6 and c.endswith("$") for v in variants(c)]
+    odd_rows = (kernel.against(odd, table) @ root).astype(np.float32) if odd else mapped[:0]
+    for turn in range(6):
         rows = np.r_[clean_rows, chosen_bad]
-        y = np.where(labels[of[rows]] == 1, 1.0, -1.0)
-        cost = np.where(y > 0, 0.5 * len(rows) / max(1, (y > 0).sum()), 0.5 * len(rows) / max(1, (y < 0).sum())) * 1e-2
-        w = squared_hinge(sentences[rows].astype(float), y, cost, w)
+        more = odd_rows if turn > 2 else odd_rows[:0]
+        y = np.r_[np.where(labels[of[rows]] == 1, 1.0, -1.0), np.ones(len(more))]
+        cost = np.where(y > 0, 0.5 * len(y) / max(1, (y > 0).sum()), 0.5 * len(y) / max(1, (y < 0).sum())) * COST
+        cost[len(rows) :] *= ODD_COST
+        w = squared_hinge(np.r_[sentences[rows], more].astype(float), y, cost, w)
         margin = sentences @ w[:-1] + w[-1]
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, of, margin)
         chosen_bad = np.flatnonzero(bad & ((margin >= best[of]) | (margin > 0)))
     word_weights = (root @ w[:-1]).astype(np.float32)
     x = document_inputs((mapped @ w[:-1])[at], ends[at], sizes)
-    return Model(table, word_weights, logistic(x, labels))
+    share = labels.mean() if share is None else share
+    weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
+    return Model(chosen, word_weights, logistic(x, labels, weight=weight))
+
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[pd.DataFrame, float]:
+    """(text, y) of at most most / 2 rows of each label, by least hash of id, and the share of 1.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> pd.DataFrame:
-    """At most `most` labelled rows, those of the least hashes; ids with differing labels are left out."""
+    Labels count once an id; ids with differing labels, and labels other than 0 and 1, are left out.
+    """
     agreed = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min(label).alias("y"), F.max(label).alias("_y"))
         .where("y = _y")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .select(F.col("doc_id").alias("_label_id"), "y")
+        .select(F.col("doc_id").cast("long").alias("_label_id"), F.col("y").cast("int").alias("y"))
     )
-    return docs.join(agreed, F.col("doc_id") == F.col("_label_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    rows = docs.select("doc_id", "text").join(agreed, F.col("doc_id") == F.col("_label_id"))
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    least = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most // 2) for y in (0, 1)]
+    found = pd.concat([x.select("text", "y").toPandas() for x in least], ignore_index=True)
+    return found, counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Of each label, the first rows of together at most most / 2 characters, but one at least."""
+    sizes = rows["text"].fillna("").str.len().groupby(rows["y"]).cumsum()
+    return rows[(sizes <= most // 2) | ~rows["y"].duplicated()]
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Model:
     """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
-    plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = labels.where(id_bucket("doc_id", modulus) != held)
-    rows = labelled_sample(plain, train, "toxic", most).select("text", "y").toPandas()
-    texts = rows["text"].fillna("").tolist()
-    size = np.cumsum([len(t) for t in texts])
-    n = max(1, int(np.searchsorted(size, SAMPLE_CHARS))) if len(texts) else 0
-    return fit(texts[:n], rows["y"].to_numpy(int)[:n])
+    rows, share = labelled_sample(plain, train, "toxic", most)
+    rows = within_chars(rows, SAMPLE_CHARS)
+    return fit(rows["text"].fillna("").tolist(), rows["y"].to_numpy(int), share)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
