@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Growing, Slots, char_blocks, id_bucket, mix64
+from ._common import Growing, Slots, id_bucket, mix64
+from ._scoring import labelled_sample, scored
 
 P, SPAN, DECAY, POWER = 4, 6, 0.85, 2
 #: Word margins below this are left out of a document's sum.
@@ -39,7 +39,6 @@ BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 LANDMARKS, SAMPLE, SAMPLE_CHARS = 128, 4_000, 9_000_000
 MAX_WORD, CACHE_WORDS = 40, 250_000
-BLOCK_CHARS, BLOCK_ROWS = 1_500_000, 2_000
 SIGNS = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][\W_]{0,2}\s){2,}[^\W_](?=[\W_]{0,2}(?:\s|$))")
 SHAPES = [(0, *c) for c in combinations(range(1, SPAN), P - 1)]
@@ -84,9 +83,11 @@ def choose_landmarks(words: list[list[str]], labels: np.ndarray, most: int) -> t
     share = (counts + 0.5) / (total + 1)
     ratio = share[:, 2:] / share[:, :2]
     gain = counts[:, 2:] * np.log(ratio)
-    told = (ratio > 8) & (gain > math.log(len(names) + 1) + 3)
+    chance = math.log(len(names) + 1)  # what the best of so many would gain by chance
+    told = (ratio > 8) & (gain > chance + 3)
     told = told & ((ratio > 8) & (counts[:, 2:] > 2))[:, ::-1]
-    gain = np.where(told.any(1), gain.sum(1), 0)
+    sure = (ratio > 4).all(1) & (gain.sum(1) > 3 * chance)
+    gain = np.where(told.any(1) | sure, gain.sum(1), 0)
     clean, toxic = counts[:, :2].sum(1), counts[:, 2:].sum(1)
     chosen: list[str] = []
     for i in sorted(np.flatnonzero(gain > 0), key=lambda i: (-gain[i], -len(names[i]), names[i])):
@@ -302,25 +303,6 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, landma
     return Model(chosen, word_weights, logistic(x, labels, weight=weight))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[pd.DataFrame, float]:
-    """(text, y) of at most most / 2 rows of each label, by least hash of id, and the share of 1.
-
-    Labels count once an id; ids with differing labels, and labels other than 0 and 1, are left out.
-    """
-    agreed = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-        .groupBy("doc_id")
-        .agg(F.min(label).alias("y"), F.max(label).alias("_y"))
-        .where("y = _y")
-        .select(F.col("doc_id").cast("long").alias("_label_id"), F.col("y").cast("int").alias("y"))
-    )
-    rows = docs.select("doc_id", "text").join(agreed, F.col("doc_id") == F.col("_label_id"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    least = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most // 2) for y in (0, 1)]
-    found = pd.concat([x.select("text", "y").toPandas() for x in least], ignore_index=True)
-    return found, counts.get(1, 0) / max(1, sum(counts.values()))
-
-
 def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """Of each label, the first rows of together at most most / 2 characters, but one at least."""
     sizes = rows["text"].fillna("").str.len().groupby(rows["y"]).cumsum()
@@ -329,28 +311,13 @@ def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Model:
     """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = labels.where(id_bucket("doc_id", modulus) != held)
-    rows, share = labelled_sample(plain, train, "toxic", most)
-    rows = within_chars(rows, SAMPLE_CHARS)
-    return fit(rows["text"].fillna("").tolist(), rows["y"].to_numpy(int), share)
+    rows, share = labelled_sample(docs, train, "toxic", most, balanced=True)
+    found = within_chars(rows.select("text", "y").toPandas(), SAMPLE_CHARS)
+    return fit(found["text"].fillna("").tolist(), found["y"].to_numpy(int), share)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with a `score` for each whole text; null and empty texts get the score of no words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda: Scorer(sent.value).score)
-
-
-def scored(docs: DataFrame, make) -> DataFrame:
-    """`docs` with `score` (replacing any such column) from a function of lists of texts."""
-
-    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = make()
-        for part in parts:
-            texts = part.fillna("").tolist()
-            found = [score(texts[a:b]) for a, b in char_blocks(map(len, texts), BLOCK_CHARS, BLOCK_ROWS)]
-            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
-
-    batches.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(batches, "double")(F.col("text").cast("string")))
