@@ -33,6 +33,39 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import document_licenses, fit_on_corpus, scan_licenses
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return document_licenses(docs, scan_licenses(docs, fit_on_corpus(docs)))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(own)))
+
+
+OP4_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, '(\\\\|<(?:\\||/?s>|/?unk>|/?pad>|<SYS>>|</SYS>>)|\\[/?INST\\])', '\\1#', 'g') AS longer FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(longer) + length(role) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,6 +149,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_license_scan": op3_license_scan,
+    "op4_chat_format": op4_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
@@ -123,4 +158,4 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op10_nearest": op10_nearest,
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_top_k": OP8_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op6_line_dedup": OP6_SQL}
