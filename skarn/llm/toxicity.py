@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -34,10 +35,12 @@ from ._scoring import labelled_sample, scored
 P, SPAN, DECAY, POWER = 4, 6, 0.85, 2
 #: Word margins below this are left out of a document's sum.
 FAINT = 1.0
+#: Each word is divided by its norm to this power; at 1, long words with an insult in front would fade.
+SCALED = 0.6
 COST, ODD_COST = 0.2, 30
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
-LANDMARKS, SAMPLE, SAMPLE_CHARS = 128, 4_000, 9_000_000
+LANDMARKS, SAMPLE, SAMPLE_CHARS, CLEAN_SENTENCES = 96, 4_000, 6_000_000, 80_000
 MAX_WORD, CACHE_WORDS = 40, 250_000
 SIGNS = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][\W_]{0,2}\s){2,}[^\W_](?=[\W_]{0,2}(?:\s|$))")
@@ -57,38 +60,76 @@ def anchored(word: str) -> str:
     return "^" + SIGNS.sub("", word) + "$"
 
 
-def choose_landmarks(words: list[list[str]], labels: np.ndarray, most: int) -> tuple[list[str], int]:
-    """Words and openings of words: three in four those that tell the classes apart, then common words.
+def openings(names: set[str]) -> set[str]:
+    """Words between marks, and their openings of five to eight characters."""
+    found = {w for w in map(anchored, names) if 4 < len(w) <= MAX_WORD}
+    return found | {w[:n] for w in found for n in range(5, min(9, len(w)))}
 
-    Of openings of one another with much the same counts, only one is taken, the longest of those
-    that gain most.  Also returns how many tell the classes apart.
+
+def copy_marks(ids: np.ndarray) -> tuple:
+    """Four min-hashes of three-word runs: copies share most of them."""
+    x = np.pad(ids, (0, max(0, 3 - len(ids))), constant_values=-1).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        runs = mix64(mix64(mix64(x[:-2]) + x[1:-1]) + x[2:])
+    return tuple(int(mix64(runs ^ np.uint64(salt)).min()) for salt in (11, 22, 33, 44))
+
+
+def word_pairs(ids: np.ndarray, vocab: list[str]) -> list[tuple[str, str]]:
+    """Distinct (last word, word) of a document; the first word follows an empty one."""
+    pairs = np.unique(np.r_[-1, ids[:-1]].astype(np.int64) * len(vocab) + ids) if len(ids) else []
+    return [("" if p < 0 else vocab[p // len(vocab)], vocab[p % len(vocab)]) for p in pairs]
+
+
+def choose_landmarks(docs: list[list[tuple[str, str]]], marks: list[tuple], halves: list[int], labels: np.ndarray, most: int) -> tuple[list[str], int]:
+    """Words and openings of words: three in four those that tell the classes apart, then as many
+    common words.
+
+    `docs` has each document's distinct (last word, word).  A toxic document counts for a word only
+    behind a last word that has not counted yet, so a passage that many share counts once.  What
+    tells the classes apart in one half of the documents must hold in the other.  Of openings
+    of one another with much the same counts, only one is taken, the longest of those that gain
+    most.  Also returns how many tell the classes apart.
     """
-    seen: dict[str, list[int]] = {}
     total = np.zeros(4)
     copies: set[tuple] = set()
-    for ws, y in zip(words, labels, strict=True):
-        # One of each group of copies counts: those share the words of least hash.
-        mark = tuple(min((zlib.crc32(f"{salt}{w}".encode()), w) for w in set(ws))[1] for salt in "abcd") if ws else ()
-        if copies & (pairs := set(combinations(enumerate(mark), 2))):
-            continue
-        copies |= pairs
-        # By label and half: what one half finds must hold in the other.
-        k = 2 * int(y) + zlib.crc32(" ".join(ws).encode()) % 2
-        total[k] += 1
-        found = {w for w in map(anchored, ws) if 4 < len(w) <= MAX_WORD}
-        for w in found | {w[:n] for w in found for n in range(5, min(9, len(w)))}:
-            seen.setdefault(w, [0, 0, 0, 0])[k] += 1
-    names = [w for w, n in seen.items() if sum(n) >= 3]
-    counts = np.array([seen[w] for w in names], float).reshape(-1, 4)
+    groups: list[int] = []
+    for mark, y, half in zip(marks, labels, halves, strict=True):
+        pairs = set(combinations(enumerate(mark), 2))  # one of each group of copies counts
+        groups.append(-1 if copies & pairs else 2 * int(y) + half)
+        if groups[-1] >= 0:
+            copies |= pairs
+            total[groups[-1]] += 1
+    toxic: Counter = Counter()
+    for names, k in zip(docs, groups, strict=True):
+        if k >= 2:
+            toxic.update(openings({w for _, w in names}))
+    chance = math.log(len(toxic) + 1)  # what the best of so many would gain by chance
+    slots = {w: i for i, w in enumerate(sorted(w for w, n in toxic.items() if n >= 3))}
+    counts = np.zeros((len(slots), 4))
+    contexts: set[tuple[int, str]] = set()
+    for names, k in zip(docs, groups, strict=True):
+        if k >= 2:
+            by_word: dict[str, set[str]] = {}
+            for last, word in names:
+                by_word.setdefault(word, set()).add(last)
+            new: set[int] = set()
+            for word, before in by_word.items():
+                for slot in (slots[w] for w in openings({word}) if w in slots):
+                    fresh = {(slot, b) for b in before} - contexts
+                    contexts |= fresh
+                    if fresh:
+                        new.add(slot)
+            counts[list(new), k] += 1
+        elif k >= 0:
+            counts[[slots[w] for w in openings({w for _, w in names}) if w in slots], k] += 1
+    names = list(slots)
     share = (counts + 0.5) / (total + 1)
     ratio = share[:, 2:] / share[:, :2]
     gain = counts[:, 2:] * np.log(ratio)
-    chance = math.log(len(names) + 1)  # what the best of so many would gain by chance
     told = (ratio > 8) & (gain > chance + 3)
-    told = told & ((ratio > 8) & (counts[:, 2:] > 2))[:, ::-1]
+    told = told & ((ratio > 8) & (counts[:, 2:] > 4))[:, ::-1]
     sure = (ratio > 4).all(1) & (gain.sum(1) > 3 * chance)
-    gain = np.where(told.any(1) | sure, gain.sum(1), 0)
-    clean, toxic = counts[:, :2].sum(1), counts[:, 2:].sum(1)
+    gain = np.where(told.any(1) & (gain.sum(1) > 2.5 * chance) | sure, gain.sum(1), 0)
     chosen: list[str] = []
     for i in sorted(np.flatnonzero(gain > 0), key=lambda i: (-gain[i], -len(names[i]), names[i])):
         w = names[i]
@@ -97,8 +138,8 @@ def choose_landmarks(words: list[list[str]], labels: np.ndarray, most: int) -> t
             if len(chosen) == most * 3 // 4:
                 break
     n, taken = len(chosen), set(chosen)
-    common = sorted((i for i, w in enumerate(names) if w.endswith("$") and w not in taken), key=lambda i: (-clean[i] - toxic[i], names[i]))
-    return chosen + [names[i] for i in common[: most - n]], n
+    common = sorted((i for i, w in enumerate(names) if w.endswith("$") and w not in taken), key=lambda i: (-counts[i].sum(), names[i]))
+    return chosen + [names[i] for i in common[: min(most - n, max(8, n))]], n
 
 
 def variants(word: str) -> list[str]:
@@ -136,7 +177,7 @@ class Kernel:
         key = key[start] >> 2
         row = key // BUCKETS
         norm = np.sqrt(np.bincount(row, value * value, len(bare)))
-        return row, key % BUCKETS, value / norm[row]
+        return row, key % BUCKETS, value / norm[row] ** SCALED
 
     def table(self, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The landmarks' features, as the row of each feature (0: in no landmark) and the rows."""
@@ -238,15 +279,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, weight: np.ndarr
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """Newton's method for a linear SVM; y is -1 or 1, the last number is the bias."""
-    a = np.c_[x, np.ones(len(x))]
-    w = np.zeros(a.shape[1]) if w is None else w
-    keep = np.eye(len(w))
-    keep[-1, -1] = 1e-3
+    w = np.zeros(x.shape[1] + 1) if w is None else w
+    keep = np.ones(len(w))
+    keep[-1] = 1e-3
     for _ in range(30):
-        slack = 1 - y * (a @ w)
-        on = slack > 0
-        grad = keep @ w - 2 * a[on].T @ (cost[on] * y[on] * slack[on])
-        hess = keep + 2 * (a[on] * cost[on][:, None]).T @ a[on]
+        slack = 1 - y * (x @ w[:-1] + w[-1])
+        grad, hess = keep * w, np.diag(keep)
+        for lo in range(0, len(x), 4_096):  # in parts, to bound memory
+            on = lo + np.flatnonzero(slack[lo : lo + 4_096] > 0)
+            a = np.c_[x[on], np.ones(len(on))].astype(float)
+            grad = grad - 2 * a.T @ (cost[on] * y[on] * slack[on])
+            hess = hess + 2 * (a * cost[on][:, None]).T @ a
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-5:
@@ -257,31 +300,35 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray
 def fit(texts: list[str], labels: np.ndarray, share: float | None = None, landmarks: int = LANDMARKS) -> Model:
     """Train on whole texts with 0/1 labels, of which a share (theirs, unless given) are 1 elsewhere.  Without both labels the score is the label's share."""
     labels = np.asarray(labels, int)
-    words = [words_of(t) for t in texts]
     if not 0 < labels.sum() < len(labels):
         share = np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3)
         return Model(["^$"], np.zeros(1), np.r_[np.zeros(5), np.log(share / (1 - share))])
-    kernel = Kernel()
-    chosen, telling = choose_landmarks(words, labels, landmarks)
+    kernel, slots = Kernel(), Slots()
+    coded = [np.fromiter((slots[w] for w in words_of(t)), np.int32, -1) for t in texts]
+    vocab = list(slots)
+    halves = [zlib.crc32(t.encode()) % 2 for t in texts]
+    chosen, telling = choose_landmarks([word_pairs(x, vocab) for x in coded], [copy_marks(x) for x in coded], halves, labels, landmarks)
     table = kernel.table(chosen)
     gram = kernel.against(chosen, table).astype(float)
     spectrum, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors * np.where(spectrum > 1e-3 * spectrum.max(), np.maximum(spectrum, 1e-12) ** -0.5, 0)
     # Sentences as sums of their words' Nystroem features.
-    slots = Slots()
-    at = np.fromiter((slots[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-    mapped = (kernel.against([anchored(w) for w in slots], table) @ root).astype(np.float32)
-    ends = np.array([w[-1] in ".!?" for w in slots], bool)
-    sizes = np.array([len(w) for w in words])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    start = np.flatnonzero(np.r_[True, ends[at[:-1]] | (owner[1:] != owner[:-1])])
-    sentences = np.add.reduceat(mapped[at], start) if len(at) else mapped[:0]
-    of = owner[start]
+    mapped = np.concatenate([kernel.against([anchored(w) for w in vocab[k : k + 20_000]], table) @ root.astype(np.float32) for k in range(0, len(vocab), 20_000)])
+    ends = np.array([w[-1] in ".!?" for w in vocab], bool)
+    sentences, of = [], []
+    for k, x in enumerate(coded):
+        if len(x):
+            start = np.flatnonzero(np.r_[True, ends[x[:-1]]])
+            sentences.append(np.add.reduceat(mapped[x], start))
+            of.append(np.full(len(start), k))
+    sentences, of = np.concatenate(sentences), np.concatenate(of)
     bad = labels[of] == 1
     clean_rows = np.flatnonzero(~bad)
-    if len(clean_rows) > 40_000:
-        clean_rows = clean_rows[np.argsort(mix64(clean_rows.astype(np.uint64)))[:40_000]]
+    if len(clean_rows) > CLEAN_SENTENCES:
+        clean_rows = clean_rows[np.argsort(mix64(clean_rows.astype(np.uint64)))[:CLEAN_SENTENCES]]
     chosen_bad, w = np.flatnonzero(bad), None
+    if len(chosen_bad) > CLEAN_SENTENCES:
+        chosen_bad = chosen_bad[np.argsort(mix64(chosen_bad.astype(np.uint64)))[:CLEAN_SENTENCES]]
     # Telling words with something put in are sentences of their own, in the last rounds.
     odd = [v for c in chosen[:telling] if len(c) > 6 and c.endswith("$") for v in variants(c)]
     odd_rows = (kernel.against(odd, table) @ root).astype(np.float32) if odd else mapped[:0]
@@ -291,12 +338,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, landma
         y = np.r_[np.where(labels[of[rows]] == 1, 1.0, -1.0), np.ones(len(more))]
         cost = np.where(y > 0, 0.5 * len(y) / max(1, (y > 0).sum()), 0.5 * len(y) / max(1, (y < 0).sum())) * COST
         cost[len(rows) :] *= ODD_COST
-        w = squared_hinge(np.r_[sentences[rows], more].astype(float), y, cost, w)
+        w = squared_hinge(np.concatenate([sentences[rows], more]), y, cost, w)
         margin = sentences @ w[:-1] + w[-1]
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, of, margin)
         chosen_bad = np.flatnonzero(bad & ((margin >= best[of]) | (margin > 0)))
     word_weights = (root @ w[:-1]).astype(np.float32)
+    at, sizes = np.concatenate(coded), np.array([len(x) for x in coded])
     x = document_inputs((mapped @ w[:-1])[at], ends[at], sizes)
     share = labels.mean() if share is None else share
     weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
@@ -313,7 +361,7 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, m
     """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
     train = labels.where(id_bucket("doc_id", modulus) != held)
     rows, share = labelled_sample(docs, train, "toxic", most, balanced=True)
-    found = within_chars(rows.select("text", "y").toPandas(), SAMPLE_CHARS)
+    found = within_chars(rows.toPandas().sort_values("doc_id"), SAMPLE_CHARS)
     return fit(found["text"].fillna("").tolist(), found["y"].to_numpy(int), share)
 
 
