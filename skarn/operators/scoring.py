@@ -1,0 +1,83 @@
+"""Scores, lifecycles and budgets: return on memory, packing, quality, pricing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Days to live by type, and the types that are never archived.
+TTL = {"note": 60, "error_pattern": 90, "bugfix": 90, "decision": 120, "reference": 180, "project": 90, "user": 365, "feedback": 365}
+IMMUNE = ["guardrail", "convention", "warning"]
+DEFAULT_TTL = 90
+
+
+def age_days(as_of: str, created: Column) -> Column:
+    return F.datediff(F.lit(as_of).cast("date"), created)
+
+
+def roi(observations: DataFrame, as_of: str) -> DataFrame:
+    """Accesses times importance over age in months (one at least); low below 0.1."""
+    months = F.greatest(F.lit(1.0), age_days(as_of, F.col("created_at")) / 30.0)
+    value = F.round(F.col("access_count") * F.col("importance") / months, 6)
+    return observations.where(~F.col("archived")).select("id", value.alias("roi"), (value < 0.1).alias("low"))
+
+
+def expired(observations: DataFrame, as_of: str) -> DataFrame:
+    """Active observations past their type's days to live, never read and not immune."""
+    ttl = F.coalesce(F.create_map(*[F.lit(x) for kv in TTL.items() for x in kv])[F.col("type")], F.lit(DEFAULT_TTL))
+    old = age_days(as_of, F.col("created_at")) >= ttl
+    return observations.where(~F.col("archived") & (F.col("access_count") == 0) & ~F.col("type").isin(IMMUNE) & old).select("id", "type")
+
+
+def promoted(observations: DataFrame, least: int = 5) -> DataFrame:
+    """Notes become conventions and warnings guardrails once read often enough."""
+    new = F.when(F.col("type") == "note", "convention").when(F.col("type") == "warning", "guardrail")
+    return observations.where(~F.col("archived") & (F.col("access_count") >= least) & F.col("type").isin("note", "warning")).select("id", "type", new.alias("new_type"))
+
+
+def pack_score(candidates: DataFrame, query: str) -> DataFrame:
+    """0.4 relevance + 0.25 / (1 + distance) + 0.2 / (1 + months) + 0.15 accesses of 10 + 0.1 word overlap."""
+    asked = F.array_distinct(F.split(F.lower(F.lit(query)), " "))
+    named = F.array_distinct(F.split(F.lower("name"), " "))
+    overlap = F.size(F.array_intersect(asked, named)) / F.greatest(F.size(F.array_union(asked, named)), F.lit(1))
+    score = (
+        0.4 * F.col("relevance") + 0.25 / (1 + F.col("distance")) + 0.2 / (1 + F.col("age_days") / 30.0)
+        + 0.15 * F.least(F.col("access_count") / 10.0, F.lit(1.0)) + 0.1 * overlap
+    )
+    return candidates.withColumn("score", F.round(score, 6))
+
+
+def pack(scored: DataFrame, budget: int) -> DataFrame:
+    """Greedy packing per query: densest first, each whole item that still fits.
+
+    A fold over each query's sorted items in the JVM; items that do not fit are passed over and
+    later, smaller ones may still go in.  A query's candidates must fit in one row.
+    """
+    density = F.col("score") / F.greatest(F.col("cost"), F.lit(1))
+    items = F.array_sort(F.collect_list(F.struct((-density).alias("d"), "id", "cost")))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+
+    def take(state: Column, item: Column) -> Column:
+        used = state["used"] + item["cost"]
+        more = F.struct(used.cast("long").alias("used"), F.concat(state["ids"], F.array(item["id"])).alias("ids"))
+        return F.when(used <= budget, more).otherwise(state)
+
+    packed = scored.groupBy("query_id").agg(items.alias("items")).withColumn("p", F.aggregate("items", start, take))
+    return packed.select("query_id", F.size("p.ids").alias("n_packed"), F.col("p.used").alias("used"), (F.size("items") - F.size("p.ids")).alias("n_skipped"))
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "S").when(score >= 80, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
+
+
+def quality_signals(events: DataFrame, observations: DataFrame) -> DataFrame:
+    """Error rate, memory use and their steps to scores, with the grade of their mean."""
+    errors = F.when(F.count("*") > 0, F.count_if(F.col("event_type") == "error") / F.count("*"))
+    rate = events.agg(errors.alias("rate"))
+    memory = observations.where(~F.col("archived")).agg(F.count("*").alias("n"), F.coalesce(F.avg("importance"), F.lit(0.0)).alias("mean"))
+    error_score = F.when(F.col("rate").isNull(), 50).when(F.col("rate") < 0.05, 100).when(F.col("rate") < 0.15, 70).when(F.col("rate") < 0.30, 40).otherwise(15)
+    n, mean = F.col("n"), F.col("mean")
+    memory_score = F.when((n >= 50) & (mean >= 0.5), 100).when((n >= 20) & (mean >= 0.4), 75).when(n >= 10, 50).when(n >= 1, 30).otherwise(0)
+    both = rate.join(memory)  # one row each
+    total = (error_score + memory_score) / 2.0
+    return both.select(error_score.alias("error_score"), memory_score.alias("memory_score"), grade(total).alias("grade"))
