@@ -97,11 +97,12 @@ def no_random_access(queries: np.ndarray, candidates: np.ndarray, own: np.ndarra
     n, dim = candidates.shape
     size = max(np.abs(queries).max(initial=1), 1) * max(np.abs(candidates).max(initial=1), 1) * max(1, dim)
     if size >= 2.0**52:
-        whole = candidates.astype(object)
-        for i, q in enumerate(queries.astype(object)):
-            scores = np.clip(whole @ q, -(2**63), 2**63 - 1)
+        whole = [[int(v) for v in row] for row in candidates]
+        for i, q in enumerate([[int(v) for v in row] for row in queries]):
+            sums = [sum(a * b for a, b in zip(q, row, strict=True)) for row in whole]
+            scores = [min(max(s, -(2**63)), 2**63 - 1) for s in sums]
             rows = np.array([r for r in sorted(range(n), key=lambda r: -scores[r]) if r != own[i]][:k], int)
-            yield i, rows, scores[rows].tolist()
+            yield i, rows, np.array([scores[r] for r in rows], np.int64)
         return
     order = np.argsort(candidates, axis=0, kind="stable")
     rank = np.empty_like(order)
@@ -139,6 +140,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -
     vec_id, null last.  Null vectors and those with null or non-finite components take no part.
     Sums beyond 64 bits are held to the nearest 64-bit number.
     """
-    whole = vectors.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
+    finite = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(FINITE)
+    whole = finite.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
     pairs = blocks(whole, every, CANDIDATES, QUERIES, FINITE)
     return search(pairs, lambda x, y, own: no_random_access(x, y, own, k), k, "long").withColumn("rank", F.col("rank").cast("int"))
