@@ -370,3 +370,25 @@ register(
     """WITH t AS (SELECT item_id AS doc_id, lower(text) AS x FROM benchmark), p AS (SELECT doc_id, substr(x, i::INT, 3) AS trigram FROM (SELECT doc_id, x, unnest(range(1, length(x) - 1)) AS i FROM t WHERE length(x) >= 3))
     SELECT doc_id, trigram, count(*) AS n FROM p GROUP BY 1, 2""",
 )
+
+# --- communities, risk, cost and findings
+
+from .operators import community as co  # noqa: E402
+
+register("communities", _graph(lambda n, e: co.propagate(n, e.where("kind <> 'TESTED_BY'"), 3)))
+register("folder_groups", lambda s, d: co.by_folder(a.nodes(s, d), 2), "SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS folder, count(*) AS n FROM nodes GROUP BY 1", a.NODES)
+register("community_names", lambda s, d: co.names(a.nodes(s, d).where("community_id is not null").select(F.col("community_id").alias("community"), "name", "file_path")))
+register(
+    "risk_scores", _graph(sc.risk),
+    f""", calls AS (SELECT target, count(*) AS callers, count(DISTINCT CASE WHEN a <> b THEN a END) AS foreign_c FROM ce WHERE kind = 'CALLS' GROUP BY target),
+    tests AS (SELECT source, count(*) AS tests FROM edges WHERE kind = 'TESTED_BY' GROUP BY source)
+    SELECT qualified_name, round(greatest(0.0, least(1.0, least(0.05::DOUBLE * coalesce(foreign_c, 0), 0.15) + 0.30::DOUBLE - least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) * 0.25::DOUBLE
+      + CASE WHEN regexp_matches(lower(name), '{'|'.join(sc.SECURITY)}') THEN 0.20::DOUBLE ELSE 0.0 END + least(coalesce(callers, 0) / 20.0::DOUBLE, 0.10))), 4) AS risk
+    FROM nodes LEFT JOIN calls ON qualified_name = target LEFT JOIN tests ON qualified_name = source WHERE kind <> 'File'""", *G, COMMUNITY_ENDS,
+)
+register(
+    "token_costs", lambda s, d: sc.token_cost(a.telemetry(s, d).select("event_id", F.concat(F.lit("model-"), F.element_at(F.array(F.lit("opus-4"), F.lit("Sonnet-4"), F.lit("haiku"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))).alias("model"), F.col("before_tokens").alias("tokens_in"), F.col("after_tokens").alias("tokens_out"))).select("event_id", "family", "cost"),
+    """, p AS (SELECT event_id, before_tokens, after_tokens, (['opus', 'sonnet', 'haiku', 'sonnet'])[event_id % 4 + 1] AS family FROM telemetry)
+    SELECT event_id, family, round((before_tokens * CASE family WHEN 'opus' THEN 15.0::DOUBLE WHEN 'sonnet' THEN 3.0 ELSE 0.8 END + after_tokens * CASE family WHEN 'opus' THEN 75.0::DOUBLE WHEN 'sonnet' THEN 15.0 ELSE 4.0 END) / 1e6, 8) AS cost FROM p""", a.TELEMETRY,
+)
+register("waste_findings", lambda s, d: sc.waste(te.busy_sessions(a.session_events(s, d), 0), a.observations(s, d), te.redundant_hashes(a.pipeline_runs(s, d), 3)))

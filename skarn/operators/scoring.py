@@ -81,3 +81,54 @@ def quality_signals(events: DataFrame, observations: DataFrame) -> DataFrame:
     both = rate.join(memory)  # one row each
     total = (error_score + memory_score) / 2.0
     return both.select(error_score.alias("error_score"), memory_score.alias("memory_score"), grade(total).alias("grade"))
+
+
+# US dollars for a million input and output tokens, by model family.
+PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0)}
+SECURITY = "admin auth connect credential crypt decrypt encrypt execute hash http login password permission privilege query request sanitize secret session sign socket sql token validate verify".split()
+
+
+def token_cost(usage: DataFrame) -> DataFrame:
+    """`usage` (model, tokens_in, tokens_out) with the family of longest match and its cost in dollars."""
+    families = sorted(PRICES, key=lambda k: (-len(k), k))
+    family = F.lit("sonnet")
+    for name in reversed(families):
+        family = F.when(F.lower("model").contains(name), name).otherwise(family)
+    price = F.create_map(*[x for k, v in PRICES.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])[family]
+    cost = (F.col("tokens_in") * price[0] + F.col("tokens_out") * price[1]) / 1e6
+    return usage.withColumns({"family": family, "cost": F.round(cost, 8)})
+
+
+def risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Risk of changing each node: foreign callers, missing tests, security words and callers.
+
+    0.05 a distinct foreign community of callers (0.15 at most), 0.30 down to 0.05 with five tests,
+    0.20 for a security word in the name, and a twentieth of the calls up to 0.10; 4 places.
+    """
+    c = nodes.select("qualified_name", "community_id")
+    calls = edges.where(F.col("kind") == "CALLS").join(c.select(F.col("qualified_name").alias("source"), F.col("community_id").alias("from_c")), "source", "left")
+    calls = calls.join(c.select(F.col("qualified_name").alias("target"), F.col("community_id").alias("own")), "target", "left")
+    per = calls.groupBy("target").agg(F.count("*").alias("callers"), F.count_distinct(F.when(F.col("from_c") != F.col("own"), F.col("from_c"))).alias("foreign"))
+    tests = edges.where(F.col("kind") == "TESTED_BY").groupBy("source").agg(F.count("*").alias("tests"))
+    n = nodes.where(F.col("kind") != "File").join(per, F.col("qualified_name") == F.col("target"), "left").join(tests, F.col("qualified_name") == F.col("source"), "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    score = (
+        F.least(0.05 * zero("foreign"), F.lit(0.15)) + 0.30 - F.least(zero("tests") / 5.0, F.lit(1.0)) * 0.25
+        + F.when(F.lower("name").rlike("|".join(SECURITY)), 0.20).otherwise(0.0) + F.least(zero("callers") / 20.0, F.lit(0.10))
+    )
+    return n.select("qualified_name", F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4).alias("risk"))
+
+
+def waste(sessions: DataFrame, observations: DataFrame, redundant: DataFrame) -> DataFrame:
+    """Findings (finding, severity, tokens): bloated sessions, error churn, neglected memory, repeated ingestion."""
+    s = sessions.agg(F.count_if(F.col("n_events") > 100).alias("bloated"), F.sum("n_events").alias("events"), F.sum("n_errors").alias("errors"))
+    rate = F.when(F.col("events") > 0, F.col("errors") / F.col("events")).otherwise(0.0)
+    o = observations.agg(F.count("*").alias("n"), F.coalesce(F.avg("importance"), F.lit(0.0)).alias("mean"))
+    r = redundant.agg(F.count("*").alias("n"))
+    finding = lambda df, rule, name, severity, tokens: df.where(rule).select(F.lit(name).alias("finding"), F.lit(severity).alias("severity"), tokens.cast("long").alias("tokens"))
+    return (
+        finding(s, F.col("bloated") >= 2, "session_bloat", "medium", F.col("bloated") * 50_000)
+        .unionAll(finding(s, (rate > 0.30) & (F.col("events") > 20), "error_churn", "medium", F.floor(F.col("events") * rate * 200)))
+        .unionAll(finding(o, (F.col("n") >= 10) & (F.col("mean") < 0.3), "memory_neglect", "medium", F.lit(0)))
+        .unionAll(finding(r, F.col("n") >= 3, "repeated_ingestion", "low", F.col("n") * 2_000))
+    )
