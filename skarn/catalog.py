@@ -392,3 +392,37 @@ register(
     SELECT event_id, family, round((before_tokens * CASE family WHEN 'opus' THEN 15.0::DOUBLE WHEN 'sonnet' THEN 3.0 ELSE 0.8 END + after_tokens * CASE family WHEN 'opus' THEN 75.0::DOUBLE WHEN 'sonnet' THEN 15.0 ELSE 4.0 END) / 1e6, 8) AS cost FROM p""", a.TELEMETRY,
 )
 register("waste_findings", lambda s, d: sc.waste(te.busy_sessions(a.session_events(s, d), 0), a.observations(s, d), te.redundant_hashes(a.pipeline_runs(s, d), 3)))
+
+# --- order-dependent operators
+
+from .operators import sequences as sq  # noqa: E402
+
+register(
+    "output_cap", lambda s, d: sq.output_cap(a.table(s, d, "documents"), "source", "doc_id", 40_000),
+    """WITH r AS (SELECT source, doc_id, strlen(text) AS size, 40000 - coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM documents)
+    SELECT source, doc_id, (CASE WHEN size <= rest THEN size ELSE rest END)::BIGINT AS kept_bytes, size > rest AS cut FROM r WHERE size <= rest OR rest > 100""",
+)
+register("latest_runs", lambda s, d: sq.latest(a.pipeline_runs(s, d), "file_hash", "run_id", "pipeline"), "SELECT file_hash, max(run_id) AS run_id, arg_max(pipeline, run_id) AS pipeline FROM pipeline_runs GROUP BY file_hash", a.RUNS)
+register(
+    "ttl_hits", lambda s, d: sq.ttl_hits(a.session_events(s, d), ["session_id", "event_type"], 86_400),
+    """, g AS (SELECT event_type, floor(epoch(created_at)) - floor(epoch(lag(created_at) OVER (PARTITION BY session_id, event_type ORDER BY created_at, id))) AS age FROM session_events)
+    SELECT event_type, count(*) FILTER (WHERE age <= 86400) AS hits, count(*) FILTER (WHERE age IS NULL OR age > 86400) AS misses FROM g GROUP BY event_type""", a.SESSIONS,
+)
+register(
+    "last_errors", lambda s, d: sq.last_of_type(a.session_events(s, d), "error", 5),
+    """, r AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC)::INT AS place, id FROM session_events WHERE event_type = 'error')
+    SELECT * FROM r WHERE place <= 5""", a.SESSIONS,
+)
+register(
+    "session_guides", lambda s, d: sq.session_guides(a.session_events(s, d)),
+    """, f AS (SELECT session_id, max(created_at) AS fixed_at FROM session_events WHERE event_type = 'purchase' GROUP BY 1),
+    e AS (SELECT s.session_id, count(*) AS open_errors FROM session_events s LEFT JOIN f USING (session_id) WHERE event_type = 'error' AND (fixed_at IS NULL OR created_at > fixed_at) GROUP BY 1),
+    c AS (SELECT session_id, event_type, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, event_type) AS k FROM session_events GROUP BY 1, 2),
+    l AS (SELECT session_id, arg_max(event_type, (created_at, id)) AS last_event FROM session_events GROUP BY 1)
+    SELECT session_id, last_event, event_type AS commonest, coalesce(open_errors, 0) AS open_errors FROM l JOIN c USING (session_id) LEFT JOIN e USING (session_id) WHERE k = 1""", a.SESSIONS,
+)
+register("paragraph_chunks", lambda s, d: sq.chunk_paragraphs(a.table(s, d, "documents"), 4_096))
+register(
+    "content_sizes", lambda s, d: a.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes")),
+    "SELECT lang, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
+)
