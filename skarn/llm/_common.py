@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +44,23 @@ def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> I
             spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
 
 
+@contextlib.contextmanager
+def memory_returned() -> Iterator[None]:
+    """Give what the driver allocated inside back to the system at the end, where the C library can."""
+    import pyarrow
+
+    library = ctypes.CDLL(None)
+    with contextlib.suppress(AttributeError):
+        library.mallopt(-3, 128 * 1024)  # large arrays in mappings of their own, which go when they do
+    try:
+        yield
+    finally:
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError):
+            library.malloc_trim(0)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

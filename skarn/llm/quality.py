@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ._common import Slots, char_blocks, id_bucket
+from ._common import Slots, char_blocks, id_bucket, memory_returned
 from ._scoring import BLOCK_CHARS, BLOCK_ROWS, labelled_sample, scored
 
 SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 20_000, 60, 4, 64, 0.2, 2.0, 20
@@ -144,6 +144,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Forest:
     """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
+    with memory_returned():
+        return _fit_on_sample(docs, labels, modulus, held, most)
+
+
+def _fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> Forest:
     train = labels.where(id_bucket("doc_id", modulus) != held)
     rows, _ = labelled_sample(docs, train, "quality", most)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Growing, Slots, id_bucket, mix64
+from ._common import Growing, Slots, id_bucket, memory_returned, mix64
 from ._scoring import labelled_sample, scored
 
 P, SPAN, DECAY, POWER = 4, 6, 0.85, 2
@@ -359,6 +359,11 @@ def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Model:
     """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
+    with memory_returned():
+        return _fit_on_sample(docs, labels, modulus, held, most)
+
+
+def _fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> Model:
     train = labels.where(id_bucket("doc_id", modulus) != held)
     rows, share = labelled_sample(docs, train, "toxic", most, balanced=True)
     found = within_chars(rows.toPandas().sort_values("doc_id"), SAMPLE_CHARS)
