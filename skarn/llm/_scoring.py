@@ -14,6 +14,18 @@ from ._common import char_blocks
 BLOCK_CHARS, BLOCK_ROWS = 1_000_000, 1_000
 
 
+def least_hashes(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows of least hash of a key, of about `total`: each task sends its share, not n rows.
+
+    Only hashes below a bound are ordered, under which n distinct keys are all but certain to
+    lie; of a table with many repeated keys the sample may be smaller.
+    """
+    share = (n + 6 * n**0.5 + 50) / max(total, 1)
+    h = F.xxhash64(key)
+    near = rows if share >= 1 else rows.where(h < int(-(2**63) + share * 2**64))
+    return near.orderBy(h, *rows.columns).limit(n)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, balanced: bool = False) -> tuple[DataFrame, float]:
     """Labelled rows (doc_id, text, y), at most `most` ids, and the share of label 1 among all.
 
@@ -32,8 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, b
         .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     )
     counts = {r["y"]: r["count"] for r in agreed.groupBy("y").count().collect()}
-    parts = [agreed.where(F.col("y") == y) for y in (0, 1)] if balanced else [agreed]
-    found = [(r[0], r[1]) for x in parts for r in x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // len(parts)).collect()]
+    parts = [(agreed.where(F.col("y") == y), counts.get(y, 0)) for y in (0, 1)] if balanced else [(agreed, sum(counts.values()))]
+    found = [(r[0], r[1]) for x, size in parts for r in least_hashes(x, "doc_id", most // len(parts), size).collect()]
     chosen = spark.createDataFrame(found, "_id long, y int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"])
