@@ -8,9 +8,14 @@ Method: each shingle is a Poisson process whose rate is its weight; an arrival p
 and a register keeps the shingle that reached it first.  Arrivals are generated only up to a time
 by which all registers are reached (later ones for the few texts where some are not), so work
 stays near the text's length.  Bands of registers bucket texts; in a bucket each text meets only
-the bucket's two pivots, never all others, so a bucket of any size gives two candidates a member.
+the bucket's two pivots first, so a bucket of any size opens with two candidates a member.
 Signature agreement drops hopeless candidates and exact similarity decides.  Each text first
 checks its likeliest pivot, and then only pivots that are not yet in its own component.
+
+What the pivots leave is settled in blocks: of a bucket whose other members are still in several
+components, each pair of blocks is a group of its own (the largest component never meets itself),
+and a pair belongs to the first bucket that it shares.  Closest partners are checked first; then
+every pair that is still in two components is, so no such pair of a bucket is left unchecked.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ REGISTERS = BANDS * ROWS
 #: Candidates whose signatures agree in a smaller share are dropped: five standard deviations below.
 HOPELESS = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / REGISTERS)
 BLOCK_CHARS, BLOCK_ROWS, CACHE_WORDS = 500_000, 500, 100_000
+#: Members of a bucket in a block, and the partners that a member checks first in a pair of blocks.
+MEMBERS, CLOSEST = 128, 2
 PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,6 +187,89 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[same, ["u", "v"]]
 
 
+def _open_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, agreement) of a group's pairs that its bucket has to settle, likeliest first."""
+    bands = np.stack(frame["bands"].to_list())
+    bits = np.frombuffer(b"".join(frame["bits"]), np.uint8).reshape(len(frame), -1)
+    label, side, h = frame["label"].to_numpy(), frame["side"].to_numpy(), frame["h"].iloc[0]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = frame["i"].iloc[0] == frame["j"].iloc[0]
+    found = []
+    for a in left:
+        b = left[left > a] if within else right
+        b = b[label[b] != label[a]]
+        b = b[bands[b, (bands[b] == bands[a]).argmax(1)] == h]
+        agree = (bits[b] == bits[a]).mean(1)
+        b, agree = b[agree >= HOPELESS], agree[agree >= HOPELESS]
+        found.append((np.full(len(b), a), b, agree))
+    a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(-agree, kind="stable")
+    return a[order], b[order], agree[order]
+
+
+def _ends(frame: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    nid = frame["nid"].to_numpy()
+    return pd.DataFrame([sorted((nid[a], nid[b])) for a, b in pairs], columns=["u", "v"], dtype=np.int64)
+
+
+def _closest(frame: pd.DataFrame) -> pd.DataFrame:
+    """The likeliest open pairs of each member of a group."""
+    frame = frame.sort_values("nid", kind="stable")
+    met, pairs = np.zeros(len(frame), np.int64), []
+    for a, b, _ in zip(*_open_pairs(frame), strict=True):
+        if min(met[a], met[b]) < CLOSEST:
+            pairs.append((a, b))
+        met[a] += 1
+        met[b] += 1
+    return _ends(frame, pairs)
+
+
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+    """All similar open pairs of a group, without those that earlier ones have put in one component."""
+    frame = frame.sort_values("nid", kind="stable")
+    shingler, kept = Shingler(), {}
+    texts, label = frame["text"].to_list(), dict(enumerate(frame["label"]))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def weighted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in kept:
+            kept[k] = shingler.shingles([texts[k] or ""])[1:]
+        return kept[k]
+
+    pairs = []
+    for a, b, _ in zip(*_open_pairs(frame), strict=True):
+        x, y = root(label[a]), root(label[b])
+        if x != y and similarity(weighted(a), weighted(b)) >= THRESHOLD:
+            parent[x] = y
+            pairs.append((a, b))
+    return _ends(frame, pairs)
+
+
+def _open_groups(crowd: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of buckets in several components, once for each pair of blocks (h, i, j) they are in."""
+    now = crowd.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("h", "nid", F.coalesce("label", "nid").alias("label"))
+    now = durable(now)
+    sizes = now.groupBy("h", "label").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "label"))
+    stats = sizes.groupBy("h").agg(largest.alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks_of = lambda n: F.ceil(n / F.lit(float(MEMBERS))).cast("long")
+    stats = stats.select("h", F.col("top.label").alias("main"), blocks_of(F.col("top.n")).alias("sm"), blocks_of(F.col("n") - F.col("top.n")).alias("so"))
+    is_main = F.col("label") == F.col("main")
+    b = F.pmod(F.xxhash64("nid"), F.when(is_main, F.col("sm")).otherwise(F.col("so")))
+    at = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_main = F.transform(upto(F.col("so")), lambda x: at(x, -1 - b, F.lit(1)))
+    others = F.transform(upto(F.col("so")), lambda x: at(F.least(b, x), F.greatest(b, x), b > x))
+    mains = F.transform(upto(F.col("sm")), lambda x: at(b, -1 - x, F.lit(0)))
+    rows = now.join(stats, "h").withColumn("at", F.explode(F.when(is_main, as_main).otherwise(F.concat(others, mains))))
+    return rows.select("h", "at.*", "nid", "label").join(nodes.select("nid", "bands", "bits"), "nid")
+
+
 def text_key(text):
     """128 bits that name a text; null and empty texts are one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -217,14 +307,17 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     # Two pivots a bucket, the least and the greatest in an order of the bucket's own.
     own = F.col("nid").bitwiseXOR(F.shiftrightunsigned(F.xxhash64("h"), 1))
     rows = nodes.select("nid", F.explode("bands").alias("h"))
-    pivots = (
+    back = lambda c: F.col(c).bitwiseXOR(F.shiftrightunsigned(F.xxhash64("h"), 1)).alias(c)
+    pivots = durable(
         rows.groupBy("h")
-        .agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        .agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("n"))
         .where("lo <> hi")
-        .select("h", F.explode(F.array("lo", "hi")).alias("p"))
-        .select("h", F.col("p").bitwiseXOR(F.shiftrightunsigned(F.xxhash64("h"), 1)).alias("pivot"))
+        .select("h", back("lo"), back("hi"), "n")
     )
-    met = rows.join(pivots, "h").where("nid <> pivot").select(F.least("nid", "pivot").alias("u"), F.greatest("nid", "pivot").alias("v"))
+    each = pivots.select("h", F.explode(F.array("lo", "hi")).alias("pivot"))
+    met = rows.join(each, "h").where("nid <> pivot").select(F.least("nid", "pivot").alias("u"), F.greatest("nid", "pivot").alias("v"))
+    # Members that meet others only through pivots; in smaller buckets every pair has a pivot.
+    crowd = durable(rows.join(pivots.where("n > 3"), "h").where("nid <> lo and nid <> hi").select("h", "nid"))
     bits = nodes.select("nid", "bits")
     likely = durable(
         met.distinct()
@@ -233,7 +326,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         .select("u", "v", _agreement("bu", "bv").alias("agree"))
         .where(F.col("agree") >= HOPELESS)
     )
-    involved = likely.select(F.explode(F.array("u", "v")).alias("nid")).distinct()
+    involved = likely.select(F.explode(F.array("u", "v")).alias("nid")).unionAll(crowd.select("nid")).distinct()
     chosen = nodes.join(involved, "nid").select("nid", "key", F.col("rep"))
     texts = durable(
         named.withColumn("rep", F.coalesce("doc_id", last_id))
@@ -256,9 +349,17 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         .where(F.coalesce("lu", "u") != F.coalesce("lv", "v"))
         .select("u", "v")
     )
-    more = durable(_with_text(rest, texts).mapInPandas(_verify, "u long, v long"))
+    # With them the closest pairs without a pivot; then all pairs that are left in two components.
+    near = durable(_open_groups(crowd, labels, nodes).groupBy("h", "i", "j").applyInPandas(_closest, "u long, v long"))
+    more = durable(_with_text(rest.unionAll(near), texts).mapInPandas(_verify, "u long, v long"))
     if not more.isEmpty():
-        labels = durable(connected_components(linked.unionAll(more)))
+        linked = linked.unionAll(more)
+        labels = durable(connected_components(linked))
+    if not near.isEmpty():
+        open_texts = _open_groups(crowd, labels, nodes).join(texts, "nid")
+        last = durable(open_texts.groupBy("h", "i", "j").applyInPandas(_settle, "u long, v long"))
+        if not last.isEmpty():
+            labels = durable(connected_components(linked.unionAll(last)))
     labelled = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select(
         "key", "rep", F.coalesce("label", "nid").alias("label")
     )

@@ -200,6 +200,24 @@ def test_near_duplicates_equal_brute_force(spark, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Edits near one text and far from one another: neither end of most links is a pivot."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        words = list(base)
+        for slot in rng.choice(50, 7, replace=False):
+            words[8 * slot + 3] = f"e{i}x{slot}"
+        texts.append(" ".join(words))
+    shingler = minhash.Shingler()
+    sets = [shingler.shingles([t])[1:] for t in texts]
+    assert min(minhash.similarity(sets[0], s) for s in sets[1:]) >= 0.8
+    assert np.mean([minhash.similarity(sets[i], sets[i + 1]) >= 0.8 for i in range(1, 400)]) < 0.05
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in minhash.near_duplicates(frame).collect()} == {0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(500 + i, 501 + i) for i in range(30)] + [(900, 901), (900, 901)]
