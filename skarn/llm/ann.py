@@ -5,7 +5,9 @@ Method: vectors are cut into subspaces of two components, each coded by one of s
 rest, since that part changes large inner products most: codewords are the solutions of weighted
 least squares, and codes are chosen by coordinate descent on the anisotropic loss.  A query reads
 one table of 256 sums for each byte (two codes), and the best of this scan are scored again on
-the original vectors.
+the original vectors.  A row's scan errs by at most its residual's norm times the query's, so every
+row whose bound reaches the k-th exact score found is scored too: no row of the best k is lost,
+however many rows have the same codes.
 
 The codebook is fitted on a bounded sample (SAMPLE rows of least hash); all rows are indexed and
 scanned, in blocks of bounded size.
@@ -25,8 +27,8 @@ K, SAMPLE, SUB, CODES = 20, 10_000, 2, 16
 #: Parallel residuals weigh this many times the others.
 PARALLEL, ROUNDS, SWEEPS = 4.0, 6, 2
 CANDIDATES, QUERIES = 8_192, 1_024
-#: Rows of each block that are scored exactly for each query.
-RERANK = 160
+#: Rows of each block that are scored exactly first for each query, and rows scored at a time.
+RERANK, AT_ONCE = 160, 1_024
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -91,17 +93,36 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> Iterator[
         yield total
 
 
+def exact_scores(q: np.ndarray, candidates: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    parts = [(candidates[rows[a : a + AT_ONCE]] * q).sum(1) for a in range(0, len(rows), AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def nearest_in_block(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, books: np.ndarray | None, k: int, rerank: int) -> Iterator[tuple]:
-    """The best k of a block by exact scores of the `rerank` best of the table scan."""
+    """The best k of a block: exact scores of the `rerank` best of the table scan, then of all rows that could still be among the k."""
     n = len(candidates)
     coded = books is not None and n > rerank + 1 and padded(candidates[:1]).shape[1] == books.shape[0] * SUB
     if coded:
         codes = np.concatenate([encode(padded(candidates[a : a + 1024]), books) for a in range(0, n, 1024)])
+        error, size = np.zeros(n), np.zeros(n)
+        for a in range(0, n, AT_ONCE):
+            quantised = books[np.arange(len(books))[None], codes[a : a + AT_ONCE]].reshape(-1, len(books) * SUB)
+            error[a : a + AT_ONCE] = np.linalg.norm(padded(candidates[a : a + AT_ONCE]) - quantised, axis=1)
+            size[a : a + AT_ONCE] = np.linalg.norm(quantised, axis=1)
+        # The tables and their sums are in single precision, the scores in double.
+        error += (size + np.linalg.norm(candidates, axis=1)) * (len(books) + 8) * 2.0**-23
         scans = scan(padded(queries), codes, books)
     for i, q in enumerate(queries):
-        rows = np.sort(best_rows(next(scans), rerank + 1)) if coded else np.arange(n)
+        rows = np.arange(n)
+        if coded:
+            about = next(scans)
+            first = best_rows(about, rerank + 1)
+            first = first[first != own[i]]
+            found = exact_scores(q, candidates, first)
+            least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
+            rows = np.flatnonzero(~(about + error * np.linalg.norm(q) < least))
         rows = rows[rows != own[i]]
-        scores = (candidates[rows] * q).sum(1)
+        scores = exact_scores(q, candidates, rows)
         best = best_rows(scores, k)
         yield i, rows[best], scores[best]
 

@@ -425,6 +425,20 @@ def test_quantised_scan_recall():
     assert hit / 800 >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.01, 0.1])
+def test_nearest_among_near_copies(noise):
+    """A third of the block lies around one centre, so that its codes coincide."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = rng.normal(size=64) + noise * rng.normal(size=(1000, 64))
+    books = ann.fit(ann.padded(x[:2000]))
+    asks = np.arange(0, 120)
+    for i, rows, scores in ann.nearest_in_block(x[asks], x, asks, books, 20, 160):
+        exact = (x * x[i]).sum(1)
+        exact[i] = -np.inf
+        assert list(rows) == list(topk.best_rows(exact, 20)) and np.array_equal(scores, exact[rows])
+
+
 def test_queries_have_all_ten():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert base64.b64encode(b"x") == b"eA=="
