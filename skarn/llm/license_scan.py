@@ -7,8 +7,8 @@ is calibrated: a paragraph whose best family has less than a threshold probabili
 out training paragraphs, is unknown.  A predicted family counts only if comparison with its
 templates confirms it: enough of one template sentence's words must be in the paragraph, in order.
 
-Only paragraphs with a word of the licence vocabulary are classified; the vocabulary is that of
-the templates' rarer words, so no paragraph that could be confirmed is passed over.
+Only paragraphs with a word of the licence vocabulary are classified; the vocabulary holds more words
+of each template than a confirmed paragraph may lack, so none that could be confirmed is passed over.
 """
 
 from __future__ import annotations
@@ -88,14 +88,32 @@ FAMILIES = [*sorted(TEMPLATES), "unknown"]
 BUCKETS, NOISY, NEGATIVES, ROUNDS, RATE, DECAY = 1 << 14, 40, 3_000, 60, 2.0, 1e-4
 CONFIRM = 0.8
 WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*")
-#: Words that every confirmable paragraph has at least one of; tested in the JVM first.
-CUES = "licen[sc]e|licensed|copyright|permission|redistribut|rights reserved|public domain|apache|mozilla|contributors|written|received a copy|free software|cc0|cc by|gpl"
+SLACK = 6
+#: What ends a paragraph: a line of white space alone.
+BLANK = r"\n[ \t\r\f\x0B]*\n\s*"
 
 
 def words_of(paragraph: str) -> list[str]:
     return WORD.findall(paragraph.lower())
 
 
+def _cues() -> str:
+    """A pattern of words, tested in the JVM first, that every confirmable paragraph has at least one of.
+
+    Of each template it has the longest words, one more than a share of 1 - CONFIRM can leave out.
+    """
+    cues: set[str] = set()
+    for template in (t for ts in TEMPLATES.values() for t in ts):
+        words = words_of(template)
+        short = len(words) - int(np.ceil(CONFIRM * len(words) - 1e-9)) + 1
+        ranked = sorted((w for w in words if w[0].isalpha()), key=lambda w: (w not in cues, -len(w), w))
+        cues.update(ranked[:short])
+    return "(?<![a-z])(?:" + "|".join(sorted(cues)) + ")(?![a-z])"
+
+
+CUES = _cues()
+
+
 def grams(words: list[str]) -> np.ndarray:
     """Distinct hashed 1-, 2- and 3-grams."""
     found = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
@@ -178,19 +196,36 @@ def _template_words() -> dict[str, list[list[str]]]:
     return {k: [words_of(t) for t in v] for k, v in TEMPLATES.items()}
 
 
+def _in_window(needle: list[str], words: list[str]) -> int:
+    """The number of a template's words found in order."""
+    longest = [0] * (len(needle) + 1)
+    for w in words:
+        last = 0
+        for j, n in enumerate(needle, 1):
+            last, longest[j] = longest[j], max(longest[j], longest[j - 1], last + 1 if w == n else 0)
+    return longest[-1]
+
+
+def windows(needle: list[str], words: list[str], least: float) -> Iterator[tuple[int, int, int]]:
+    """(from, to, words in order) of windows near a template's length with at least a share of its words.
+
+    They start every SLACK words and end at the paragraph's end, so a verbatim sentence at any
+    place is whole in one of them.
+    """
+    known = set(needle)
+    counts = np.cumsum([0, *(w in known for w in words)])
+    size, last = len(needle) + SLACK, max(0, len(words) - len(needle) - SLACK)
+    for lo in sorted({*range(0, last + 1, SLACK), last}):
+        hi = min(len(words), lo + size)
+        if counts[hi] - counts[lo] >= least * len(needle):
+            found = _in_window(needle, words[lo:hi])
+            if found >= least * len(needle):
+                yield lo, hi, found
+
+
 def in_order(needle: list[str], words: list[str]) -> float:
     """The share of a template's words found in order in a window of the paragraph near its length."""
-    longest = [0] * (len(needle) + 1)
-    best = 0
-    window = len(needle) + 6
-    for lo in range(0, max(1, len(words) - len(needle) + 1), max(1, len(needle) // 2)):
-        longest = [0] * (len(needle) + 1)
-        for w in words[lo : lo + window]:
-            last = 0
-            for j, n in enumerate(needle, 1):
-                last, longest[j] = longest[j], max(longest[j], longest[j - 1], last + 1 if w == n else 0)
-        best = max(best, longest[-1])
-    return best / len(needle)
+    return max((n for *_, n in windows(needle, words, 0.0)), default=0) / len(needle)
 
 
 def confirm(family: str, words: list[str]) -> float:
@@ -212,10 +247,11 @@ def classify(model: Model, paragraph: str) -> tuple[str, float, float]:
 
 
 def fit_on_corpus(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
-    """Train with paragraphs of at most `negatives` documents without licence cues, of least hash of id."""
-    rows = docs.where(~F.lower(F.coalesce("text", F.lit(""))).rlike(CUES) & (F.length("text") > 0))
-    lines = rows.select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    found = [r["line"][:2000] for r in least_hashes(lines, "doc_id", negatives, docs.count()).collect()]
+    """Train with first paragraphs without licence cues of at most `negatives` documents, of least hash of id."""
+    first = F.split(F.col("text").cast("string"), BLANK, 2)[0]
+    lines = docs.where(F.length("text") > 0).select("doc_id", first.alias("line")).where(~F.lower("line").rlike(CUES))
+    lines = lines.withColumn("line", F.substring("line", 1, 2000))
+    found = [r["line"] for r in least_hashes(lines, "doc_id", negatives, docs.count()).collect()]
     return train([words_of(t)[:60] for t in found])
 
 

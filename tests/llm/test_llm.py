@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -326,6 +327,16 @@ def test_licenses(spark, odd, nothing):
     assert license_scan.scan_licenses(odd, model).count() == 0
 
 
+def test_license_windows_and_cues():
+    for templates in license_scan._template_words().values():
+        for needle in templates:
+            for before in range(0, 50):
+                assert license_scan.in_order(needle, ["x"] * before + needle) == 1
+            lacking = len(needle) - int(np.ceil(0.8 * len(needle) - 1e-9))
+            kept = [w for w in needle if not re.search(license_scan.CUES, w)]
+            assert len(needle) - len(kept) > lacking
+
+
 # 4
 
 
