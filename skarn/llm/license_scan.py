@@ -1,13 +1,15 @@
 """Licence families of documents from a trained paragraph classifier and template comparison.
 
-Method: paragraphs (lines) become sparse hashed word 1- to 3-grams.  A multinomial logistic
-regression is trained on sentences of the licence templates below, with words dropped, repeated
+Method: paragraphs (blocks between blank lines; single newlines only wrap) become sparse hashed
+word 1- to 3-grams.  A multinomial logistic regression is trained on sentences of the licence templates below, with words dropped, repeated
 and put in, against paragraphs of the corpus that share no licence vocabulary.  The unknown class
 is calibrated: a paragraph whose best family has less than a threshold probability, set on held
 out training paragraphs, is unknown.  A predicted family counts only if comparison with its
 templates confirms it: enough of one template sentence's words must be in the paragraph, in order.
+Every window of a paragraph that a template confirms is classified by itself, so neither the length
+of a paragraph nor another licence in it hides one; a paragraph may have several families.
 
-Only paragraphs with a word of the licence vocabulary are classified; the vocabulary holds more words
+Only paragraphs with a word of the licence vocabulary are compared; the vocabulary holds more words
 of each template than a confirmed paragraph may lack, so none that could be confirmed is passed over.
 """
 
@@ -233,17 +235,41 @@ def confirm(family: str, words: list[str]) -> float:
     return max((in_order(t, words) for t in _template_words()[family]), default=0.0)
 
 
-def classify(model: Model, paragraph: str) -> tuple[str, float, float]:
-    """(family, probability, agreement); unconfirmed and improbable paragraphs are unknown."""
+def _trimmed(needle: list[str], words: list[str], lo: int, hi: int, found: int) -> tuple[int, int]:
+    """A window without the words at its ends that the comparison does not need."""
+    while hi - lo > 1 and _in_window(needle, words[lo + 1 : hi]) == found:
+        lo += 1
+    while hi - lo > 1 and _in_window(needle, words[lo : hi - 1]) == found:
+        hi -= 1
+    return lo, hi
+
+
+def families_of(model: Model, paragraph: str) -> list[tuple[str, float, float]]:
+    """(family, probability, agreement) of each family that is both confirmed and predicted in some place.
+
+    Where places of two families overlap, that of better agreement counts, then the longer one.
+    """
     words = words_of(paragraph)
-    p = model.probabilities([words])[0]
-    k = int(p[:-1].argmax())
-    if p[k] < model.threshold:
-        return "unknown", float(p[-1]), 0.0
-    agreed = confirm(FAMILIES[k], words)
-    if agreed < CONFIRM:
-        return "unknown", float(p[k]), agreed
-    return FAMILIES[k], float(p[k]), agreed
+    there, seen, places = set(words), {}, set()
+    for family, templates in _template_words().items():
+        for needle in templates:
+            if sum(w in there for w in needle) < CONFIRM * len(needle):
+                continue
+            for a, b, found in windows(needle, words, CONFIRM):
+                lo, hi = _trimmed(needle, words, a, b, found)
+                span = tuple(words[lo:hi])
+                if span not in seen:
+                    seen[span] = model.probabilities([list(span)])[0]
+                p = seen[span]
+                k = int(p[:-1].argmax())
+                if FAMILIES[k] == family and p[k] >= model.threshold:
+                    places.add((-found / len(needle), -found, family, lo, hi, float(p[k])))
+    best, taken = {}, []
+    for agreed, _, family, lo, hi, p in sorted(places):
+        if all(f == family or hi <= x or y <= lo for f, x, y in taken):
+            taken.append((family, lo, hi))
+            best.setdefault(family, (family, p, -agreed))
+    return [best[f] for f in sorted(best)]
 
 
 def fit_on_corpus(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
@@ -256,29 +282,29 @@ def fit_on_corpus(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
 
 
 def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, paragraph, family, probability, agreement): each paragraph found to be a licence's.
+    """(doc_id, paragraph, family, probability, agreement): each family found in a paragraph.
 
-    `paragraph` counts lines from 0; whole texts are read, and only paragraphs with a cue leave
-    the JVM.  Null texts have none.  A document has a row for each of its licence paragraphs.
+    `paragraph` counts blocks between blank lines from 0; whole texts are read, and only paragraphs
+    with a cue leave the JVM.  Null texts have none.  A document has a row for each family of each
+    of its licence paragraphs.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lines = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("paragraph", "line"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), BLANK, -1)).alias("paragraph", "line"))
         .where(F.lower("line").rlike(CUES))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, float, float]] = {}
+        known: dict[str, list[tuple[str, float, float]]] = {}
         for batch in batches:
             rows = []
             for i, k, line in zip(batch["doc_id"], batch["paragraph"], batch["line"], strict=True):
                 got = known.get(line) if len(line) < 400 else None
                 if got is None:
-                    got = classify(sent.value, line)
+                    got = families_of(sent.value, line)
                     if len(line) < 400 and len(known) < 50_000:
                         known[line] = got
-                if got[0] != "unknown":
-                    rows.append((i, k, *got))
+                rows += [(i, k, *family) for family in got]
             out = pd.DataFrame(rows, columns=["doc_id", "paragraph", "family", "probability", "agreement"])
             yield out.astype({"doc_id": "Int64"})
 

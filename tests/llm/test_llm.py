@@ -327,6 +327,27 @@ def test_licenses(spark, odd, nothing):
     assert license_scan.scan_licenses(odd, model).count() == 0
 
 
+WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+
+
+def test_licenses_in_wrapped_and_long_paragraphs(spark):
+    model = license_scan.train([["the", "cat", "sat", "here"], ["some", "plain", "words"]] * 50)
+    filler = " ".join(f"plain{i}" for i in range(1, 14)).replace("plain", "some words ")
+    gpl = license_scan.TEMPLATES["gpl"][1]
+    rows = [
+        (1, "Title\n\n" + WRAPPED_MIT + "\n\nend"),
+        (2, "word " * 13 + gpl),
+        (3, filler + " Released under the MIT License. " + filler + " Licensed under CC BY-SA 4.0. " + filler),
+        (4, "This work is under a Creative Commons Attribution 4.0 International License"),
+        (5, "some words " * 200),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.families for r in license_scan.document_licenses(docs, license_scan.scan_licenses(docs, model)).collect()}
+    assert found == {1: "mit", 2: "gpl", 3: "cc-by-sa,mit", 4: "cc-by", 5: ""}
+
+
 def test_license_windows_and_cues():
     for templates in license_scan._template_words().values():
         for needle in templates:
