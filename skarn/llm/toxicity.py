@@ -42,6 +42,7 @@ BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 LANDMARKS, SAMPLE, SAMPLE_CHARS, CLEAN_SENTENCES = 96, 4_000, 6_000_000, 80_000
 MAX_WORD, CACHE_WORDS = 40, 250_000
+SENTENCE_END, PIECE_CHARS = re.compile(r"(?<=[.!?])\s+|\n+"), 1_000
 SIGNS = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][\W_]{0,2}\s){2,}[^\W_](?=[\W_]{0,2}(?:\s|$))")
 SHAPES = [(0, *c) for c in combinations(range(1, SPAN), P - 1)]
@@ -351,10 +352,36 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, landma
     return Model(chosen, word_weights, logistic(x, labels, weight=weight))
 
 
+def drawn(text: str, most: int) -> str:
+    """A text of at most `most` characters: of a longer one the sentences of least hash that fit, in their order."""
+    if len(text) <= most:
+        return text
+    parts = [p[k : k + PIECE_CHARS] for p in SENTENCE_END.split(text) for k in range(0, len(p), PIECE_CHARS)]
+    kept, left = [], most
+    for k in sorted(range(len(parts)), key=lambda k: (zlib.crc32(parts[k].encode("utf-8", "replace")), k)):
+        if len(parts[k]) + 1 <= left:
+            kept.append(k)
+            left -= len(parts[k]) + 1
+    return " ".join(parts[k] for k in sorted(kept))
+
+
 def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Of each label, the first rows of together at most most / 2 characters, but one at least."""
-    sizes = rows["text"].fillna("").str.len().groupby(rows["y"]).cumsum()
-    return rows[(sizes <= most // 2) | ~rows["y"].duplicated()]
+    """Of each label, rows of together at most most / 2 characters, in the order of their ids' hashes.
+
+    A row that does not fit is passed over, and one document has a tenth of the budget at most,
+    in sentences drawn from it.
+    """
+    budget = most // 2
+    rows = rows.assign(text=[drawn(t, max(1, budget // 10)) for t in rows["text"].fillna("")])
+    with np.errstate(over="ignore"):
+        place = mix64(rows["doc_id"].to_numpy(np.int64).view(np.uint64))
+    rows = rows.assign(_place=place).sort_values(["_place", "text"], kind="stable").drop(columns="_place")
+    left: dict[int, int] = {}
+    fits = []
+    for y, size in zip(rows["y"], map(len, rows["text"]), strict=True):
+        fits.append(size <= left.setdefault(y, budget))
+        left[y] -= size * fits[-1]
+    return rows[np.array(fits, bool)]
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Model:
@@ -366,8 +393,8 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, m
 def _fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> Model:
     train = labels.where(id_bucket("doc_id", modulus) != held)
     rows, share = labelled_sample(docs, train, "toxic", most, balanced=True)
-    found = within_chars(rows.toPandas().sort_values("doc_id"), SAMPLE_CHARS)
-    return fit(found["text"].fillna("").tolist(), found["y"].to_numpy(int), share)
+    found = within_chars(rows.toPandas(), SAMPLE_CHARS)
+    return fit(found["text"].tolist(), found["y"].to_numpy(int), share)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -259,6 +260,16 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.score_documents(odd, empty).where("score is null").count() == 0
 
 
+def test_toxicity_sample_survives_a_very_long_document():
+    rows = [(0, "a bad sentence. " * 5_000, 1), *((i, f"text {i} " * 10, i % 2) for i in range(1, 200))]
+    found = toxicity.within_chars(pd.DataFrame(rows, columns=["doc_id", "text", "y"]), 40_000)
+    assert set(found["doc_id"]) == set(range(200))
+    sizes = found["text"].str.len()
+    assert sizes.max() <= 2_000 and sizes.groupby(found["y"]).sum().max() <= 20_000
+    few = toxicity.within_chars(pd.DataFrame(rows, columns=["doc_id", "text", "y"]), 4_000)
+    assert few["doc_id"].max() > 150 and len(few) > 20  # not a prefix by id
+
+
 def test_kernel_is_a_cosine_of_subsequences():
     k, d = toxicity.Kernel(), toxicity
     words = ["^idiot$", "^idxiot$", "^banana$"]
