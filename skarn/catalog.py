@@ -234,8 +234,8 @@ register(
     """, m AS (SELECT f.entry AS flow_id, file_path, regexp_matches(name, '(?i)gadget|lock') AS secure, (confidence_score < 0.5)::INT AS ext, f.node IN (SELECT source FROM edges WHERE kind = 'TESTED_BY') AS tested, depth
       FROM flows f JOIN nodes ON f.node = qualified_name),
     p AS (SELECT flow_id, count(*) AS n, count(DISTINCT file_path) AS files, sum(ext) AS ext, count(*) FILTER (WHERE secure) AS sec, count(*) FILTER (WHERE tested) AS tst, max(depth) AS dp FROM m GROUP BY flow_id)
-    SELECT flow_id, round(greatest(0.0, least(0.30::DOUBLE * CASE WHEN files > 1 THEN least((files - 1) / 4.0::DOUBLE, 1.0) ELSE 0.0 END + 0.20::DOUBLE * least(ext / 5.0::DOUBLE, 1.0)
-      + 0.25::DOUBLE * (sec / n) + 0.15::DOUBLE * (1 - tst / n) + 0.10::DOUBLE * least(dp / 10.0::DOUBLE, 1.0), 1.0)), 4) AS criticality FROM p""", *G, FLOWS,
+    SELECT flow_id, least((2 * ((750 * least(files - 1, 4) + 400 * least(ext, 5) + 100 * least(dp, 10)) * n + 2500 * sec + 1500 * (n - tst)) + n) // (2 * n), 10000) / 10000.0::DOUBLE AS criticality
+    FROM p""", *G, FLOWS,
 )
 
 # --- telemetry, sessions, memory

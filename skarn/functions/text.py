@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The words and phrases of the compression rules.
-FILLERS = "actually basically certainly definitely essentially generally just literally obviously particularly probably really simply specifically typically usually".split()
+# The words, phrases and patterns of the compression rules.
+FILLERS = [
+    "just", "really", "basically", "actually", "simply", "essentially", "generally", "literally", "certainly", "obviously", "probably", "typically",
+    "usually", "definitely", "particularly", "specifically",
+]
 PHRASES = {
     "in order to": "to", "make sure to": "ensure", "make sure that": "ensure", "due to the fact that": "because", "at this point in time": "now",
     "in the event that": "if", "for the purpose of": "for", "with respect to": "re", "as a result of": "from", "on the other hand": "alternatively",
@@ -14,8 +17,8 @@ PHRASES = {
     "has the ability to": "can", "in spite of": "despite", "with regard to": "re", "for example": "e.g.", "such as": "e.g.",
     "that is to say": "i.e.", "as well as": "and",
 }
-ARTICLES = "a an the".split()
-CONNECTIVES = "accordingly additionally consequently furthermore however moreover nevertheless nonetheless".split()
+ARTICLES = ["a", "an", "the"]
+CONNECTIVES = ["however", "furthermore", "additionally", "moreover", "consequently", "nevertheless", "nonetheless", "accordingly"]
 ABBREVIATIONS = {
     "database": "DB", "authentication": "auth", "authorization": "authz", "configuration": "config", "request": "req", "response": "res",
     "function": "fn", "implementation": "impl", "application": "app", "repository": "repo", "directory": "dir", "environment": "env",
@@ -26,29 +29,71 @@ ABBREVIATIONS = {
 }
 PLEASANTRIES = r"(?i)\b(?:sure[,!.]?\s*|of course[,!.]?\s*|happy to\s+|glad to\s+|i'd be happy to[^.]*\.\s*|i'd recommend\s+|please note that\s+|it's worth noting that\s+|it should be noted that\s+|as you (?:can see|know|may know)[,]?\s*)"
 HEDGING = r"(?i)\b(?:it might be worth\s+|you could consider\s+|you may want to\s+|it would be possible to\s+|it seems like\s+|it appears that\s+|in my opinion[,]?\s*|i think that?\s+|i believe that?\s+|(?:this|that|it) (?:is|was) (?:likely|probably)\s+)"
+CAUSES = ["because", "therefore", "so that", "which leads to", "which causes", "resulting in"]
+PROTECTED = [
+    r"(?s:(`{3,}|~{3,})[^\n]*\n.*?\n\1)", r"`[^`]+`", r"https?://[^\s)>\]]+", r"[\w./]+::[\w.]+", r"(?:\./|\.\./|/|[A-Za-z]:\\)[\w\-/\\.]+",
+    r"[\w\-.]+[/\\][\w\-/\\.]+", r"\b\d+(?:\.\d+)?(?:\s*(?:ms|s|KB|MB|GB|TB|%))?(?=\s|$|[,;.])",
+]
+SKIPPED_KEYS = [
+    "kind", "type", "pipeline", "language", "format", "qualified_name", "file_path", "file_type", "source", "target", "id", "flow_id", "community_id",
+    "node_id", "color", "status", "version", "schema_version", "line_start", "line_end", "line", "count", "total", "total_nodes", "total_edges",
+    "files_count", "length", "weight", "score", "confidence", "confidence_score", "connected", "is_valid", "notes_written", "node_count", "edge_count",
+    "nodes", "edges",
+]
+TEXT_KEYS = [
+    "name", "label", "description", "summary", "content", "text", "message", "detail", "reason", "explanation", "title", "body", "relation", "question",
+]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
+#: Stands for a protected span while the rules run; itself protected where a text has it.
+HOLE = "\ue000"
 
-def rules(level: str) -> list[tuple[str, str]]:
-    """(pattern, replacement) of a level: lite, full (and lite) or ultra (and full), in order."""
-    out = [(PLEASANTRIES, ""), (HEDGING, "")]
-    out += [(rf"(?i)\b{a}\b", b) for a, b in PHRASES.items()]
-    out.append((rf"(?i)\b(?:{'|'.join(FILLERS)})\b[,]?\s*", ""))
+
+def replacements(level: str) -> list[tuple[str, str] | list[str]]:
+    """The steps of a level, lite, full (lite first) or ultra (full first): (pattern, replacement), or words to drop."""
+    steps: list = [(PLEASANTRIES, ""), (HEDGING, "")]
+    steps += [("(?i)" + a, b) for a, b in PHRASES.items()]
+    steps.append(FILLERS)
     if level in ("full", "ultra"):
-        out.append((rf"(?i)\b(?:{'|'.join(CONNECTIVES)})\b[,]?\s*", ""))
-        out.append((rf"(?i)\b(?:{'|'.join(ARTICLES)})\s+", ""))
+        steps.append(ARTICLES)
+        steps += [(rf"(?i)\b{word}[,]?\s+", "") for word in CONNECTIVES]
     if level == "ultra":
-        out += [(rf"(?i)\b{a}\b", b) for a, b in ABBREVIATIONS.items()]
-        out.append((r"(?i)\s+(?:because|leads to|results in|therefore)\s+", " -> "))
-    return [*out, (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+        steps += [(rf"(?i)\b{a}\b", b) for a, b in ABBREVIATIONS.items()]
+        steps += [(rf"\s+{cause}\s+", " \u2192 ") for cause in CAUSES]
+    return steps
+
+
+def without_words(text: Column, words: list[str]) -> Column:
+    """The words of a text, one blank between, but for some (whatever their case and the marks after them)."""
+    return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(words)), " ")
 
 
 def compress(text: Column, level: str = "full") -> Column:
-    """Rule compression.  A text with code fences is left as it is."""
-    out = text
-    for pattern, new in rules(level):
-        out = F.regexp_replace(out, pattern, new.replace("$", r"\$"))
-    return F.when(text.contains("```") | text.contains("~~~"), text).otherwise(F.btrim(out))
+    """Rule compression; `off` leaves a text as it is.
+
+    Fenced and inline code, URLs, qualified names, paths and numbers are cut out first and put
+    back at the end, as they were.
+    """
+    if level == "off":
+        return text
+    guard = "|".join([HOLE, *PROTECTED])
+    spans = F.regexp_extract_all(text, F.lit(guard), F.lit(0))
+    out = F.regexp_replace(text, guard, HOLE)
+    for step in replacements(level):
+        out = without_words(out, step) if isinstance(step, list) else F.regexp_replace(out, step[0], step[1])
+    parts = F.split(F.btrim(F.regexp_replace(out, " {2,}", " "), F.lit(" \t\n\r")), HOLE, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.get(spans, i), F.lit("")))), "")
+
+
+def compress_fields(fields: Column, level: str = "full") -> Column:
+    """A map of texts with those of the text keys compressed; the other keys' values stay."""
+    shorter = lambda k, v: F.when(k.isin(TEXT_KEYS) & ~k.isin(SKIPPED_KEYS), compress(v, level)).otherwise(v)
+    return F.transform_values(fields, shorter)
+
+
+def compress_list(texts: Column, level: str = "full") -> Column:
+    """A list of texts with those over 20 characters compressed."""
+    return F.transform(texts, lambda x: F.when(F.length(x) > 20, compress(x, level)).otherwise(x))
 
 
 def html_rules() -> list[tuple[str, str]]:
@@ -95,11 +140,6 @@ def mask_secret(key: Column, value: Column) -> Column:
     return F.when(F.upper(key).rlike("SECRET|KEY|TOKEN|PASSWORD|CREDENTIAL|AUTH"), "***").otherwise(value)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all members of two arrays' sets; 0 for two empty ones."""
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-
-
 def line_windows(docs: DataFrame, size: int = 20, step: int = 18) -> DataFrame:
     """(doc_id, part, text): overlapping windows of lines; the last one may be short."""
     lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))

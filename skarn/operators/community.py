@@ -10,7 +10,10 @@ from .traverse import settled
 
 # Edge weights by kind, and words that say nothing in a name.
 WEIGHTS = {"CALLS": 1.0, "IMPORTS_FROM": 0.5, "INHERITS": 0.8, "IMPLEMENTS": 0.7, "CONTAINS": 0.3, "TESTED_BY": 0.4, "DEPENDS_ON": 0.6}
-COMMON = "add all and at build by create delete do for from get has in init is main make my new none of on remove run self set test that the this to update with".split()
+COMMON = [
+    "get", "set", "init", "new", "self", "the", "and", "for", "from", "with", "this", "that", "none", "all", "add", "create", "make", "build", "run",
+    "main", "do", "is", "has", "on", "of", "in", "at", "to", "by", "test", "update", "delete", "remove", "my",
+]
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, rounds: int = 5, least: int = 2) -> DataFrame:

@@ -212,15 +212,11 @@ def criticality(members: DataFrame) -> DataFrame:
     """Flows scored from members (flow_id, file_path, external, secure, tested, depth).
 
     0.30 files + 0.20 external calls + 0.25 security + 0.15 test gap + 0.10 depth, each from 0 to 1.
+    Counted in whole ten-thousandths, so that halves round alike everywhere.
     """
     n = F.count("*")
-    files = F.count_distinct("file_path")
-    spread = F.when(files > 1, F.least((files - 1) / 4.0, F.lit(1.0))).otherwise(0.0)
-    score = (
-        0.30 * spread
-        + 0.20 * F.least(F.sum("external") / 5.0, F.lit(1.0))
-        + 0.25 * (F.count_if("secure") / n)
-        + 0.15 * (1 - F.count_if("tested") / n)
-        + 0.10 * F.least(F.max("depth") / 10.0, F.lit(1.0))
-    )
-    return members.groupBy("flow_id").agg(F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4).alias("criticality"))
+    whole = 750 * F.least(F.count_distinct("file_path") - 1, F.lit(4)) + 400 * F.least(F.sum("external"), F.lit(5)) + 100 * F.least(F.max("depth"), F.lit(10))
+    shares = 2500 * F.count_if("secure") + 1500 * (n - F.count_if("tested"))
+    sums = members.groupBy("flow_id").agg(whole.cast("long").alias("whole"), shares.alias("shares"), n.alias("n"))
+    score = F.expr("(2 * (whole * n + shares) + n) div (2 * n)")
+    return sums.select("flow_id", (F.least(score, F.lit(10_000)) / 10_000).alias("criticality"))

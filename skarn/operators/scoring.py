@@ -85,7 +85,11 @@ def quality_signals(events: DataFrame, observations: DataFrame) -> DataFrame:
 
 # US dollars for a million input and output tokens, by model family.
 PRICES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0)}
-SECURITY = "admin auth connect credential crypt decrypt encrypt execute hash http login password permission privilege query request sanitize secret session sign socket sql token validate verify".split()
+# Words that tell security-sensitive names.
+SECURITY = [
+    "auth", "login", "password", "token", "session", "crypt", "secret", "credential", "permission", "sql", "query", "execute", "connect", "socket",
+    "request", "http", "sanitize", "validate", "encrypt", "decrypt", "hash", "sign", "verify", "admin", "privilege",
+]
 
 
 def token_cost(usage: DataFrame) -> DataFrame:

@@ -47,18 +47,25 @@ def session_guides(events: DataFrame) -> DataFrame:
     return last.join(common, "session_id").join(errors, "session_id", "left").select("session_id", "last_event", "commonest", F.coalesce("open_errors", F.lit(0)).alias("open_errors"))
 
 
-def chunk_paragraphs(docs: DataFrame, most: int) -> DataFrame:
-    """Paragraphs (blank-line separated) packed in order into chunks of at most `most` characters.
+def chunk_paragraphs(docs: DataFrame, most: int = 4_096) -> DataFrame:
+    """(doc_id, part, text): paragraphs (blank-line separated) packed in order into chunks of at most `most` characters.
 
-    A fold in the JVM: a paragraph starts a new chunk when it no longer fits; a longer one is a
-    chunk of its own.
+    A paragraph starts a new chunk when it, the chunk so far and the blank line between exceed
+    `most`; a longer one is a chunk of its own.  The fold keeps lengths and chunk numbers only;
+    texts are joined once, at the end.
     """
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n", -1), lambda x: F.btrim(x) != "")
-
-    def add(done, part):
-        last = F.element_at(done, -1)
-        joined = F.concat(last, F.lit("\n"), part)
-        fits = F.length(joined) <= most
-        return F.when(F.size(done) == 0, F.array(part)).when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(part)))
-
-    return docs.select("doc_id", F.aggregate(parts, F.array().cast("array<string>"), add).alias("chunks")).select("doc_id", F.posexplode("chunks").alias("part", "text"))
+    parts = F.filter(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?s)(?:(?!\n\s*\n).)+"), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rows = docs.select("doc_id", F.posexplode(parts).alias("at", "paragraph"))
+    sized = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.length("paragraph").alias("n"), "paragraph"))).alias("p"))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("chunks"))
+
+    def add(state, part):
+        fits = (state["size"] == 0) | (state["size"] + part["n"] + 2 <= most)
+        chunk = F.when(fits, state["chunk"]).otherwise(state["chunk"] + 1)
+        size = F.when(state["size"] == 0, part["n"]).when(fits, state["size"] + part["n"] + 2).otherwise(part["n"])
+        return F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(state["chunks"], F.array(chunk)).alias("chunks"))
+
+    numbered = sized.select("doc_id", "p", F.aggregate("p", start, add)["chunks"].alias("c"))
+    each = numbered.select("doc_id", F.explode(F.arrays_zip("p", "c")).alias("z")).select("doc_id", F.col("z.c").alias("part"), F.col("z.p.at").alias("at"), F.col("z.p.paragraph").alias("paragraph"))
+    joined = each.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "paragraph"))).alias("x"))
+    return joined.select("doc_id", "part", F.array_join(F.col("x.paragraph"), "\n\n").alias("text"))

@@ -20,12 +20,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """Distinct steps (node, next) of edges, both ways."""
+    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    return steps.unionAll(edges.select(F.col("target"), F.col("source"))).distinct()
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """(node, depth): nodes within `depth` steps of the seeds (node), with the least number of steps."""
-    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
-    if not directed:
-        steps = steps.unionAll(edges.select(F.col("target"), F.col("source")))
-    steps = steps.distinct()
+    once = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    steps = settled(once if directed else undirected(edges))
     frontier = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for level in range(1, depth + 1):
@@ -50,14 +54,16 @@ def impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 2,
     return top.where(F.col("place") <= most).join(F.broadcast(cut)).select("node", "kind", "file_path", "depth", "truncated")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 12) -> DataFrame:
-    """(step, node) of one undirected shortest path, the least by parent names; empty if there is none."""
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(step, node) of one undirected shortest path, the least by parent names; empty if there is none.
+
+    Whole levels are walked until one has the target or none is left, however long the path is.
+    """
     spark = edges.sparkSession
-    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
-    steps = steps.unionAll(edges.select(F.col("target"), F.col("source"))).distinct()
-    frontier = spark.createDataFrame([(source, None)], "node string, parent string")
-    levels, seen = [settled(frontier)], settled(frontier)
-    while len(levels) <= most and seen.where(F.col("node") == target).isEmpty():
+    steps = settled(undirected(edges))
+    levels = [settled(spark.createDataFrame([(source, None)], "node string, parent string"))]
+    seen = levels[0]
+    while seen.where(F.col("node") == target).isEmpty():
         found = steps.join(levels[-1].select("node"), "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("parent"))
         levels.append(settled(found.join(seen.select("node"), "node", "left_anti")))
         if levels[-1].isEmpty():
@@ -66,10 +72,9 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 12) ->
     path, at = [], target
     for level in reversed(levels):  # one row a level
         row = level.where(F.col("node") == at).first()
-        if row is None:
-            return spark.createDataFrame([], "step int, node string")
-        path.append(at)
-        at = row["parent"]
+        if row is not None:
+            path.append(at)
+            at = row["parent"]
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node string")
 
 
@@ -78,7 +83,7 @@ def flows(nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
     calls = edges.where(F.col("kind") == "CALLS")
     callable_ = nodes.where((F.col("kind") == "Function") & ~F.col("is_test")).select(F.col("qualified_name").alias("node"))
     entries = callable_.join(calls.select(F.col("target").alias("node")), "node", "left_anti")
-    steps = calls.select(F.col("source").alias("node"), F.col("target").alias("next"))
+    steps = settled(calls.select(F.col("source").alias("node"), F.col("target").alias("next")))
     frontier = settled(entries.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")))
     seen = frontier
     for level in range(1, depth + 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,31 +11,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What is never read, and the pipelines by extension.
-IGNORED_DIRS = [".git", ".mypy_cache", ".next", ".nuxt", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "venv"]
-IGNORED_ENDS = [".dll", ".dylib", ".egg", ".exe", ".lock", ".map", ".pyc", ".pyo", ".so", ".whl"]
+IGNORED_DIRS = [
+    ".git", "node_modules", "__pycache__", ".tox", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".next", ".nuxt",
+]
+IGNORED_ENDS = [".pyc", ".pyo", ".so", ".dylib", ".dll", ".exe", ".whl", ".egg", ".lock", ".map"]
 PIPELINES = {
-    "code": ".bash .c .cc .cpp .cs .cxx .dart .ex .exs .gd .go .h .hpp .ipynb .java .jl .js .jsx .ksh .kt .kts .lua .mjs .php .pl .pm .ps1 .py .r .rb .rs .scala .sh .sol .svelte .swift .ts .tsx .vue .zig .zsh",
-    "document": ".html .md .mdx .rst .txt",
-    "pdf": ".pdf",
-    "image": ".gif .jpeg .jpg .png .svg .webp",
-    "office": ".docx .xlsx",
-    "video": ".avi .m4a .mkv .mov .mp3 .mp4 .wav .webm",
-    "config": ".json .toml .yaml .yml",
-}
+    "code": [
+        ".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".go", ".rs", ".java", ".cs", ".rb", ".php", ".kt", ".kts", ".swift", ".scala", ".sol", ".dart",
+        ".r", ".pl", ".pm", ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".vue", ".svelte", ".lua", ".zig", ".ps1", ".ex", ".exs", ".gd", ".jl",
+        ".ipynb", ".sh", ".bash", ".zsh", ".ksh",
+    ],
+    "document": [".md", ".mdx", ".txt", ".rst", ".html"],
+    "pdf": [".pdf"],
+    "image": [".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg"],
+    "office": [".docx", ".xlsx"],
+    "video": [".mp4", ".mov", ".avi", ".webm", ".mkv", ".mp3", ".wav", ".m4a"],
+    "config": [".yaml", ".yml", ".toml", ".json"],
+}
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, content) of files below a folder, without ignored ones and dot files."""
+    """(path, length, modified, content) of files below a folder, without ignored ones and what is in dot folders or dot files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hidden = F.col("path").rlike(r"/\.[^/]+$")
-    inside = F.col("path").rlike("/(?:" + "|".join(d.replace(".", r"\.") for d in IGNORED_DIRS) + ")/")
+    below = F.regexp_replace("path", "^.*?" + re.escape(root.split("://")[-1].rstrip("/")) + "/", "/")
+    hidden = below.rlike(r"/\.[^/]+(?:/|$)")
+    inside = below.rlike("/(?:" + "|".join(d.replace(".", r"\.") for d in IGNORED_DIRS) + ")/")
     ends = F.lower("path").rlike("(?:" + "|".join(e.replace(".", r"\.") for e in IGNORED_ENDS) + ")$")
     return rows.where(~hidden & ~inside & ~ends).select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
 def is_binary(content: Column) -> Column:
     """Whether a NUL byte is in the first 8,192 bytes."""
-    return F.instr(F.hex(F.substring(content, 1, 8192)).substr(1, 16384), "00") % 2 == 1
+    return F.contains(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), F.lit("\0"))
 
 
 def extension(path: Column) -> Column:
@@ -45,7 +53,7 @@ def route(path: Column, head: Column | None = None) -> Column:
     """The pipeline of a path; API descriptions are told by the head of JSON and YAML; unknown ones are documents."""
     ext, out = extension(path), F.lit("document")
     for name, ends in PIPELINES.items():
-        out = F.when(ext.isin(ends.split()), name).otherwise(out)
+        out = F.when(ext.isin(ends), name).otherwise(out)
     if head is not None:
         api = ext.isin(".json", ".yaml", ".yml") & F.lower(F.substring(head, 1, 2048)).rlike("openapi|swagger")
         out = F.when(api, "api_spec").otherwise(out)
