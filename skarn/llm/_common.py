@@ -20,16 +20,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, so that a lost executor costs one re-read.
 
-    The session names the folder in spark.checkpoint.dir; only a session without one (a local
+    The session names the folder in spark.checkpoint.dir; only a local session without one (a
     test) gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skarn-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the session names, or a temporary one of a local session."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="skarn-checkpoint-")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> Iterator[None]:
     """Smaller Arrow batches for what runs inside, to bound the memory of Python workers."""

@@ -7,15 +7,16 @@ shingles it is the Jaccard index.
 Method: each shingle is a Poisson process whose rate is its weight; an arrival picks a register,
 and a register keeps the shingle that reached it first.  Arrivals are generated only up to a time
 by which all registers are reached (later ones for the few texts where some are not), so work
-stays near the text's length.  Bands of registers bucket texts; in a bucket each text meets only
-the bucket's two pivots first, so a bucket of any size opens with two candidates a member.
-Signature agreement drops hopeless candidates and exact similarity decides.  Each text first
-checks its likeliest pivot, and then only pivots that are not yet in its own component.
-
-What the pivots leave is settled in blocks: of a bucket whose other members are still in several
-components, each pair of blocks is a group of its own (the largest component never meets itself),
-and a pair belongs to the first bucket that it shares.  Closest partners are checked first; then
-every pair that is still in two components is, so no such pair of a bucket is left unchecked.
+stays near the text's length.  Bands of registers bucket texts.
+
+A bucket's pivot is its member with the most company in all its buckets (the original of many
+edits, rather than one of the edits).  Each text checks the pivot that it shares most bands with,
+exactly; as pivots are above their members in that order, these links make trees, whose roots are
+found by doubling.  What the trees leave is settled in blocks: of a bucket whose members are still
+in several components, each pair of blocks is a group of its own (the largest component never
+meets itself), and a pair belongs to the first bucket that it shares.  There signature agreement
+drops hopeless pairs and exact similarity decides, likeliest first, so that no pair of a bucket in
+two components is left unchecked.  The classes thus don't depend on pivots, blocks or partitions.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ._common import Slots, char_blocks, durable, mix64, small_batches
+from ._common import Slots, char_blocks, durable, mix64, small_batches, spare
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,8 +38,8 @@ REGISTERS = BANDS * ROWS
 #: Candidates whose signatures agree in a smaller share are dropped: five standard deviations below.
 HOPELESS = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / REGISTERS)
 BLOCK_CHARS, BLOCK_ROWS, CACHE_WORDS = 500_000, 500, 100_000
-#: Members of a bucket in a block, and the partners that a member checks first in a pair of blocks.
-MEMBERS, CLOSEST = 128, 2
+#: Members of a bucket in a block; of a bucket that check their pivot in one group; pairs compared at a time.
+MEMBERS, TOGETHER, PAIRS = 128, 128, 50_000
 PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,72 +163,88 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-@F.pandas_udf(DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-    return pd.Series((x == y).mean(1))
+GROUP = "h long, i long, j long, side int, nid long, label long, bands array<long>, bits binary"
+GROUP_COLUMNS = [column.split()[0] for column in GROUP.split(", ")]
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingler, kept = Shingler(), {}
-
-    def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-        if (got := kept.get(text)) is None:
-            if len(kept) >= 64:
-                kept.clear()
-            got = kept[text] = shingler.shingles([text])[1:]
-        return got
-
+def _to_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links (u, p) of texts that are similar to their pivot, the row without a u before them."""
+    shingler, pivot = Shingler(), None
     for batch in batches:
-        same = [similarity(weighted(x), weighted(y)) >= THRESHOLD for x, y in zip(batch["ta"], batch["tb"], strict=True)]
-        yield batch.loc[same, ["u", "v"]]
+        texts, below = batch["text"].tolist(), batch["u"].notna().to_numpy()
+        same = np.zeros(len(batch), bool)
+        for lo, hi in char_blocks(map(len, texts), BLOCK_CHARS, BLOCK_ROWS):
+            owner, items, weights = shingler.shingles(texts[lo:hi])
+            ends = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False), lo):
+                own = items[x:y], weights[x:y]
+                if below[k]:
+                    same[k] = similarity(own, pivot) >= THRESHOLD
+                else:
+                    pivot = own[0].copy(), own[1].copy()
+        yield batch.loc[same, ["u", "p"]].astype(np.int64)
 
 
 def _open_pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, agreement) of a group's pairs that its bucket has to settle, likeliest first."""
+    """(row, row, agreement) of the pairs that their bucket has to settle, for rows sorted by h, i, j and side."""
+    h, i, j, side, label = (frame[c].to_numpy() for c in ("h", "i", "j", "side", "label"))
+    none = np.zeros(0, np.int64)
+    found, ready, size = [(none, none, np.zeros(0))], [], 0
+    if not len(frame):
+        return found[0]
     bands = np.stack(frame["bands"].to_list())
     bits = np.frombuffer(b"".join(frame["bits"]), np.uint8).reshape(len(frame), -1)
-    label, side, h = frame["label"].to_numpy(), frame["side"].to_numpy(), frame["h"].iloc[0]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    within = frame["i"].iloc[0] == frame["j"].iloc[0]
-    found = []
-    for a in left:
-        b = left[left > a] if within else right
-        b = b[label[b] != label[a]]
-        b = b[bands[b, (bands[b] == bands[a]).argmax(1)] == h]
-        agree = (bits[b] == bits[a]).mean(1)
-        b, agree = b[agree >= HOPELESS], agree[agree >= HOPELESS]
-        found.append((np.full(len(b), a), b, agree))
-    a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(-agree, kind="stable")
-    return a[order], b[order], agree[order]
-
-
-def _ends(frame: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    nid = frame["nid"].to_numpy()
-    return pd.DataFrame([sorted((nid[a], nid[b])) for a, b in pairs], columns=["u", "v"], dtype=np.int64)
-
-
-def _closest(frame: pd.DataFrame) -> pd.DataFrame:
-    """The likeliest open pairs of each member of a group."""
-    frame = frame.sort_values("nid", kind="stable")
-    met, pairs = np.zeros(len(frame), np.int64), []
-    for a, b, _ in zip(*_open_pairs(frame), strict=True):
-        if min(met[a], met[b]) < CLOSEST:
-            pairs.append((a, b))
-        met[a] += 1
-        met[b] += 1
-    return _ends(frame, pairs)
+
+    def settle() -> None:
+        a, b = (np.concatenate(x) for x in zip(*ready, strict=True))
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        agree = (bits[a] == bits[b]).mean(1)
+        a, b, agree = a[agree >= HOPELESS], b[agree >= HOPELESS], agree[agree >= HOPELESS]
+        mine = bands[a, (bands[a] == bands[b]).argmax(1)] == h[a]
+        found.append((a[mine], b[mine], agree[mine]))
+
+    edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+    lefts = np.add.reduceat(side == 0, edge[:-1])
+    for lo, hi, left in zip(edge[:-1].tolist(), edge[1:].tolist(), lefts.tolist(), strict=True):
+        if i[lo] == j[lo]:
+            a, b = np.triu_indices(left, 1)
+        else:
+            a, b = np.repeat(np.arange(left), hi - lo - left), np.tile(np.arange(left, hi - lo), left)
+        ready.append((a + lo, b + lo))
+        size += len(a)
+        if size >= PAIRS:
+            settle()
+            ready, size = [], 0
+    if ready:
+        settle()
+    a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b, agree
+
+
+def _hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted groups that are in a pair which their group has to settle."""
+
+    def some(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = _open_pairs(frame)
+        return frame.iloc[np.unique(np.concatenate([a, b]))]
+
+    rest = None
+    for batch in batches:
+        frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        last = frame[["h", "i", "j"]].iloc[-1] if len(frame) else None
+        whole = int(((frame["h"] != last["h"]) | (frame["i"] != last["i"]) | (frame["j"] != last["j"])).sum()) if len(frame) else 0
+        yield some(frame.iloc[:whole])
+        rest = frame.iloc[whole:].reset_index(drop=True)
+    if rest is not None:
+        yield some(rest)
 
 
 def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """All similar open pairs of a group, without those that earlier ones have put in one component."""
-    frame = frame.sort_values("nid", kind="stable")
+    """Links of a group's components by similar pairs, likeliest first, without those that earlier links imply."""
+    frame = frame.sort_values(["side", "nid"], kind="stable")
     shingler, kept = Shingler(), {}
-    texts, label = frame["text"].to_list(), dict(enumerate(frame["label"]))
+    texts, label = frame["text"].to_list(), frame["label"].to_list()
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -238,25 +254,33 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
 
     def weighted(k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in kept:
-            kept[k] = shingler.shingles([texts[k] or ""])[1:]
+            kept[k] = shingler.shingles([texts[k]])[1:]
         return kept[k]
 
-    pairs = []
-    for a, b, _ in zip(*_open_pairs(frame), strict=True):
-        x, y = root(label[a]), root(label[b])
-        if x != y and similarity(weighted(a), weighted(b)) >= THRESHOLD:
+    links = []
+    a, b, agree = _open_pairs(frame)
+    for k in np.argsort(-agree, kind="stable"):
+        x, y = root(label[a[k]]), root(label[b[k]])
+        if x != y and similarity(weighted(a[k]), weighted(b[k])) >= THRESHOLD:
             parent[x] = y
-            pairs.append((a, b))
-    return _ends(frame, pairs)
+            links.append(sorted((label[a[k]], label[b[k]])))
+    return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
+
+
+def _alone(*columns: str) -> list:
+    """Grouping columns and one that follows from them.
+
+    Sums by these are dealt otherwise than a join on the columns needs, so that the join has
+    exchanges of its own on both sides and the rows of a hot key can be split.
+    """
+    return [*columns, F.hash(*columns).alias("_dealt")]
 
 
-def _open_groups(crowd: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _open_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of buckets in several components, once for each pair of blocks (h, i, j) they are in."""
-    now = crowd.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("h", "nid", F.coalesce("label", "nid").alias("label"))
-    now = durable(now)
+    now = durable(members.join(labels, "nid", "left").select("h", "nid", F.coalesce("label", "nid").alias("label")))
     sizes = now.groupBy("h", "label").agg(F.count("*").alias("n"))
-    largest = F.max(F.struct("n", "label"))
-    stats = sizes.groupBy("h").agg(largest.alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    stats = sizes.groupBy(*_alone("h")).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     blocks_of = lambda n: F.ceil(n / F.lit(float(MEMBERS))).cast("long")
     stats = stats.select("h", F.col("top.label").alias("main"), blocks_of(F.col("top.n")).alias("sm"), blocks_of(F.col("n") - F.col("top.n")).alias("so"))
     is_main = F.col("label") == F.col("main")
@@ -267,7 +291,31 @@ def _open_groups(crowd: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     others = F.transform(upto(F.col("so")), lambda x: at(F.least(b, x), F.greatest(b, x), b > x))
     mains = F.transform(upto(F.col("sm")), lambda x: at(b, -1 - x, F.lit(0)))
     rows = now.join(stats, "h").withColumn("at", F.explode(F.when(is_main, as_main).otherwise(F.concat(others, mains))))
-    return rows.select("h", "at.*", "nid", "label").join(nodes.select("nid", "bands", "bits"), "nid")
+    return rows.select("h", "at.*", "nid", "label").join(nodes.select("nid", "bands", "bits"), "nid").select(*GROUP_COLUMNS)
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(u, p, n): for each text below a pivot the one it shares most bands with, and a size for blocks."""
+    company = members.groupBy(*_alone("nid")).agg(F.sum("n").alias("w")).drop("_dealt")
+    weighed = members.join(company, "nid")
+    tops = weighed.groupBy(*_alone("h")).agg(F.max(F.struct("w", "nid")).alias("top"))
+    tops = tops.select("h", F.col("top.nid").alias("p"), F.col("top.w").alias("w"))
+    met = members.join(tops, "h").where("nid <> p").select(F.col("nid").alias("u"), "p", "w", "n")
+    shared = met.groupBy("u", "p").agg(F.count("*").alias("bands"), F.max("w").alias("w"), F.max("n").alias("n"))
+    best = shared.groupBy("u").agg(F.max(F.struct("bands", "w", "p", "n")).alias("b"))
+    return best.select("u", "b.p", F.ceil(F.col("b.n") / F.lit(float(TOGETHER))).cast("long").alias("n"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(nid, label) of the texts in trees of links (u, p): label is the tree's root."""
+    now = durable(parents.select("u", "p"))
+    while True:
+        above = now.select(F.col("u").alias("p"), F.col("p").alias("over"))
+        step = now.join(above, "p", "left").select("u", F.coalesce("over", "p").alias("p"), F.col("over").isNotNull().alias("moved"))
+        step = durable(step)
+        now = step.select("u", "p")
+        if not step.agg(F.max("moved")).first()[0]:
+            return now.select(F.col("u").alias("nid"), F.col("p").alias("label"))
 
 
 def text_key(text):
@@ -275,12 +323,6 @@ def text_key(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    return pairs.join(texts.select(F.col("nid").alias("u"), F.col("text").alias("ta")), "u").join(
-        texts.select(F.col("nid").alias("v"), F.col("text").alias("tb")), "v"
-    )
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate classes; see `_near_duplicates`, which runs with small Arrow batches."""
     with small_batches(docs.sparkSession):
@@ -293,10 +335,11 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id of the row's component of similar texts; keeper tells the rows
     that hold the component's chosen text under that id.  Equal texts are always one class,
     whatever their ids; texts without words are similar only to equal ones.  Null texts count as
-    empty.  Null ids come last: a class of null ids alone has a null class_id.
+    empty.  Null ids come last: a class of null ids alone has a null class_id.  Repeated rows are
+    returned as often as they come; other columns of `docs` play no part; no rows give no rows.
     """
     named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("key")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key(F.col("text").cast("string")).alias("key")
     )
     sketched = durable(named.mapInPandas(_sketch, "doc_id long, key binary, bands array<long>, bits binary"))
     last_id = F.lit(2**63 - 1)
@@ -304,66 +347,31 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = durable(
         sketched.groupBy("key").agg(first.alias("x")).select("key", "x.*", F.monotonically_increasing_id().alias("nid"))
     )
-    # Two pivots a bucket, the least and the greatest in an order of the bucket's own.
-    own = F.col("nid").bitwiseXOR(F.shiftrightunsigned(F.xxhash64("h"), 1))
     rows = nodes.select("nid", F.explode("bands").alias("h"))
-    back = lambda c: F.col(c).bitwiseXOR(F.shiftrightunsigned(F.xxhash64("h"), 1)).alias(c)
-    pivots = durable(
-        rows.groupBy("h")
-        .agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi")
-        .select("h", back("lo"), back("hi"), "n")
-    )
-    each = pivots.select("h", F.explode(F.array("lo", "hi")).alias("pivot"))
-    met = rows.join(each, "h").where("nid <> pivot").select(F.least("nid", "pivot").alias("u"), F.greatest("nid", "pivot").alias("v"))
-    # Members that meet others only through pivots; in smaller buckets every pair has a pivot.
-    crowd = durable(rows.join(pivots.where("n > 3"), "h").where("nid <> lo and nid <> hi").select("h", "nid"))
-    bits = nodes.select("nid", "bits")
-    likely = durable(
-        met.distinct()
-        .join(bits.select(F.col("nid").alias("u"), F.col("bits").alias("bu")), "u")
-        .join(bits.select(F.col("nid").alias("v"), F.col("bits").alias("bv")), "v")
-        .select("u", "v", _agreement("bu", "bv").alias("agree"))
-        .where(F.col("agree") >= HOPELESS)
-    )
-    involved = likely.select(F.explode(F.array("u", "v")).alias("nid")).unionAll(crowd.select("nid")).distinct()
-    chosen = nodes.join(involved, "nid").select("nid", "key", F.col("rep"))
+    company = rows.groupBy(*_alone("h")).agg(F.count("*").alias("n")).where("n > 1").drop("_dealt")
+    members = durable(rows.join(company, "h").select("h", "nid", "n"))
+    chosen = nodes.join(members.select("nid").distinct(), "nid").select("nid", "key", "rep")
     texts = durable(
         named.withColumn("rep", F.coalesce("doc_id", last_id))
         .join(chosen, ["rep", "key"])
         .select("nid", "text")
         .dropDuplicates(["nid"])
     )
-    # First each text's likeliest partner; then what could still join two components.
-    ends = likely.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"), "agree")
-    best = ends.groupBy("e.u").agg(F.max(F.struct("agree", F.col("e.v").alias("v"))).alias("b"))
-    opening = best.select(F.least("u", "b.v").alias("u"), F.greatest("u", "b.v").alias("v")).distinct()
-    linked = durable(_with_text(opening, texts).mapInPandas(_verify, "u long, v long"))
-    labels = durable(connected_components(linked))
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    rest = (
-        likely.select("u", "v")
-        .join(opening, ["u", "v"], "left_anti")
-        .join(side("u"), "u", "left")
-        .join(side("v"), "v", "left")
-        .where(F.coalesce("lu", "u") != F.coalesce("lv", "v"))
-        .select("u", "v")
-    )
-    # With them the closest pairs without a pivot; then all pairs that are left in two components.
-    near = durable(_open_groups(crowd, labels, nodes).groupBy("h", "i", "j").applyInPandas(_closest, "u long, v long"))
-    more = durable(_with_text(rest.unionAll(near), texts).mapInPandas(_verify, "u long, v long"))
-    if not more.isEmpty():
-        linked = linked.unionAll(more)
-        labels = durable(connected_components(linked))
-    if not near.isEmpty():
-        open_texts = _open_groups(crowd, labels, nodes).join(texts, "nid")
-        last = durable(open_texts.groupBy("h", "i", "j").applyInPandas(_settle, "u long, v long"))
-        if not last.isEmpty():
-            labels = durable(connected_components(linked.unionAll(last)))
-    labelled = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select(
-        "key", "rep", F.coalesce("label", "nid").alias("label")
-    )
-    heads = labelled.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("head"))
+    best = durable(_pivots(members).withColumn("part", F.pmod(F.xxhash64("u"), F.col("n"))))
+    below = best.join(texts.withColumnRenamed("nid", "u"), "u").select("u", "p", "part", "text")
+    above = best.select("p", "part").distinct().join(texts.withColumnRenamed("nid", "p"), "p")
+    groups = below.unionByName(above.select(F.lit(None).cast("long").alias("u"), "p", "part", "text"))
+    groups = groups.repartition("p", "part").sortWithinPartitions("p", "part", F.col("u").asc_nulls_first())
+    labels = _roots(groups.mapInPandas(_to_pivot, "u long, p long"))
+    crowd = _open_groups(members, labels, nodes).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "nid")
+    crowd = durable(crowd.mapInPandas(_hopeful, GROUP))
+    links = durable(crowd.join(texts, "nid").groupBy("h", "i", "j").applyInPandas(_settle, "u long, v long"))
+    labelled = nodes.select("key", "rep", "nid").join(labels, "nid", "left").select("key", "rep", F.coalesce("label", "nid").alias("label"))
+    if not links.isEmpty():
+        merged = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+        labelled = labelled.join(merged, "label", "left").select("key", "rep", F.coalesce("whole", "label").alias("label"))
+    labelled = durable(labelled)
+    heads = labelled.groupBy(*_alone("label")).agg(F.min(F.struct("rep", "key")).alias("head"))
     classes = labelled.join(heads, "label").select("key", "head")
     return sketched.select("doc_id", "key").join(classes, "key").select(
         "doc_id",
@@ -375,7 +383,8 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of `docs`: the keeper, once if it is repeated."""
-    keepers = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", text_key(F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
-    mine = keyed.join(keepers.withColumnsRenamed({"_id": "_kid", "_key": "_kkey"}), (F.col("_key") == F.col("_kkey")) & F.col("_id").eqNullSafe(F.col("_kid")))
-    return mine.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    doc, key, own_id, own_key = (spare(docs, x) for x in ("kept_id", "kept_key", "own_id", "own_key"))
+    keepers = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct()
+    keyed = docs.withColumns({own_key: text_key(F.col("text").cast("string")), own_id: F.col("doc_id").cast("long")})
+    mine = keyed.join(keepers, (F.col(own_key) == F.col(key)) & F.col(own_id).eqNullSafe(F.col(doc)))
+    return mine.dropDuplicates([own_key, own_id]).select(*docs.columns)
