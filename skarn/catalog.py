@@ -111,8 +111,9 @@ register(
     SELECT node, count(*) AS degree FROM e2 GROUP BY node ORDER BY degree DESC, node LIMIT 10""", *G,
 )
 register(
-    "isolated_nodes", _graph(g.isolated),
-    "SELECT qualified_name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degrees ON node = qualified_name WHERE kind <> 'File' AND coalesce(degree, 0) <= 1", *G, ENDS,
+    "isolated_nodes", _graph(lambda n, e: g.isolated(n, e.where("kind = 'TESTED_BY'"))),
+    """, te AS (SELECT source AS node FROM edges WHERE kind = 'TESTED_BY' UNION ALL SELECT target FROM edges WHERE kind = 'TESTED_BY'), td AS (SELECT node, count(*) AS degree FROM te GROUP BY node)
+    SELECT qualified_name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN td ON node = qualified_name WHERE kind <> 'File' AND coalesce(degree, 0) <= 1""", *G,
 )
 register(
     "untested_hotspots", _graph(lambda n, e: g.untested_hotspots(n, e, 5, 20)),
@@ -120,8 +121,8 @@ register(
     AND node NOT IN (SELECT source FROM edges WHERE kind = 'TESTED_BY') ORDER BY degree DESC, node LIMIT 20""", *G, ENDS,
 )
 register(
-    "single_file_communities", lambda s, d: g.single_file_communities(a.nodes(s, d).where("file_type = 'document'").withColumn("file_path", F.col("language"))),
-    "SELECT community_id, count(*) AS n, count(DISTINCT language) AS files FROM nodes WHERE file_type = 'document' AND community_id IS NOT NULL GROUP BY community_id HAVING count(DISTINCT language) = 1 AND count(*) >= 3", a.NODES,
+    "single_file_communities", lambda s, d: g.single_file_communities(a.nodes(s, d).where("kind = 'Class' or file_type = 'document' and community_id < 3")),
+    "SELECT community_id, count(*) AS n, count(DISTINCT file_path) AS files FROM nodes WHERE (kind = 'Class' OR file_type = 'document' AND community_id < 3) AND community_id IS NOT NULL GROUP BY community_id HAVING count(DISTINCT file_path) = 1 AND count(*) >= 3", a.NODES,
 )
 COMMUNITY_ENDS = """ce AS (SELECT e.kind, source, target, x.community_id AS a, y.community_id AS b FROM edges e
   LEFT JOIN nodes x ON source = x.qualified_name LEFT JOIN nodes y ON target = y.qualified_name)"""
@@ -147,9 +148,10 @@ register(
     SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, source, target, kind LIMIT 50""", *G, ENDS,
 )
 register(
-    "move_suggestions", _graph(g.move_suggestions),
-    """, p AS (SELECT target, min(a) AS low, max(a) AS high FROM ce WHERE kind = 'CALLS' AND a IS NOT NULL GROUP BY target HAVING min(a) = max(a))
-    SELECT target, community_id AS from_community, low AS to_community FROM p JOIN nodes ON target = qualified_name WHERE low <> community_id""", *G, COMMUNITY_ENDS,
+    "move_suggestions", _graph(lambda n, e: g.move_suggestions(n.withColumn("community_id", F.when(F.col("file_type") == "code", 0).otherwise(F.col("community_id") % 5)), e)),
+    """, c AS (SELECT qualified_name, CASE WHEN file_type = 'code' THEN 0 ELSE community_id % 5 END AS c FROM nodes WHERE file_type = 'code' OR community_id IS NOT NULL),
+    p AS (SELECT target, min(c) AS low, max(c) AS high FROM edges JOIN c ON source = qualified_name WHERE kind = 'CALLS' GROUP BY target HAVING min(c) = max(c))
+    SELECT target, c AS from_community, low AS to_community FROM p JOIN c ON target = qualified_name WHERE low <> c""", *G,
 )
 register(
     "dead_code", _graph(g.dead_code),
@@ -198,7 +200,14 @@ register(
     """, w AS (SELECT 'nation::3' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN edges ON node = source AND kind <> 'TESTED_BY' WHERE depth < 3)
     SELECT node, min(depth) AS depth FROM w GROUP BY node""", a.EDGES,
 )
-register("shortest_path", lambda s, d: tr.shortest_path(a.edges(s, d), "customer::1", "region::2").select("step", "node"))
+register(
+    "shortest_path", lambda s, d: tr.shortest_path(a.edges(s, d), "customer::1", "region::2").select("step", "node"),
+    """, w AS (SELECT 'customer::1' AS node, 0 AS depth UNION SELECT next, depth + 1 FROM w JOIN steps ON w.node = steps.node WHERE depth < 6),
+    d AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
+    up AS (SELECT s.next AS node, min(s.node) AS parent FROM steps s JOIN d x ON x.node = s.next JOIN d y ON y.node = s.node AND y.depth = x.depth - 1 GROUP BY s.next),
+    b AS (SELECT node, depth FROM d WHERE node = 'region::2' UNION ALL SELECT parent, b.depth - 1 FROM b JOIN up ON up.node = b.node WHERE b.depth > 0)
+    SELECT depth AS step, node FROM b""", a.EDGES, UNDIRECTED,
+)
 register(
     "dependent_files", lambda s, d: tr.dependents(a.nodes(s, d), a.edges(s, d), s.createDataFrame([("nation/1/supplier.py",)], "file_path string")),
     """, fe AS (SELECT DISTINCT y.file_path AS used, x.file_path AS uses FROM edges e JOIN nodes x ON source = x.qualified_name JOIN nodes y ON target = y.qualified_name
@@ -319,8 +328,13 @@ register(
     """SELECT id, query_id, cost, round(0.4::DOUBLE * relevance + 0.25::DOUBLE / (1 + distance) + 0.2::DOUBLE / (1 + age_days / 30.0::DOUBLE) + 0.15::DOUBLE * least(access_count / 10.0::DOUBLE, 1.0)
       + 0.1::DOUBLE * (len(list_intersect(['small', 'widget'], string_split(lower(name), ' '))) / len(list_distinct(list_concat(['small', 'widget'], string_split(lower(name), ' '))))), 6) AS score FROM candidates""", a.CANDIDATES,
 )
-register("pack_context", lambda s, d: sc.pack(sc.pack_score(a.candidates(s, d), "small widget"), 200))
-register("quality_signals", lambda s, d: sc.quality_signals(a.session_events(s, d), a.observations(s, d)))
+PACKED = ORACLE["pack_scores"].replace("SELECT id, query_id, cost, round(", ", scored AS (SELECT id, query_id, cost, round(", 1).split("AS (", 1)[1]
+register(
+    "pack_context", lambda s, d: sc.pack(sc.pack_score(a.candidates(s, d), "small widget"), 200),
+    """), l AS (SELECT query_id, list({'cost': cost::BIGINT, 'used': 0::BIGINT, 'n': 0} ORDER BY score / greatest(cost, 1) DESC, id) AS x FROM scored GROUP BY query_id),
+    r AS (SELECT query_id, len(x) AS n, list_reduce(list_prepend({'cost': 0::BIGINT, 'used': 0::BIGINT, 'n': 0}, x), lambda s, i: CASE WHEN s.used + i.cost <= 200 THEN {'cost': 0::BIGINT, 'used': s.used + i.cost, 'n': s.n + 1} ELSE s END) AS p FROM l)
+    SELECT query_id, p.n::INT AS n_packed, p.used AS used, (n - p.n)::INT AS n_skipped FROM r""", "candidates AS (" + PACKED,
+)
 
 # --- text and search
 
@@ -339,7 +353,6 @@ register(
     "SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 30) AS slug FROM documents",
 )
 register("compressed_texts", lambda s, d: a.table(s, d, "conversations").select("conv_id", "turn", tx.compress(F.col("text"), "ultra").alias("compressed")))
-register("html_texts", lambda s, d: a.table(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text")))
 BM25_WORDS = ["the", "license", "mit"]
 register(
     "bm25_top", lambda s, d: se.bm25(a.table(s, d, "documents"), BM25_WORDS, 20),
@@ -361,8 +374,8 @@ register(
     SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 15""",
 )
 register(
-    "rank_fusion", lambda s, d: se.fuse([a.table(s, d, "part").where("p_partkey < 50").select("p_partkey", F.col("p_partkey").alias("place")), a.table(s, d, "part").where("p_partkey between 30 and 80").select("p_partkey", (80 - F.col("p_partkey")).alias("place"))], "p_partkey"),
-    """WITH u AS (SELECT p_partkey, p_partkey AS place FROM part WHERE p_partkey < 50 UNION ALL SELECT p_partkey, 80 - p_partkey FROM part WHERE p_partkey BETWEEN 30 AND 80)
+    "rank_fusion", lambda s, d: se.fuse([se.placed(a.table(s, d, "part"), "p_partkey", c) for c in ("p_retailprice", "p_size")], "p_partkey"),
+    """WITH u AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS place FROM part UNION ALL SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 FROM part)
     SELECT p_partkey, round(sum(1.0::DOUBLE / (60 + place + 1)), 8) AS score FROM u GROUP BY p_partkey""",
 )
 register(
@@ -375,23 +388,19 @@ register(
 
 from .operators import community as co  # noqa: E402
 
-register("communities", _graph(lambda n, e: co.propagate(n, e.where("kind <> 'TESTED_BY'"), 3)))
-register("folder_groups", lambda s, d: co.by_folder(a.nodes(s, d), 2), "SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS folder, count(*) AS n FROM nodes GROUP BY 1", a.NODES)
-register("community_names", lambda s, d: co.names(a.nodes(s, d).where("community_id is not null").select(F.col("community_id").alias("community"), "name", "file_path")))
+ROUNDS = "".join(
+    f""", v{i} AS (SELECT e.a AS node, label, w FROM both_ways e JOIN l{i - 1} ON e.b = node UNION ALL SELECT node, label, 0.5 FROM l{i - 1}), s{i} AS (SELECT node, label, round(sum(w), 6) AS w FROM v{i} GROUP BY 1, 2),
+    l{i} AS (SELECT node, arg_min(label, (-w, label)) AS label FROM s{i} GROUP BY node)"""
+    for i in (1, 2, 3)
+)
 register(
-    "risk_scores", _graph(sc.risk),
-    f""", calls AS (SELECT target, count(*) AS callers, count(DISTINCT CASE WHEN a <> b THEN a END) AS foreign_c FROM ce WHERE kind = 'CALLS' GROUP BY target),
-    tests AS (SELECT source, count(*) AS tests FROM edges WHERE kind = 'TESTED_BY' GROUP BY source)
-    SELECT qualified_name, round(greatest(0.0, least(1.0, least(0.05::DOUBLE * coalesce(foreign_c, 0), 0.15) + 0.30::DOUBLE - least(coalesce(tests, 0) / 5.0::DOUBLE, 1.0) * 0.25::DOUBLE
-      + CASE WHEN regexp_matches(lower(name), '{'|'.join(sc.SECURITY)}') THEN 0.20::DOUBLE ELSE 0.0 END + least(coalesce(callers, 0) / 20.0::DOUBLE, 0.10))), 4) AS risk
-    FROM nodes LEFT JOIN calls ON qualified_name = target LEFT JOIN tests ON qualified_name = source WHERE kind <> 'File'""", *G, COMMUNITY_ENDS,
+    "communities", _graph(lambda n, e: co.propagate(n, e.where("kind <> 'TESTED_BY'"), 3)),
+    """, once AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(CASE kind WHEN 'CALLS' THEN 1.0::DOUBLE WHEN 'CONTAINS' THEN 0.3 WHEN 'DEPENDS_ON' THEN 0.6 ELSE 0.5 END) AS w FROM edges WHERE kind <> 'TESTED_BY' AND source <> target GROUP BY 1, 2),
+    both_ways AS (SELECT a, b, w FROM once UNION ALL SELECT b, a, w FROM once), l0 AS (SELECT qualified_name AS node, qualified_name AS label FROM nodes)""" + ROUNDS + """
+    SELECT node, label AS community FROM l3 WHERE label IN (SELECT label FROM l3 GROUP BY label HAVING count(*) >= 2)""", *G,
 )
-register(
-    "token_costs", lambda s, d: sc.token_cost(a.telemetry(s, d).select("event_id", F.concat(F.lit("model-"), F.element_at(F.array(F.lit("opus-4"), F.lit("Sonnet-4"), F.lit("haiku"), F.lit("other")), (F.col("event_id") % 4 + 1).cast("int"))).alias("model"), F.col("before_tokens").alias("tokens_in"), F.col("after_tokens").alias("tokens_out"))).select("event_id", "family", "cost"),
-    """, p AS (SELECT event_id, before_tokens, after_tokens, (['opus', 'sonnet', 'haiku', 'sonnet'])[event_id % 4 + 1] AS family FROM telemetry)
-    SELECT event_id, family, round((before_tokens * CASE family WHEN 'opus' THEN 15.0::DOUBLE WHEN 'sonnet' THEN 3.0 ELSE 0.8 END + after_tokens * CASE family WHEN 'opus' THEN 75.0::DOUBLE WHEN 'sonnet' THEN 15.0 ELSE 4.0 END) / 1e6, 8) AS cost FROM p""", a.TELEMETRY,
-)
-register("waste_findings", lambda s, d: sc.waste(te.busy_sessions(a.session_events(s, d), 0), a.observations(s, d), te.redundant_hashes(a.pipeline_runs(s, d), 3)))
+register("folder_groups", lambda s, d: co.by_folder(a.nodes(s, d), 2), "SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS folder, count(*) AS n FROM nodes GROUP BY 1", a.NODES)
+register("community_names", lambda s, d: co.names(a.nodes(s, d).where("community_id is not null").select(F.col("community_id").alias("community"), "name", "file_path")))
 
 # --- order-dependent operators
 
@@ -426,3 +435,5 @@ register(
     "content_sizes", lambda s, d: a.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes")),
     "SELECT lang, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
 )
+
+from . import catalog_more, catalog_outputs  # noqa: E402, F401

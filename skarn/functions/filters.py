@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 
 from .text import head_tail, mask_log, mask_secret
 
-Way = Callable[[Column], Column]
+
+@dataclass(frozen=True)
+class Way:
+    """A way to cut an output: its kind, what it is set to, and the column expression."""
+
+    kind: str
+    args: tuple
+    cut: Callable[[Column], Column]
+
+    def __call__(self, text: Column) -> Column:
+        return self.cut(text)
 
 
 def _lines(text: Column) -> Column:
@@ -32,19 +42,19 @@ def _first(lines: Column, n: int) -> Column:
 
 
 def head(n: int) -> Way:
-    return lambda text: _first(_lines(text), n)
+    return Way("head", (n,), lambda text: _first(_lines(text), n))
 
 
 def drop(pattern: str, n: int) -> Way:
-    return lambda text: _first(F.filter(_lines(text), lambda x: ~x.rlike(pattern)), n)
+    return Way("drop", (pattern, n), lambda text: _first(F.filter(_lines(text), lambda x: ~x.rlike(pattern)), n))
 
 
 def kept(pattern: str, n: int) -> Way:
-    return lambda text: _first(F.filter(_lines(text), lambda x: x.rlike(pattern)), n)
+    return Way("kept", (pattern, n), lambda text: _first(F.filter(_lines(text), lambda x: x.rlike(pattern)), n))
 
 
 def ends(n: int, above: int) -> Way:
-    return lambda text: head_tail(text, n, above)
+    return Way("ends", (n, above), lambda text: head_tail(text, n, above))
 
 
 def count(n: int, **labels: str) -> Way:
@@ -54,7 +64,7 @@ def count(n: int, **labels: str) -> Way:
         shown = F.filter(lines, _matching("|".join(labels.values())))
         return F.concat_ws("\n", F.concat_ws(", ", *sizes), F.nullif(_first(shown, n), F.lit("")))
 
-    return way
+    return Way("count", (n, labels), way)
 
 
 def _matching(pattern: str) -> Callable[[Column], Column]:
@@ -69,7 +79,7 @@ def top(pattern: str, n: int) -> Way:
         pairs = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), v.alias("v")))
         return F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: F.format_string("%d %s", -p["n"], p["v"])), "\n")
 
-    return way
+    return Way("top", (pattern, n), way)
 
 
 def unique(n: int) -> Way:
@@ -79,7 +89,7 @@ def unique(n: int) -> Way:
         lines = F.array_distinct(F.transform(_lines(text), mask_log))
         return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
 
-    return way
+    return Way("unique", (n,), way)
 
 
 def masked(n: int) -> Way:
@@ -87,7 +97,7 @@ def masked(n: int) -> Way:
         key, value = F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", "")
         return F.when(x.contains("="), F.concat(key, F.lit("="), mask_secret(key, value))).otherwise(x)
 
-    return lambda text: _first(F.array_sort(F.transform(_lines(text), line)), n)
+    return Way("masked", (n,), lambda text: _first(F.array_sort(F.transform(_lines(text), line)), n))
 
 
 @dataclass(frozen=True)

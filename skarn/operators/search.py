@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .traverse import settled
+
 K1, B = 1.2, 0.75
 
 
@@ -67,6 +69,23 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
+def placed(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, place): the place from 0 of each row by a score, highest first, ties to the smaller key.
+
+    Rows are range-sorted in many tasks; a row's place is its place in its partition after those of
+    the partitions before, whose sizes are one small row each.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc_nulls_last(score), F.asc(key)]
+    ordered = settled(rows.select(key, score).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("before"))  # a row a partition
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").select(key, (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")).alias("place"))
+
+
 def fuse(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (key, place from 0): the sum of 1 / (k + place + 1)."""
     out = lists[0].select(key, "place")
