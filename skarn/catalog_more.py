@@ -117,12 +117,12 @@ register(
     "run_metadata", lambda s, d: lo.metadata(a.pipeline_runs(s, d).select(F.col("pipeline").alias("key"), F.col("file_hash").alias("value"), F.col("run_id").alias("at"))),
     "SELECT pipeline AS key, arg_max(file_hash, run_id) AS value FROM pipeline_runs GROUP BY 1", a.RUNS,
 )
-K = F.get_json_object("props", "$.k").cast("int")
 KS = "ks AS (SELECT event_id, user_id, event_type, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 
 
 def _ks(s: SparkSession, d: str) -> DataFrame:
-    return a.table(s, d, "events").select("event_id", "user_id", "event_type", "ts", K.alias("k"), K.cast("string").alias("t"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    return a.table(s, d, "events").select("event_id", "user_id", "event_type", "ts", k.alias("k"), k.cast("string").alias("t"))
 
 
 def _text(*parts) -> F.Column:

@@ -92,3 +92,56 @@ def fuse(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     for other in lists[1:]:
         out = out.unionAll(other.select(key, "place"))
     return out.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("place") + 1)), 8).alias("score"))
+
+
+def boosts(query: str) -> dict[str, float]:
+    """How much a query's form favours kinds of nodes: Pascal case classes, underscores functions, dots qualified names."""
+    q, out = query.strip(), {}
+    if q[:1].isupper() and q[1:2].islower():
+        out.update({"Class": 1.5, "Type": 1.5})
+    if "_" in q and any(c.isalpha() for c in q):
+        out["Function"] = 1.5
+    if "." in q:
+        out["qualified"] = 2.0
+    return out
+
+
+def hybrid(nodes: DataFrame, lists: list[DataFrame], query: str, k: int, files: list[str] = (), kind: str | None = None) -> DataFrame:
+    """The k nodes best by fused ranked lists (qualified_name, place), favoured by the query's form and by files at hand."""
+    favours = boosts(query)
+    factor = F.lit(1.0)
+    for name, by in favours.items():
+        rule = F.contains(F.lower("qualified_name"), F.lit(query.strip().lower())) if name == "qualified" else F.col("kind") == name
+        factor = factor * F.when(rule, by).otherwise(1.0)
+    if files:
+        factor = factor * F.when(F.col("file_path").isin(list(files)), 1.5).otherwise(1.0)
+    fused = fuse(lists, "qualified_name")
+    rows = fused.join(nodes.select("qualified_name", "kind", "file_path"), "qualified_name")
+    if kind:
+        rows = rows.where(F.col("kind") == kind)
+    return rows.select("qualified_name", "kind", F.round(F.col("score") * factor, 6).alias("score")).orderBy(F.desc("score"), "qualified_name").limit(k)
+
+
+def tiers(docs: DataFrame, query: str, k: int) -> DataFrame:
+    """(doc_id, tier, score): documents with all of the query's words, by BM25 of those; if none, those with it within words.
+
+    The second tier holds documents that have the query's letters in a row; it counts only where
+    the first is empty, and is ordered by how often it has them.
+    """
+    words = [w for w in query.lower().split() if w]
+    first = bm25(docs, words, k)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hits = F.floor((F.length(low) - F.length(F.replace(low, F.lit(query.lower()), F.lit("")))) / len(query)).cast("double")
+    second = docs.select("doc_id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+    empty = first.agg((F.count("*") == 0).alias("empty"))  # one row
+    rest = second.join(F.broadcast(empty)).where("empty").select("doc_id", F.lit(2).alias("tier"), "score")
+    return first.select("doc_id", F.lit(1).alias("tier"), "score").unionByName(rest)
+
+
+def close_words(vocabulary: DataFrame, word: str, k: int = 3, least: float = 0.6) -> DataFrame:
+    """(term, ratio): the k terms most like a word by the share of matching blocks, at least so much."""
+    from .memory import alike
+
+    found = alike(vocabulary.select(F.xxhash64("term").alias("id"), F.col("term").alias("text")), word, least)
+    named = found.join(vocabulary.select(F.xxhash64("term").alias("id"), "term"), "id")
+    return named.orderBy(F.desc("ratio"), "term").limit(k).select("term", F.round("ratio", 6).alias("ratio"))

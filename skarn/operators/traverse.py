@@ -115,3 +115,33 @@ def transitive_tests(edges: DataFrame, start: DataFrame, hops: int = 1) -> DataF
     near = reach(edges.where(F.col("kind") == "CALLS"), start, hops, directed=True)
     tests = edges.where(F.col("kind") == "TESTED_BY").select(F.col("source").alias("node"), F.col("target").alias("test"))
     return near.join(tests, "node").groupBy("test").agg((F.min("depth") > 0).alias("indirect"))
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 1 << 30) -> DataFrame:
+    """(node, score): how often a node lies between a pivot (node) and the others, over shortest directed paths.
+
+    The counts of shortest paths are summed level by level from all pivots at once; then each level
+    hands its share back to the one before, in proportion to the paths.  With every node as a pivot
+    this is betweenness without its normalisation; with some, an estimate of a share of it.
+    """
+    steps = settled(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node <> next").distinct())
+    frontier = settled(pivots.select(F.col("node").alias("pivot"), "node").distinct().withColumn("paths", F.lit(1.0)))
+    levels, seen = [frontier], frontier.select("pivot", "node")
+    while len(levels) <= depth:
+        reached = frontier.join(steps, "node").groupBy("pivot", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        frontier = settled(reached.join(seen, ["pivot", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        seen = seen.unionAll(frontier.select("pivot", "node"))
+    share = levels[-1].withColumn("share", F.lit(0.0))
+    shares = [share]
+    for above in reversed(levels[:-1]):
+        given = share.select("pivot", F.col("node").alias("next"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
+        handed = above.join(steps, "node").join(given, ["pivot", "next"]).groupBy("pivot", "node").agg(F.sum(F.col("paths") * F.col("each")).alias("share"))
+        share = settled(above.join(handed, ["pivot", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
+        shares.append(share)
+    out = shares[0]
+    for other in shares[1:]:
+        out = out.unionByName(other)
+    return out.where("node <> pivot").groupBy("node").agg(F.round(F.sum("share"), 6).alias("score")).where("score > 0")

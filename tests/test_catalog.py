@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from skarn import catalog
@@ -11,6 +13,10 @@ from skarn import catalog
 from .conftest import SMALL
 
 
+#: Queries without SQL: tests of their own hold them to brute force (test_texts).
+BRUTE = ["community_names", "compressed_texts", "markdown_chunks", "memory_filled", "paragraph_chunks", "plain_chunks"]
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -21,7 +27,14 @@ def duck():
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row) for row in frame.itertuples(index=False))
+
+    def shown(v):
+        if v is None or pd.isna(v):
+            return "null"
+        # A column of numbers with nulls comes as floats from one side.
+        return f"{float(v):.6f}" if isinstance(v, int | float | np.number) and not isinstance(v, bool) else str(v)
+
+    return sorted(tuple(map(shown, row)) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -33,4 +46,4 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert _rows(got) == _rows(want)
     else:
-        assert len(got.columns) > 0
+        assert name in BRUTE and len(got)
