@@ -197,3 +197,11 @@ register(
     t AS (SELECT a, b, count(*) AS n FROM ce WHERE a <> b GROUP BY 1, 2), g AS (SELECT a, string_agg('- [[community-' || b || ']] (' || n || ')', chr(10) ORDER BY b) AS ties FROM t GROUP BY 1)
     SELECT community_id, '# Community ' || community_id || chr(10) || chr(10) || size || ' members' || chr(10) || chr(10) || '## Files' || chr(10) || files || chr(10) || chr(10) || '## Ties' || chr(10) || coalesce(ties, '') || chr(10) AS page FROM l LEFT JOIN g ON a = community_id""", *G, COMMUNITY_ENDS,
 )
+
+# --- the inverted index
+
+register(
+    "postings", lambda s, d: se.postings(a.table(s, d, "documents")),
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2)
+    SELECT doc_id, term, tf, sum(tf) OVER (PARTITION BY doc_id)::BIGINT AS length FROM c""",
+)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .traverse import settled
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from each of its ends: (node, peer, kind, direction)."""
@@ -153,7 +155,7 @@ def surprising(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     to one of max(3 x the upper median, 10), 0.15 for a call across the test boundary, 0.15 for a
     calling class.  Rounded to 2 places; edges of score 0 are left out.
     """
-    d = degrees(edges).select("node", "degree")
+    d = settled(degrees(edges).select("node", "degree"))
     # The upper median from counts by degree: few rows, however many nodes.
     by = d.groupBy("degree").agg(F.count("*").alias("n"))
     rank = F.sum("n").over(Window.orderBy("degree"))

@@ -31,6 +31,7 @@ def bm25(docs: DataFrame, words: list[str], k: int) -> DataFrame:
     per = docs.select("doc_id", tokens.alias("t")).select(
         "doc_id", F.size("t").alias("length"), F.array(*[F.struct(F.lit(w).alias("term"), F.size(F.array_compact(F.transform("t", _same(w)))).alias("tf")) for w in words]).alias("hits")
     )
+    per = settled(per)  # texts are split once for sizes, frequencies and hits
     size = per.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = per.select("doc_id", "length", F.inline("hits")).where("tf > 0")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a word of the query

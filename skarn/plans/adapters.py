@@ -2,14 +2,20 @@
 
 Logical tables: nodes and edges of a property graph, telemetry and session events, pipeline runs,
 memory observations, pack candidates, diff ranges and two versions of files.  Nothing here is
-collected; each view is a projection or union of scans, so filters and columns reach the files.
+collected.  Nodes and edges are stored once a session; each other view is a projection or union of
+scans, so filters and columns reach the files.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.traverse import shared_folder
+
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -17,11 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is derived once for a session and folder, kept as Parquet in the shared folder and read from there.
+
+    Input folders don't change while a session reads them; a new session derives its tables anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(at)
+        _STORED[key] = at
+    return spark.read.parquet(_STORED[key])
+
+
 def _key(kind: str, column: str):
     return F.concat(F.lit(kind + "::"), F.col(column).cast("string"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored nodes of the property graph."""
+    return stored(spark, sf_dir, "nodes", lambda: derived_nodes(spark, sf_dir))
+
+
+def derived_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and parts are functions, suppliers classes, nations and regions files."""
     t = lambda n: table(spark, sf_dir, n)
     null = F.lit(None).cast("int")
@@ -68,6 +95,11 @@ NODES = """nodes AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored edges of the property graph."""
+    return stored(spark, sf_dir, "edges", lambda: derived_edges(spark, sf_dir))
+
+
+def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct edges; TESTED_BY runs from the production node to the test."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
