@@ -31,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, b
 
     The ids are those of least hash (if balanced, half of `most` for each label), so the sample
     does not depend on partitions.  Labels count once an id; ids with differing labels, and
-    labels other than 0 and 1, are left out.  Only ids move before the choice; the chosen ones,
+    labels other than 0 and 1, are left out; an id with several texts counts with the least.  Only ids move before the choice; the chosen ones,
     at most `most`, are broadcast.
     """
     spark = docs.sparkSession
@@ -48,12 +48,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, b
     found = [(r[0], r[1]) for x, size in parts for r in least_hashes(x, "doc_id", most // len(parts), size).collect()]
     chosen = spark.createDataFrame(found, "_id long, y int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"])
+    joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return joined.select("doc_id", "text", "y"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
-    """`docs` with `score` (replacing any such column) from a function of lists of whole texts."""
+def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], name: str = "score") -> DataFrame:
+    """`docs` with a score (replacing any column of that name) from a function of lists of whole texts."""
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = make()
@@ -63,4 +63,4 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     batches.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(batches, "double")(F.col("text").cast("string")))
+    return docs.withColumn(name, F.pandas_udf(batches, "double")(F.col("text").cast("string")))

@@ -165,12 +165,12 @@ def _fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int,
     return fit(x, found["y"].to_numpy(float))
 
 
-def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
-    """`docs` with a `score` for each whole text; null texts count as empty."""
+def score_documents(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
+    """`docs` with a score for each whole text in a column of that name; null texts count as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def make():
         statistics, model = Statistics(), sent.value
         return lambda texts: model.score(statistics.rows(texts))
 
-    return scored(docs, make)
+    return scored(docs, make, name)

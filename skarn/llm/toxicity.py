@@ -11,16 +11,20 @@ toxic ones those that the model itself finds most telling (multiple-instance rou
 is linear, a word contributes one number; a document's score is a calibrated logistic function of
 its sentences' margins.
 
-Fitting uses at most SAMPLE labelled rows (the least hashes of doc_id); scoring reads every whole
-text.
+Fitting uses at most SAMPLE labelled rows (the least hashes of doc_id, half of each label) of
+together at most SAMPLE_CHARS characters, and at most CLEAN_SENTENCES sentences of each label in a
+round; words over MAX_WORD characters are no landmarks.  These bound the fit alone: scoring reads
+every whole text and every word of it.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Growing, Slots, id_bucket, memory_returned, mix64
+from ._common import Growing, Slots, id_bucket, mix64
 from ._scoring import labelled_sample, scored
 
 P, SPAN, DECAY, POWER = 4, 6, 0.85, 2
@@ -385,19 +389,25 @@ def within_chars(rows: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int = SAMPLE) -> Model:
-    """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE."""
-    with memory_returned():
-        return _fit_on_sample(docs, labels, modulus, held, most)
+    """Fit on labelled rows whose id's crc32 modulo `modulus` is not `held`; see SAMPLE.
 
-
-def _fit_on_sample(docs: DataFrame, labels: DataFrame, modulus: int, held: int, most: int) -> Model:
+    One task holds the sample and fits; the driver gets the model alone.
+    """
     train = labels.where(id_bucket("doc_id", modulus) != held)
     rows, share = labelled_sample(docs, train, "toxic", most, balanced=True)
-    found = within_chars(rows.toPandas(), SAMPLE_CHARS)
-    return fit(found["text"].tolist(), found["y"].to_numpy(int), share)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            found = within_chars(pd.concat(parts, ignore_index=True), SAMPLE_CHARS)
+            model = fit(found["text"].tolist(), found["y"].to_numpy(int), share)
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros(0, int))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a `score` for each whole text; null and empty texts get the score of no words."""
+def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` with a score for each whole text in a column of that name; null and empty texts get the score of no words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, lambda: Scorer(sent.value).score)
+    return scored(docs, lambda: Scorer(sent.value).score, name)
