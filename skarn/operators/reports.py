@@ -144,5 +144,5 @@ def query_costs(queries: DataFrame, n_files: int) -> DataFrame:
 
 def human_tokens(n: Column) -> Column:
     """1.2M, 3.4K or the number itself."""
-    shown = lambda x, unit: F.concat(F.format_number(x, 1), F.lit(unit))
-    return F.when(n >= 1_000_000, F.regexp_replace(shown(n / 1e6, "M"), ",", "")).when(n >= 1_000, shown(n / 1e3, "K")).otherwise(n.cast("string"))
+    shown = lambda x, unit: F.concat(F.format_string("%.1f", F.round(x, 1)), F.lit(unit))
+    return F.when(n >= 1_000_000, shown(n / 1e6, "M")).when(n >= 1_000, shown(n / 1e3, "K")).otherwise(n.cast("string"))

@@ -92,8 +92,13 @@ def flows(nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
     calls = edges.where(F.col("kind") == "CALLS")
     callable_ = nodes.where((F.col("kind") == "Function") & ~F.col("is_test")).select(F.col("qualified_name").alias("node"))
     entries = callable_.join(calls.select(F.col("target").alias("node")), "node", "left_anti")
+    return traced(entries.select(F.col("node").alias("entry")), calls, depth)
+
+
+def traced(entries: DataFrame, calls: DataFrame, depth: int = 15) -> DataFrame:
+    """(entry, node, depth): what each entry reaches over calls, of those that reach another node."""
     steps = settled(calls.select(F.col("source").alias("node"), F.col("target").alias("next")))
-    frontier = settled(entries.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")))
+    frontier = settled(entries.select("entry", F.col("entry").alias("node"), F.lit(0).alias("depth")))
     seen = frontier
     for level in range(1, depth + 1):
         found = frontier.select("entry", "node").join(steps, "node").select("entry", F.col("next").alias("node")).distinct()
@@ -105,6 +110,14 @@ def flows(nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
     return seen.join(long, "entry", "left_semi")
 
 
+def retraced(members: DataFrame, gone: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
+    """Flows (flow_id, node, depth) with those of some ids (flow_id, the entry) traced anew over the edges of now."""
+    calls = edges.where(F.col("kind") == "CALLS")
+    known = nodes.select(F.col("qualified_name").alias("entry"))
+    again = traced(gone.select(F.col("flow_id").alias("entry")).join(known, "entry", "left_semi"), calls, depth)
+    return members.join(gone, "flow_id", "left_anti").unionByName(again.withColumnRenamed("entry", "flow_id"))
+
+
 def dependents(nodes: DataFrame, edges: DataFrame, files: DataFrame, hops: int = 2) -> DataFrame:
     """(file_path, hops): files whose nodes depend on or call into the given files, within some hops."""
     f = nodes.select("qualified_name", "file_path")
