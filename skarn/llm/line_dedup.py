@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import shuffle_parts
+from ._common import durable, shuffle_parts, spare
 
 MIN_CHARS, MIN_DOCS, SALTS = 40, 5, 64
 STRIPPED = "\t\n\x0b\x0c\r "
@@ -63,9 +63,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             "pos",
         )
     )
-    spread = lines.repartitionByRange(shuffle_parts(docs.sparkSession), "h1", "h2", "salt")
+    # Settled, so that texts are split and hashed once, and not again for the ranges' sample.
+    spread = durable(lines).repartitionByRange(shuffle_parts(docs.sparkSession), "h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("_id"), "_text", "pos")
-    marked = spread.withColumn("first", F.lag("_id").over(order).isNull() | (F.lag("_id").over(order) != F.col("_id")))
+    # The row before is read whole, so that both uses below need the same columns and share one exchange.
+    before = F.lag(F.struct("_id", "_text", "pos")).over(order)
+    marked = spread.withColumn("first", before.isNull() | (before["_id"] != F.col("_id")))
     shared = (
         marked.where("first")
         .groupBy("h1", "h2")
@@ -80,27 +83,28 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return words.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """`docs` with text replaced by the kept lines, and n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """`docs` with text replaced by the kept lines, and two columns of `counts`: lines, and lines dropped.
 
-    Null texts become empty ones.  Other columns pass through; those named n_lines or n_dropped
-    are replaced.
+    Null texts become empty ones.  All other columns pass through, whatever their names; only
+    those named as `counts` are replaced.  Repeated rows are kept, each with its own lines.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"_id": "_kid", "_text": "_ktext", "keep": "_keep"})
+    own_id, own_text, kid, ktext, keep, lines, kept = (spare(docs, x) for x in ("own_id", "own_text", "kept_id", "kept_text", "keep", "lines", "kept"))
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"_id": kid, "_text": ktext, "keep": keep})
     whole = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text")}
+        {own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), own_text: F.xxhash64("text")}
     )
-    joined = whole.join(bitmaps, (F.col("_id") == F.col("_kid")) & (F.col("_text") == F.col("_ktext")), "left")
-    kept = F.expr("filter(_lines, (x, i) -> (shiftright(coalesce(_keep[shiftright(i, 6)], -1L), i % 64) & 1L) = 1L)")
+    joined = whole.join(bitmaps, (F.col(own_id) == F.col(kid)) & (F.col(own_text) == F.col(ktext)), "left")
+    stays = F.expr(f"filter({lines}, (x, i) -> (shiftright(coalesce({keep}[shiftright(i, 6)], -1L), i % 64) & 1L) = 1L)")
     return (
-        joined.withColumn("_lines", text_lines(F.col("text").cast("string")))
-        .withColumn("_kept", F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(kept))
+        joined.withColumn(lines, text_lines(F.col("text").cast("string")))
+        .withColumn(kept, F.when(F.col(keep).isNull(), F.col(lines)).otherwise(stays))
         .withColumns(
             {
-                "text": F.array_join("_kept", "\n"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
+                "text": F.array_join(kept, "\n"),
+                counts[0]: F.size(lines).cast("long"),
+                counts[1]: (F.size(lines) - F.size(kept)).cast("long"),
             }
         )
-        .drop("_id", "_text", "_kid", "_ktext", "_keep", "_lines", "_kept")
+        .drop(own_id, own_text, kid, ktext, keep, lines, kept)
     )
