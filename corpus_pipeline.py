@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained models nor the hashing and packing; tests hold run() to brute force.
+#: SQL can express neither the trained models nor the hashing and packing; a test holds each stage to brute force.
 ORACLE_SQL: str | None = None
 
 
