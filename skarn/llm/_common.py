@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder.
+
+    For long loops: a checkpoint carries what the optimiser knows of its columns from round to
+    round, which grows with each; a table read again does not.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: what the session names, or a temporary one of a local session."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, shuffle_parts
+from ._common import durable, shuffle_parts, written
 
 CAPACITY, END_ID = 1024, 2
 #: The byte-level pattern with possessive repeats: the same words, without backtracking.
@@ -178,3 +178,124 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pack whole documents: pieces with their places.  Extra columns of `docs` are ignored."""
     return best_fit(durable(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
+
+
+# The same packing with pieces and gaps as tables, superstep by superstep.  See the README for why
+# `pack_documents` sweeps over runs instead.
+
+EVENTS = "kind int, id long, size long, units long, seq long, place long, part int"
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One range partition's sweep from large to small: each piece takes the last gap seen, the smallest that holds it.
+
+    Returns matched pieces (kind 2, seq the gap's), pieces without a gap (kind 1) with their place
+    among them, and gaps with units left (kind 0) with the units above them on the stack.
+    """
+    stack: list[list[int]] = []
+    rows: list[tuple] = []
+    lone = part = 0
+    for batch in batches:
+        for kind, id_, size, units, part in zip(batch["kind"], batch["id"], batch["size"], batch["units"], batch["part"], strict=True):
+            if kind == 0:
+                stack.append([id_, units, size])
+            elif stack:
+                rows.append((2, id_, size, 1, stack[-1][0], 0, part))
+                stack[-1][1] -= 1
+                if not stack[-1][1]:
+                    stack.pop()
+            else:
+                rows.append((1, id_, size, 1, -1, lone, part))
+                lone += 1
+    above = 0
+    for id_, units, size in reversed(stack):
+        rows.append((0, id_, size, units, id_, above, part))
+        above += units
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+
+def _settle_conflicts(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(part, from, to, gap part, unit) for lone pieces by rank: the nearest partition before with units left serves first.
+
+    `counts` has (part, lone pieces, units left) in the order of the sweep: a row a partition.
+    """
+    open_: list[list[int]] = []
+    out = []
+    for part, lone, units in counts:
+        at = 0
+        while at < lone and open_:
+            of, used, left = open_[-1]
+            n = min(lone - at, left)
+            out.append((part, at, at + n, of, used))
+            open_[-1][1:] = [used + n, left - n]
+            if left == n:
+                open_.pop()
+            at += n
+        if units:
+            open_.append([part, 0, units])
+    return out
+
+
+def best_fit_supersteps(pieces: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """`best_fit` with every piece and gap a row, and the number of supersteps it took.
+
+    Pieces go by classes of length, the longest first.  A superstep range-sorts the class's waiting
+    pieces with the gaps that may hold them, sweeps each range, settles what is left between ranges
+    by rank, and updates the gaps; a gap serves as many pieces at once as surely fit.  When no gap
+    holds a waiting piece, as many sequences are opened as their lengths need at least.
+    """
+    spark = pieces.sparkSession
+    parts = shuffle_parts(spark)
+    names = list(pieces.columns)
+    all_ = written(pieces.withColumn("_at", F.monotonically_increasing_id()))
+    bounds = [capacity // k for k in range(1, 9) if capacity // k > 0]
+    while bounds[-1] > 1:
+        bounds.append(bounds[-1] // 2)
+    bounds = sorted({*bounds, 0}, reverse=True)
+    gaps, placed, opened, steps = None, [], 0, 0
+    for hi, lo in zip(bounds, bounds[1:], strict=False):
+        waiting = all_.where((F.col("length") > lo) & (F.col("length") <= hi)).select(F.col("_at").alias("id"), F.col("length").cast("long").alias("size"))
+        last = None
+        while True:
+            n, total = waiting.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+            if not n:
+                break
+            steps, stuck, last = steps + 1, n == last, n
+            usable = None if gaps is None else gaps.where(F.col("size") > lo)
+            if usable is None or stuck or usable.isEmpty():
+                fresh = max(-(-total // capacity), -(-n // (capacity // (lo + 1))))
+                new = spark.range(opened, opened + fresh).select("id", F.lit(capacity).cast("long").alias("size"))
+                gaps = written(new if gaps is None else gaps.unionByName(new))
+                opened += fresh
+                usable = gaps.where(F.col("size") > lo)
+            units = F.greatest(F.lit(1), F.floor(F.col("size") / hi)).cast("long")
+            events = usable.select(F.lit(0).alias("kind"), "id", "size", units.alias("units")).unionByName(waiting.select(F.lit(1).alias("kind"), "id", "size", F.lit(1).cast("long").alias("units")))
+            order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+            dealt = events.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+            swept = written(dealt.mapInPandas(_sweep, EVENTS))
+            found = swept.where("kind < 2").groupBy("part").agg(F.count_if(F.col("kind") == 1).alias("lone"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("units"))), F.lit(0)).alias("units"))
+            served = _settle_conflicts(sorted(map(tuple, found.collect())))  # at most two rows a partition
+            runs = spark.createDataFrame(served, "part int, first long, upto long, of int, unit long")
+            lone = swept.where("kind = 1").join(F.broadcast(runs), "part").where("place >= first and place < upto")
+            lone = lone.select("id", "size", "of", (F.col("place") - F.col("first") + F.col("unit")).alias("unit"))
+            most = F.broadcast(runs.groupBy("of").agg(F.max(F.col("unit") + F.col("upto") - F.col("first")).alias("most")))
+            left = swept.where("kind = 0").join(most, F.col("part") == F.col("of")).where("place < most")
+            left = left.select("of", "seq", F.explode(F.sequence("place", F.least(F.col("place") + F.col("units"), F.col("most")) - 1)).alias("unit"))
+            across = lone.join(left, ["of", "unit"]).select("id", "size", "seq")
+            matched = written(swept.where("kind = 2").select("id", "size", "seq").unionByName(across))
+            filled = matched.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("used"))
+            gaps = written(gaps.join(filled, "id", "left").select("id", (F.col("size") - F.coalesce("used", F.lit(0))).alias("size")).where("size > 0"))
+            waiting = written(waiting.join(matched.select("id"), "id", "left_anti"))
+            placed.append(matched.withColumn("step", F.lit(steps)))
+    if not placed:
+        empty = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return empty.where("false"), 0
+    every = placed[0]
+    for other in placed[1:]:
+        every = every.unionByName(other)
+    from pyspark.sql import Window
+
+    before = F.sum("size").over(Window.partitionBy("seq").orderBy("step", F.desc("size"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = every.select(F.col("id").alias("_at"), F.col("seq").alias("sequence_id"), F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+    return all_.join(offsets, "_at").select(*names, "sequence_id", "offset"), steps
+
