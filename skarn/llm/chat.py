@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 OPEN, CLOSE, LEARNT = "<|im_start|>", "<|im_end|>\n", "assistant"
 #: Control strings of common templates: anything that opens with <|, sentence, instruction and system marks.
@@ -109,12 +110,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """One segment per row of (conv_id, turn, role, text[, parts]); in order they are the output.
 
     `parts`, where present and not null, takes the place of text: an array of structs with `type`
-    (text, image, audio, document) and text, uri, width, height, seconds or pages.  Null texts
+    (text, image, audio, document) and text, uri, width, height, seconds or pages.  A column of
+    that name and another type is an extra column, and those play no part.  Null texts
     and roles are empty; null turns come first; rows of one turn go by role and text; null
     conv_id is a conversation of its own.  `loss_start` and `loss_end` are code points from the
     conversation's start and null for turns that are not learnt.
     """
-    parts = F.col("parts") if "parts" in turns.columns else F.lit(None).cast("array<struct<type:string>>")
+    typed = turns.schema["parts"].dataType if "parts" in turns.columns else None
+    holds = isinstance(typed, ArrayType) and isinstance(typed.elementType, StructType) and "type" in typed.elementType.names
+    parts = F.col("parts") if holds else F.lit(None).cast("array<struct<type:string>>")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), parts.alias("parts"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInPandas(_formatted, SEGMENTS)

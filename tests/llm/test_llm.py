@@ -582,6 +582,23 @@ def test_vectors_of_other_sizes(spark):
     assert found == {(0, 50): 2.0, (100, 7): 8.0}
 
 
+def test_chat_with_other_parts(spark):
+    said = "SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, 'hi' AS text"
+    plain = chat.read_back(chat.format_conversations(spark.sql(said))).collect()
+    for other in ("'x' AS parts", "array(1, 2) AS parts", "array(named_struct('kind', 1)) AS parts"):
+        assert chat.read_back(chat.format_conversations(spark.sql(f"{said}, {other}"))).collect() == plain
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 200_000)]
+    edited = list(words)
+    edited[::20_000] = ["other"] * 10
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1])), (4, "w " * 400_000)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
