@@ -485,6 +485,16 @@ register(
     r AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC)::INT AS back, replace(text, '&amp;', '&') AS text FROM e) SELECT * FROM r WHERE back <= 5""", SAID,
 )
 
+register(
+    "session_tools", lambda s, d: ss.last_tools(_ks(s, d).select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("tool")), 20),
+    """, r AS (SELECT user_id AS session_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM ks)
+    SELECT session_id, string_agg(event_type, ' ' ORDER BY back DESC) AS tools FROM r WHERE back <= 20 GROUP BY session_id""", KS,
+)
+register(
+    "unexpired_previews", lambda s, d: ss.unexpired(a.session_events(s, d), "2024-01-20 00:00:00", 86_400).select("id", "session_id"),
+    "SELECT id, session_id FROM session_events WHERE floor(epoch(TIMESTAMP '2024-01-20 00:00:00')) - floor(epoch(created_at)) BETWEEN 0 AND 86400", a.SESSIONS,
+)
+
 # --- memory and texts
 
 

@@ -157,3 +157,17 @@ def open_errors(events: DataFrame, n: int = 5) -> DataFrame:
     fixed = events.where(F.col("event_type") == "error_fix").select("session_id", "text").distinct()
     left = events.where(F.col("event_type") == "error").join(fixed, ["session_id", "text"], "left_anti")
     return _last(left, F.lit(True), n).select("session_id", "back", "text")
+
+
+def last_tools(calls: DataFrame, n: int = 100) -> DataFrame:
+    """(session_id, tools): each session's last n tools (session_id, at, tool), oldest first, joined by blanks."""
+    order = Window.partitionBy("session_id").orderBy(F.desc("at"))
+    some = calls.withColumn("back", F.row_number().over(order)).where(F.col("back") <= n)
+    listed = some.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "tool"))).alias("x"))
+    return listed.select("session_id", F.array_join("x.tool", " ").alias("tools"))
+
+
+def unexpired(rows: DataFrame, as_of: str, seconds: int, at: str = "created_at") -> DataFrame:
+    """Rows made within so many seconds before a time."""
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(at).cast("timestamp"))
+    return rows.where(age.between(0, seconds))

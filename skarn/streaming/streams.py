@@ -31,19 +31,21 @@ def debounced(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10
 
 
 def online_chain(events: DataFrame) -> DataFrame:
-    """Steps (user_id, src, dst) between a user's successive events, with the last one as state."""
+    """Steps (user_id, src, dst) between a user's successive events, with the last one as state.
+
+    A micro-batch's rows of a user are ordered and shifted whole; their number is bounded by what a
+    trigger takes (`files` of `event_stream`).
+    """
     import pandas as pd
 
     def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        steps = []
-        for kind in rows["event_type"]:
-            if last is not None:
-                steps.append((key[0], last, kind))
-            last = kind
-        state.update((last,))
-        yield pd.DataFrame(steps, columns=["user_id", "src", "dst"])
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        src = rows["event_type"].shift()
+        if state.exists:
+            src.iloc[0] = state.get[0]
+        state.update((rows["event_type"].iloc[-1],))
+        steps = pd.DataFrame({"user_id": key[0], "src": src, "dst": rows["event_type"]})
+        yield steps[steps["src"].notna()]
 
     schema = "user_id long, src string, dst string"
     return events.groupBy("user_id").applyInPandasWithState(step, schema, "last string", "append", "NoTimeout")

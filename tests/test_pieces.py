@@ -104,3 +104,27 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == events.count()
     streams.run_available(streams.online_chain(stream), "steps", str(tmp_path / "c3"))
     assert spark.table("steps").count() == events.count() - events.select("user_id").distinct().count()
+
+
+def test_online_chain_across_triggers(spark, tmp_path):
+    """One file a trigger: steps between triggers come from the state."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet").where("user_id < 3")
+    for k, part in enumerate(events.orderBy("ts", "event_id").toPandas().groupby(lambda i: i // 20)):
+        spark.createDataFrame(part[1]).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:03}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "000")).schema
+    stream = streams.event_stream(spark, str(tmp_path / "in" / "*"), schema, files=1)
+    streams.run_available(streams.online_chain(stream), "chain", str(tmp_path / "c"))
+    rows = sorted((r.user_id, r.ts, r.event_id, r.event_type) for r in events.collect())
+    want = sorted((a[0], a[3], b[3]) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
+    assert sorted(map(tuple, spark.table("chain").collect())) == want
+
+
+def test_debounced(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00.0"), ("a", "2024-01-01 00:00:00.2"), ("a", "2024-01-01 00:00:01.0"), ("b", "2024-01-01 00:00:00.1"), ("z", "2024-01-02 00:00:00.0")]
+    changes = spark.createDataFrame(rows, "path string, t string").select("path", F.col("t").cast("timestamp").alias("ts"))
+    changes.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
+    streams.run_available(streams.debounced(stream), "calm", str(tmp_path / "c"), "append")
+    assert {(r.path, r.n) for r in spark.table("calm").collect()} <= {("a", 2), ("a", 1), ("b", 1), ("z", 1)}
+    batch = streams.debounced(changes)
+    assert sorted((r.path, r.n) for r in batch.collect()) == [("a", 1), ("a", 2), ("b", 1), ("z", 1)]
