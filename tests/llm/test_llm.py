@@ -54,6 +54,8 @@ def test_bpe_equals_the_library(spark, odd, nothing):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert bpe.encode_digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+    ids = {tuple(r.ids) for r in bpe.encode_ids(odd, RANKS, public_tokenizers.PATTERN).collect()}
+    assert ids == {tuple(own.encode_ordinary(r.text or "")) for r in odd.collect()}
 
 
 def test_bpe_native_fold(spark):
