@@ -90,7 +90,7 @@ FAMILIES = [*sorted(TEMPLATES), "unknown"]
 BUCKETS, NOISY, NEGATIVES, ROUNDS, RATE, DECAY = 1 << 14, 40, 3_000, 60, 2.0, 1e-4
 CONFIRM = 0.8
 WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*")
-SLACK = 6
+SLACK, WINDOW = 6, 60
 #: What ends a paragraph: a line of white space alone.
 BLANK = r"\n[ \t\r\f\x0B]*\n\s*"
 
@@ -272,13 +272,19 @@ def families_of(model: Model, paragraph: str) -> list[tuple[str, float, float]]:
     return [best[f] for f in sorted(best)]
 
 
-def fit_on_corpus(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
-    """Train with first paragraphs without licence cues of at most `negatives` documents, of least hash of id."""
-    first = F.split(F.col("text").cast("string"), BLANK, 2)[0]
-    lines = docs.where(F.length("text") > 0).select("doc_id", first.alias("line")).where(~F.lower("line").rlike(CUES))
-    lines = lines.withColumn("line", F.substring("line", 1, 2000))
-    found = [r["line"] for r in least_hashes(lines, "doc_id", negatives, docs.count()).collect()]
-    return train([words_of(t)[:60] for t in found])
+def fit_on_corpus(docs: DataFrame, negatives: int = NEGATIVES, words: int = WINDOW) -> Model:
+    """Train with windows without licence cues of at most `negatives` documents, of least hash of id.
+
+    Each gives one window of at most `words` words, whose paragraph and place its id's hash picks.
+    These bound the fit alone.  The hash comes before the text, so that only sampled texts are split.
+    """
+    parts = F.filter(F.split(F.col("text").cast("string"), BLANK, -1), lambda x: F.btrim(x) != "")
+    pick = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+    inside = F.split(F.get(parts, pick(1, F.greatest(F.size(parts), F.lit(1)))), r"\s+")
+    window = F.slice(inside, pick(2, F.greatest(F.size(inside) - words, F.lit(0)) + 1) + 1, F.lit(words))
+    lines = docs.where(F.length("text") > 0).select("doc_id", F.array_join(window, " ").alias("line"))
+    found = least_hashes(lines, "doc_id", negatives, docs.count()).where(~F.lower("line").rlike(CUES))
+    return train([words_of(r["line"]) for r in found.collect()])
 
 
 def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
@@ -286,7 +292,8 @@ def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
 
     `paragraph` counts blocks between blank lines from 0; whole texts are read, and only paragraphs
     with a cue leave the JVM.  Null texts have none.  A document has a row for each family of each
-    of its licence paragraphs.
+    of its licence paragraphs; repeated rows and ids, null ones too, each have their own.  Other
+    columns of `docs` play no part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lines = (
@@ -312,7 +319,10 @@ def scan_licenses(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def document_licenses(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, the sorted families of its paragraphs, and how many paragraphs."""
+    """One row per row of `docs`: doc_id, the sorted families of its paragraphs, and how many paragraphs.
+
+    Rows of one id all get what any of them has; rows of null id get none.
+    """
     per = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("family")).alias("families"), F.count_distinct("paragraph").alias("n"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(per, "doc_id", "left").select(
