@@ -5,12 +5,13 @@ by value; a query reads a list from the top where its weight is positive and fro
 where it is negative.  Lists are read in lockstep, to depths that double.  At a depth, what was
 read gives each candidate a lower bound (unread values at the list's far end) and an upper bound
 (unread values where reading stopped); candidates whose upper bound is below the k-th lower bound
-are out, and reading stops when the rest are few enough to resolve.  Final scores are sums over
-whole vectors, in exact integers.  As a list is read to the same depth for all queries of a
-block, one matrix product gives all its bounds.
+are out.  Only candidates that some open query still needs are read on, and a query closes when so
+few are left that their final scores can be resolved.  Final scores are exact integers.  As a list
+is read to the same depth for all open queries of a block, one matrix product gives their bounds.
 
-Queries and candidates meet in blocks of bounded size (a stated query set against all rows), so
-no group grows with the data; each pair of blocks returns its own k best, which are ranked again.
+Candidates are dealt to blocks of bounded size, each sorted once; the queries (a stated set
+against all rows) pass by each block in batches, so no group grows with the data.  Each block
+returns its own k best, which are ranked again.
 """
 
 from __future__ import annotations
@@ -22,63 +23,81 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import shuffle_parts
+
 K, SCALE = 5, 256
-CANDIDATES, QUERIES = 8_192, 1_024
-#: Reading stops once so few candidates a query are left on average.
+#: Candidates of a block, at most about; rows of a task's block at least, where there are so many; queries of a batch.
+CANDIDATES, LEAST, QUERIES = 8_192, 2_048, 512
+#: A query closes once so few candidates are left.
 RESOLVE = 64
 
 
-def blocks(vectors: DataFrame, every: int, candidates: int, queries: int, keep: str) -> DataFrame:
-    """Rows (c, q, role, uid, vec_id, embedding): each vector in each pair of blocks it is in.
+def blocks(vectors: DataFrame, every: int, keep: str, least: int = LEAST) -> DataFrame:
+    """Rows (c, role, uid, vec_id, embedding): candidates once, in their block, then queries in each block.
 
     `keep` is the SQL condition of vectors that take part.  Rows are told apart by their place
     in the input, so repeated ids and vectors are rows of their own.
     """
+    spark = vectors.sparkSession
     base = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.monotonically_increasing_id().alias("uid"),
     ).where(keep)
-    asks = f"coalesce(vec_id % {every} = 0, false)"
-    n, m = base.agg(F.count("*"), F.coalesce(F.sum(F.expr(asks).cast("long")), F.lit(0))).first()
-    cs, qs = max(1, -(-n // candidates)), max(1, -(-m // queries))
-    c, q = F.pmod(F.xxhash64("uid"), F.lit(cs)), F.pmod(F.xxhash64(F.lit(1), "uid"), F.lit(qs))
-    as_candidate = F.transform(F.sequence(F.lit(0), F.lit(qs - 1)), lambda j: F.struct(c.alias("c"), j.cast("long").alias("q"), F.lit(0).alias("role")))
-    as_query = F.transform(F.sequence(F.lit(0), F.lit(cs - 1)), lambda i: F.struct(i.cast("long").alias("c"), q.alias("q"), F.lit(1).alias("role")))
-    roles = F.when(F.expr(asks), F.concat(as_candidate, as_query)).otherwise(as_candidate)
-    return base.withColumn("at", F.explode(roles)).select("at.*", "uid", "vec_id", "embedding")
+    n = base.count()
+    cs = max(1, -(-n // CANDIDATES), min(-(-n // least), shuffle_parts(spark)))
+    own = F.struct(F.pmod(F.xxhash64("uid"), F.lit(cs)).alias("c"), F.lit(0).alias("role"))
+    ask = F.transform(F.sequence(F.lit(0), F.lit(cs - 1)), lambda i: F.struct(i.cast("long").alias("c"), F.lit(1).alias("role")))
+    roles = F.when(F.expr(f"coalesce(vec_id % {every} = 0, false)"), F.concat(F.array(own), ask)).otherwise(F.array(own))
+    dealt = base.withColumn("at", F.explode(roles)).select("at.*", "uid", "vec_id", "embedding")
+    return dealt.repartition(max(cs, shuffle_parts(spark)), "c").sortWithinPartitions("c", "role", F.asc_nulls_last("vec_id"), "uid")
 
 
 #: Vectors without nulls and non-finite components.
 FINITE = "embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
 
 
-def search(pairs: DataFrame, find: Callable, k: int, score: str) -> DataFrame:
-    """Run `find(queries, candidates, vec_ids, own)` in each pair of blocks and rank the union.
+def search(dealt: DataFrame, prepare: Callable, k: int, score: str) -> DataFrame:
+    """Pass the queries by each block and rank the union of what is found.
 
-    `find` yields (query row, candidate rows, scores); `own` is each query's place among the
-    candidates or -1.
+    `prepare(candidates)` gives a function of (queries, own) that yields (query row, candidate
+    rows, scores); `own` is each query's place among the candidates or -1.  Vectors meet those
+    of as many components.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["vec_id", "uid"], kind="stable", na_position="last")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, ready = None, [], {}
+        for batch in batches:
+            for (c, role), part in batch.groupby(["c", "role"], sort=False):
+                if c != at:
+                    at, held, ready = c, [], {}
+                if role == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    whole = pd.concat(held)
+                    for dim, same in whole.groupby(whole["embedding"].map(len)):
+                        x = np.stack(same["embedding"].to_list()).reshape(len(same), dim)
+                        ready[dim] = prepare(x), {u: i for i, u in enumerate(same["uid"])}, same["vec_id"].to_numpy()
+                    held = []
+                for lo in range(0, len(part), QUERIES):
+                    yield found(part.iloc[lo : lo + QUERIES], ready)
+
+    def found(asks: pd.DataFrame, ready: dict) -> pd.DataFrame:
         out = []
-        for dim in sorted(set(frame["embedding"].map(len))):
-            same = frame[frame["embedding"].map(len) == dim]
-            ask, all_ = same[same["role"] == 1], same[same["role"] == 0]
-            if len(ask) and len(all_):
-                place = {u: i for i, u in enumerate(all_["uid"])}
-                own = np.array([place.get(u, -1) for u in ask["uid"]])
-                ids = all_["vec_id"].to_numpy()
-                x, y = (np.stack(part["embedding"].to_list()).reshape(len(part), dim) for part in (ask, all_))
-                for i, rows, values in find(x, y, own):
-                    out += [(ask["uid"].iloc[i], ask["vec_id"].iloc[i], v, s) for v, s in zip(ids[rows], values, strict=True)]
+        for dim, same in asks.groupby(asks["embedding"].map(len)):
+            if dim in ready:
+                find, place, ids = ready[dim]
+                own = np.array([place.get(u, -1) for u in same["uid"]])
+                x = np.stack(same["embedding"].to_list()).reshape(len(same), dim)
+                for i, rows, values in find(x, own):
+                    out += [(same["uid"].iloc[i], same["vec_id"].iloc[i], v, s) for v, s in zip(ids[rows], values, strict=True)]
         got = pd.DataFrame(out, columns=["uid", "query_id", "vec_id", "score"])
         return got.astype({"query_id": "Int64", "vec_id": "Int64"})
 
-    found = pairs.groupBy("c", "q").applyInPandas(one, f"uid long, query_id long, vec_id long, score {score}")
+    best = dealt.mapInPandas(run, f"uid long, query_id long, vec_id long, score {score}")
     order = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
@@ -89,47 +108,58 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
         rows = np.sort(np.r_[over, ties[: k - len(over)]])
     else:
         rows = np.arange(len(scores))
-    return rows[np.argsort(-scores[rows], kind="stable")]
+    return rows[::-1][np.argsort(scores[rows][::-1], kind="stable")][::-1]
+
 
+def no_random_access(candidates: np.ndarray, k: int) -> Callable:
+    """Sort the lists of a block; the function returned yields the exact best k of each query.
 
-def no_random_access(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple]:
-    """Exact best k of each query; integers held as doubles where all sums stay exact, else as objects."""
+    Vectors are integers held as doubles.  Where sums may leave the exact range of doubles, the
+    bounds are widened by what rounding may change and final scores are sums of Python integers.
+    """
     n, dim = candidates.shape
-    size = max(np.abs(queries).max(initial=1), 1) * max(np.abs(candidates).max(initial=1), 1) * max(1, dim)
-    if size >= 2.0**52:
-        whole = [[int(v) for v in row] for row in candidates]
-        for i, q in enumerate([[int(v) for v in row] for row in queries]):
-            sums = [sum(a * b for a, b in zip(q, row, strict=True)) for row in whole]
-            scores = [min(max(s, -(2**63)), 2**63 - 1) for s in sums]
-            rows = np.array([r for r in sorted(range(n), key=lambda r: -scores[r]) if r != own[i]][:k], int)
-            yield i, rows, np.array([scores[r] for r in rows], np.int64)
-        return
     order = np.argsort(candidates, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
     ordered = np.take_along_axis(candidates, order, 0)
     low, high = ordered[0], ordered[-1]
-    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
-    alive, depth = np.ones((n, len(queries)), bool), max(1, n // 8)
-    mine = np.flatnonzero(own >= 0)
-    alive[own[mine], mine] = False
-    while depth < n and alive.sum() > RESOLVE * len(queries):
-        top, bottom = rank >= n - depth, rank < depth
-        at_top, at_bottom = ordered[n - depth], ordered[depth - 1]
-        rest = low @ up + high @ down
-        lower = np.where(top, candidates - low, 0) @ up + np.where(bottom, candidates - high, 0) @ down + rest
-        rest = at_top @ up + at_bottom @ down
-        upper = np.where(top, candidates - at_top, 0) @ up + np.where(bottom, candidates - at_bottom, 0) @ down + rest
-        lower = np.where(alive, lower, -np.inf)
-        if n > k:
-            bar = np.partition(lower, n - k, axis=0)[n - k]
-            alive &= upper >= bar
-        depth *= 2
-    for i, q in enumerate(queries):
-        rows = np.flatnonzero(alive[:, i])
-        scores = candidates[rows] @ q
-        best = best_rows(scores, k)
-        yield i, rows[best], scores[best].astype(np.int64)
+
+    def resolve(q: np.ndarray, rows: np.ndarray, exact: bool) -> np.ndarray:
+        if exact:
+            return (candidates[rows] @ q).astype(np.int64)
+        sums = [sum(int(a) * int(b) for a, b in zip(q, candidates[r], strict=True)) for r in rows]
+        return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
+
+    def find(queries: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+        size = max(np.abs(queries).max(initial=1), 1) * max(np.abs(candidates).max(initial=1), 1) * max(1, dim)
+        exact = size < 2.0**52
+        slack = 0.0 if exact else size * 2.0**-48
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        alive, opened, rows = np.ones((n, len(queries)), bool), np.arange(len(queries)), np.arange(n)
+        mine = np.flatnonzero(own >= 0)
+        alive[own[mine], mine] = False
+        depth = max(1, n // 8)
+        while depth < n and len(opened):
+            x, u, d = candidates[rows], up[:, opened], down[:, opened]
+            top, bottom = rank[rows] >= n - depth, rank[rows] < depth
+            at_top, at_bottom = ordered[n - depth], ordered[depth - 1]
+            lower = np.where(top, x - low, 0) @ u + np.where(bottom, x - high, 0) @ d + (low @ u + high @ d)
+            upper = np.where(top, x - at_top, 0) @ u + np.where(bottom, x - at_bottom, 0) @ d + (at_top @ u + at_bottom @ d)
+            still = alive[np.ix_(rows, opened)]
+            if len(rows) > k:
+                lower = np.where(still, lower, -np.inf)
+                still &= upper + slack >= np.partition(lower, len(rows) - k, axis=0)[len(rows) - k] - slack
+            alive[np.ix_(rows, opened)] = still
+            more = still.sum(0) > RESOLVE
+            opened, rows = opened[more], rows[still[:, more].any(1)]
+            depth *= 2
+        for i, q in enumerate(queries):
+            left = np.flatnonzero(alive[:, i])
+            scores = resolve(q, left, exact)
+            best = best_rows(scores, k)
+            yield i, left[best], scores[best]
+
+    return find
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -142,5 +172,4 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -
     """
     finite = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(FINITE)
     whole = finite.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
-    pairs = blocks(whole, every, CANDIDATES, QUERIES, FINITE)
-    return search(pairs, lambda x, y, own: no_random_access(x, y, own, k), k, "long").withColumn("rank", F.col("rank").cast("int"))
+    return search(blocks(whole, every, FINITE), lambda x: no_random_access(x, k), k, "long").withColumn("rank", F.col("rank").cast("int"))
