@@ -62,15 +62,27 @@ def resolve_by_name(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.join(unique, "name").select("call_id", "name", "target")
 
 
+#: Lines of a file that meet in one key of a range join.
+BIN = 64
+
+
+def binned(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """`rows` once for each run of BIN lines that theirs touch, so that no file's rows all meet."""
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / BIN), F.floor(F.greatest(F.col(first), F.col(last)) / BIN))))
+
+
 def range_overlap(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Nodes that any changed range (file_path, start, stop) of their file touches."""
-    hit = nodes.join(ranges, "file_path").where((F.col("line_start") <= F.col("stop")) & (F.col("line_end") >= F.col("start")))
+    some = binned(nodes.where(F.col("line_end") >= F.col("line_start")), "line_start", "line_end")
+    hit = some.join(binned(ranges, "start", "stop"), ["file_path", "_bin"]).where((F.col("line_start") <= F.col("stop")) & (F.col("line_end") >= F.col("start")))
     return hit.select("qualified_name", "file_path", "line_start", "line_end").distinct()
 
 
 def enclosing(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (file_path, line), the innermost node around it: the smallest span, then least name."""
-    around = points.join(nodes.where(F.col("kind") != "File"), "file_path").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    some = binned(nodes.where((F.col("kind") != "File") & (F.col("line_end") >= F.col("line_start"))), "line_start", "line_end")
+    at = points.withColumn("_bin", F.floor(F.col("line") / BIN))
+    around = at.join(some, ["file_path", "_bin"]).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
     span = F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("qualified_name"))
     return around.groupBy("file_path", "line").agg(F.min(span).alias("m")).select("file_path", "line", F.col("m.qualified_name").alias("qualified_name"))
 
