@@ -5,28 +5,27 @@ Method: vectors are cut into subspaces of two components, each coded by one of s
 rest, since that part changes large inner products most: codewords are the solutions of weighted
 least squares, and codes are chosen by coordinate descent on the anisotropic loss.  A query reads
 one table of 256 sums for each byte (two codes), and the best of this scan are scored again on
-the original vectors.  A row's scan errs by at most its residual's norm times the query's, so every
-row whose bound reaches the k-th exact score found is scored too: no row of the best k is lost,
-however many rows have the same codes.
+the original vectors.  A row's scan errs by at most the sum over subspaces of its residual's norm
+times the query's, so every row whose bound reaches the k-th exact score found is scored too: no row
+of the best k is lost, however many rows have the same codes.
 
-The codebook is fitted on a bounded sample (SAMPLE rows of least hash); all rows are indexed and
-scanned, in blocks of bounded size.
+The codebook is fitted on a bounded sample (SAMPLE rows of least hash); all rows are indexed, each
+once, in blocks of bounded size by which the queries pass in batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .topk import FINITE, best_rows, blocks, search
+from .topk import CANDIDATES, FINITE, best_rows, blocks, search
 
 K, SAMPLE, SUB, CODES = 20, 10_000, 2, 16
 #: Parallel residuals weigh this many times the others.
 PARALLEL, ROUNDS, SWEEPS = 4.0, 6, 2
-CANDIDATES, QUERIES = 8_192, 1_024
 #: Rows of each block that are scored exactly first for each query, and rows scored at a time.
 RERANK, AT_ONCE = 160, 1_024
 
@@ -98,33 +97,43 @@ def exact_scores(q: np.ndarray, candidates: np.ndarray, rows: np.ndarray) -> np.
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def nearest_in_block(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, books: np.ndarray | None, k: int, rerank: int) -> Iterator[tuple]:
-    """The best k of a block: exact scores of the `rerank` best of the table scan, then of all rows that could still be among the k."""
+def index_block(candidates: np.ndarray, books: np.ndarray | None, k: int, rerank: int) -> Callable:
+    """Code a block once; the function returned yields the best k of each query.
+
+    Exact scores of the `rerank` best of the table scan come first, then those of all rows that
+    could still be among the k.
+    """
     n = len(candidates)
     coded = books is not None and n > rerank + 1 and padded(candidates[:1]).shape[1] == books.shape[0] * SUB
     if coded:
-        codes = np.concatenate([encode(padded(candidates[a : a + 1024]), books) for a in range(0, n, 1024)])
-        error, size = np.zeros(n), np.zeros(n)
+        codes = np.concatenate([encode(padded(candidates[a : a + AT_ONCE]), books) for a in range(0, n, AT_ONCE)])
+        error, slack = np.zeros((n, len(books))), np.zeros(n)
         for a in range(0, n, AT_ONCE):
-            quantised = books[np.arange(len(books))[None], codes[a : a + AT_ONCE]].reshape(-1, len(books) * SUB)
-            error[a : a + AT_ONCE] = np.linalg.norm(padded(candidates[a : a + AT_ONCE]) - quantised, axis=1)
-            size[a : a + AT_ONCE] = np.linalg.norm(quantised, axis=1)
+            whole = padded(candidates[a : a + AT_ONCE])
+            quantised = books[np.arange(len(books))[None], codes[a : a + AT_ONCE]]
+            error[a : a + AT_ONCE] = np.linalg.norm(whole.reshape(quantised.shape) - quantised, axis=2)
+            slack[a : a + AT_ONCE] = np.linalg.norm(quantised, axis=(1, 2)) + np.linalg.norm(whole, axis=1)
         # The tables and their sums are in single precision, the scores in double.
-        error += (size + np.linalg.norm(candidates, axis=1)) * (len(books) + 8) * 2.0**-23
-        scans = scan(padded(queries), codes, books)
-    for i, q in enumerate(queries):
-        rows = np.arange(n)
-        if coded:
-            about = next(scans)
-            first = best_rows(about, rerank + 1)
-            first = first[first != own[i]]
-            found = exact_scores(q, candidates, first)
-            least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
-            rows = np.flatnonzero(~(about + error * np.linalg.norm(q) < least))
-        rows = rows[rows != own[i]]
-        scores = exact_scores(q, candidates, rows)
-        best = best_rows(scores, k)
-        yield i, rows[best], scores[best]
+        slack *= (len(books) + 8) * 2.0**-23
+
+    def find(queries: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+        scans = scan(padded(queries), codes, books) if coded else None
+        parts = np.linalg.norm(padded(queries).reshape(len(queries), -1, SUB), axis=2) if coded else None
+        for i, q in enumerate(queries):
+            rows = np.arange(n)
+            if coded:
+                about = next(scans)
+                first = best_rows(about, rerank + 1)
+                first = first[first != own[i]]
+                found = exact_scores(q, candidates, first)
+                least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
+                rows = np.flatnonzero(~(about + error @ parts[i] + slack * np.linalg.norm(q) < least))
+            rows = rows[rows != own[i]]
+            scores = exact_scores(q, candidates, rows)
+            best = best_rows(scores, k)
+            yield i, rows[best], scores[best]
+
+    return find
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERANK) -> DataFrame:
@@ -144,6 +153,4 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERAN
         dim = max(set(sizes), key=sizes.count)
         books = fit(padded(np.array([v for v in sample if len(v) == dim])))
     sent = vectors.sparkSession.sparkContext.broadcast(books)
-    pairs = blocks(vectors, every, CANDIDATES, QUERIES, keep)
-    find = lambda x, y, own: nearest_in_block(x, y, own, sent.value, k, rerank)
-    return search(pairs, find, k, "double").withColumn("rank", F.col("rank").cast("int"))
+    return search(blocks(vectors, every, keep, CANDIDATES), lambda x: index_block(x, sent.value, k, rerank), k, "double").withColumn("rank", F.col("rank").cast("int"))
