@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import FLOWS, SAVED, G, register
+from .catalog import FLOWS, PACKED, SAVED, G, register
 from .functions import scalars as sf
 from .operators import lookups as lo
+from .operators import scoring as sc
 from .operators import telemetry as te
 from .operators import traverse as tr
 from .plans import adapters as a
@@ -108,3 +109,38 @@ register(
     f2 AS (SELECT entry, node, min(depth) AS depth FROM w2 GROUP BY 1, 2)
     SELECT entry, node, depth FROM flows WHERE entry NOT IN (SELECT entry FROM gone) UNION ALL SELECT * FROM f2 WHERE entry IN (SELECT entry FROM f2 GROUP BY entry HAVING count(*) > 1)""", *G, FLOWS,
 )
+
+# --- commands, relations, budgets and hits
+
+BAD = ["rm -rf /", "rm -fr /etc", "sudo ls", "dd if=/dev/zero of=x", "chmod -R 777 /", "ls -la", "rm -rf build", "chmod 755 a", "reboot now"]
+
+
+def _guarded(s: SparkSession, d: str) -> DataFrame:
+    command = F.element_at(F.array(*map(F.lit, BAD)), (F.col("event_id") % len(BAD) + 1).cast("int"))
+    relation = F.element_at(F.array(*map(F.lit, [*sf.RELATIONS, "owns"])), (F.col("event_id") % (len(sf.RELATIONS) + 1) + 1).cast("int"))
+    return a.table(s, d, "events").select("event_id", sf.denied(command).alias("denied"), sf.edge_kind(relation).alias("kind"))
+
+
+register(
+    "guarded_commands", _guarded,
+    f"SELECT event_id, event_id % {len(BAD)} NOT IN (1, 5, 6, 7) AS denied, ({[*sf.RELATIONS.values(), 'OWNS']})[event_id % {len(sf.RELATIONS) + 1} + 1] AS kind FROM events",
+)
+register(
+    "budgeted_walk", lambda s, d: tr.within_budget(tr.reach(a.edges(s, d), s.createDataFrame([("nation::3",)], "node string"), 3, directed=True), 2_000),
+    """, w AS (SELECT 'nation::3' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN edges ON node = source WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
+    c AS (SELECT node, depth, sum(length(node) // 4 + 10) OVER (ORDER BY depth, node)::BIGINT AS spent FROM m) SELECT * FROM c WHERE spent <= 2000""", a.EDGES,
+)
+register(
+    "enriched_hits", lambda s, d: lo.enriched(a.nodes(s, d), a.edges(s, d), "Widget"),
+    """, h AS (SELECT qualified_name, name, community_id FROM nodes WHERE NOT is_test AND kind <> 'File' AND contains(lower(name), 'widget') ORDER BY qualified_name LIMIT 5),
+    i AS (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY source) AS k FROM edges WHERE kind = 'CALLS' AND target IN (SELECT qualified_name FROM h)),
+    o AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS k FROM edges WHERE kind = 'CALLS' AND source IN (SELECT qualified_name FROM h)),
+    x AS (SELECT target AS q, string_agg(source, ',' ORDER BY source) AS callers FROM i WHERE k <= 5 GROUP BY 1), y AS (SELECT source AS q, string_agg(target, ',' ORDER BY target) AS callees FROM o WHERE k <= 5 GROUP BY 1)
+    SELECT qualified_name, name, community_id, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM h LEFT JOIN x ON x.q = qualified_name LEFT JOIN y ON y.q = qualified_name""", *G,
+)
+register(
+    "packed_items", lambda s, d: sc.packed_items(sc.pack_score(a.candidates(s, d), "small widget"), 200),
+    """), l AS (SELECT query_id, list({'id': id, 'cost': cost::BIGINT, 'used': 0::BIGINT, 'ids': ''} ORDER BY score / greatest(cost, 1) DESC, id) AS x FROM scored GROUP BY query_id),
+    r AS (SELECT query_id, list_reduce(list_prepend({'id': 0, 'cost': 0::BIGINT, 'used': 0::BIGINT, 'ids': ''}, x), lambda s, i: CASE WHEN s.used + i.cost <= 200 THEN {'id': 0, 'cost': 0::BIGINT, 'used': s.used + i.cost, 'ids': CASE WHEN s.ids = '' THEN '' ELSE s.ids || ',' END || i.id} ELSE s END) AS p FROM l)
+    SELECT query_id, p.ids AS ids FROM r""", "candidates AS (" + PACKED,
+)

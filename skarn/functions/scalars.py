@@ -113,3 +113,28 @@ def ignored(path: Column, patterns: list[str]) -> Column:
         if pattern.endswith("/**") and "/" not in pattern[:-3]:
             out = out | F.array_contains(F.split(path, "/"), pattern[:-3])
     return out
+
+
+# Commands that are never run, and edge kinds by the names that extractors give relations.
+DENIED = [
+    r"(?i)\brm\s+(-\w*r\w*f\w*|-\w*f\w*r\w*)\s+/\s*$", r"(?i)\brm\s+(-\w*r\w*f\w*|-\w*f\w*r\w*)\s+/(?:\s|$)", r"\bsudo\b", r"\bshutdown\b", r"\breboot\b", r"\bmkfs\b",
+    r"(?i)\bdd\s+if=/dev/", r"(?i)\b:(){ :\|:& };:", r"\bchmod\s+(-\w+\s+)*777\s+/\s*$", r"\bchmod\s+(-\w+\s+)*777\s+/(?:\s|$)",
+]
+RELATIONS = {
+    "contains": "CONTAINS", "method": "CONTAINS", "inherits": "INHERITS", "imports": "IMPORTS_FROM", "imports_from": "IMPORTS_FROM", "calls": "CALLS",
+    "semantically_similar_to": "SEMANTICALLY_SIMILAR", "defines": "CONTAINS", "uses": "REFERENCES",
+}
+
+
+def denied(command: Column) -> Column:
+    """Whether a command must not be run."""
+    out = F.lit(False)
+    for pattern in DENIED:
+        out = out | command.rlike(pattern.replace("{ :", r"\{ :").replace(" };", r" \};"))
+    return out
+
+
+def edge_kind(relation: Column) -> Column:
+    """The kind of an edge by an extractor's name of its relation; others in capitals."""
+    known = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.lower(relation)]
+    return F.coalesce(known, F.upper(relation))

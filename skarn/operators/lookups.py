@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -154,3 +154,17 @@ def searched_pattern(tool: Column, pattern: Column, command: Column) -> Column:
 def metadata(pairs: DataFrame) -> DataFrame:
     """The latest value of each key, of rows (key, value, at)."""
     return pairs.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select("key", F.col("m.value").alias("value"))
+
+
+def enriched(nodes: DataFrame, edges: DataFrame, part: str, n: int = 5, most: int = 5) -> DataFrame:
+    """The first n symbols that are no tests and have a part in their name, with callers and callees, at most so many of each."""
+    some = nodes.where(~F.col("is_test") & (F.col("kind") != "File") & F.contains(F.lower("name"), F.lit(part.lower()))).orderBy("qualified_name").limit(n)
+    calls = edges.where(F.col("kind") == "CALLS")
+
+    def ends(own: str, other: str, name: str) -> DataFrame:
+        found = calls.join(F.broadcast(some.select(F.col("qualified_name").alias(own))), own)  # n rows
+        least = found.withColumn("k", F.row_number().over(Window.partitionBy(own).orderBy(other))).where(F.col("k") <= most)
+        return least.groupBy(F.col(own).alias("qualified_name")).agg(F.array_join(F.array_sort(F.collect_list(other)), ",").alias(name))
+
+    out = some.select("qualified_name", "name", "community_id").join(ends("target", "source", "callers"), "qualified_name", "left").join(ends("source", "target", "callees"), "qualified_name", "left")
+    return out.select("qualified_name", "name", "community_id", F.coalesce("callers", F.lit("")).alias("callers"), F.coalesce("callees", F.lit("")).alias("callees"))

@@ -66,6 +66,19 @@ def pack(scored: DataFrame, budget: int) -> DataFrame:
     return packed.select("query_id", F.size("p.ids").alias("n_packed"), F.col("p.used").alias("used"), (F.size("items") - F.size("p.ids")).alias("n_skipped"))
 
 
+def packed_items(scored: DataFrame, budget: int) -> DataFrame:
+    """(query_id, ids): the items that `pack` takes for each query, in the order it takes them."""
+    density = F.col("score") / F.greatest(F.col("cost"), F.lit(1))
+    items = F.array_sort(F.collect_list(F.struct((-density).alias("d"), "id", "cost")))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+
+    def take(state: Column, item: Column) -> Column:
+        used = (state["used"] + item["cost"]).cast("long")
+        return F.when(used <= budget, F.struct(used.alias("used"), F.concat(state["ids"], F.array(item["id"])).alias("ids"))).otherwise(state)
+
+    return scored.groupBy("query_id").agg(items.alias("items")).select("query_id", F.array_join(F.aggregate("items", start, take)["ids"].cast("array<string>"), ",").alias("ids"))
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "S").when(score >= 80, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
 

@@ -164,3 +164,15 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 1 << 30) -> Da
     for other in shares[1:]:
         out = out.unionByName(other)
     return out.where("node <> pivot").groupBy("node").agg(F.round(F.sum("share"), 6).alias("score")).where("score > 0")
+
+
+def within_budget(reached: DataFrame, budget: int) -> DataFrame:
+    """(node, depth, spent): reached nodes by depth and name while the tokens of their names stay within a budget.
+
+    A node costs a quarter of its name's length and ten, so no more than a tenth of the budget can
+    be taken, and only so many rows are ordered in one task.
+    """
+    cost = (F.floor(F.length("node") / 4) + 10).cast("long")
+    first = reached.withColumn("cost", cost).orderBy("depth", "node").limit(budget // 10 + 1)
+    spent = first.withColumn("spent", F.sum("cost").over(Window.orderBy("depth", "node").rowsBetween(Window.unboundedPreceding, 0)))
+    return spent.where(F.col("spent") <= budget).select("node", "depth", "spent")
