@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import FLOWS, PACKED, SAVED, G, register
 from .functions import scalars as sf
+from .operators import graph as g
 from .operators import lookups as lo
 from .operators import scoring as sc
 from .operators import telemetry as te
@@ -144,3 +145,28 @@ register(
     r AS (SELECT query_id, list_reduce(list_prepend({'id': 0, 'cost': 0::BIGINT, 'used': 0::BIGINT, 'ids': ''}, x), lambda s, i: CASE WHEN s.used + i.cost <= 200 THEN {'id': 0, 'cost': 0::BIGINT, 'used': s.used + i.cost, 'ids': CASE WHEN s.ids = '' THEN '' ELSE s.ids || ',' END || i.id} ELSE s END) AS p FROM l)
     SELECT query_id, p.ids AS ids FROM r""", "candidates AS (" + PACKED,
 )
+
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    """Nodes of which some have names, decorators or files that tell entry points and tests."""
+    n = a.nodes(s, d)
+    key = F.length("name") * 7 + F.col("line_end")
+    return n.withColumns({
+        "name": F.when(key % 11 == 0, F.concat(F.lit("handle_"), "name")).otherwise(F.col("name")),
+        "decorators": F.when(key % 5 == 0, "@app.get('/x')\n@cached").when(key % 5 == 1, "@cached"),
+        "file_path": F.when(key % 13 == 0, F.concat("file_path", F.lit("/test_x.py"))).otherwise(F.col("file_path")),
+    })
+
+
+register(
+    "entry_points", lambda s, d: tr.entry_points(_marked(s, d), a.edges(s, d)),
+    """, k AS (SELECT *, length(name) * 7 + line_end AS key FROM nodes), c AS (SELECT DISTINCT target FROM edges WHERE kind = 'CALLS' AND source NOT IN (SELECT qualified_name FROM nodes WHERE kind = 'File')),
+    w AS (SELECT qualified_name, CASE WHEN qualified_name NOT IN (SELECT target FROM c) THEN 'uncalled' WHEN key % 5 = 0 THEN 'decorator' WHEN key % 11 = 0 THEN 'name' END AS why FROM k WHERE kind = 'Function' AND NOT is_test AND key % 13 <> 0)
+    SELECT * FROM w WHERE why IS NOT NULL""", *G,
+)
+register(
+    "dead_marked_code", lambda s, d: g.dead_code(_marked(s, d), a.edges(s, d).where("kind <> 'DEPENDS_ON'")),
+    """, k AS (SELECT *, length(name) * 7 + line_end AS key FROM nodes)
+    SELECT qualified_name, kind, file_path FROM k WHERE kind IN ('Function', 'Class') AND NOT is_test AND key % 13 <> 0 AND key % 11 <> 0 AND key % 5 <> 0
+    AND qualified_name NOT IN (SELECT target FROM edges WHERE kind = 'CALLS') AND qualified_name NOT IN (SELECT source FROM edges WHERE kind = 'TESTED_BY')""", *G,
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traverse import settled
+from .traverse import ENTRY_DECORATORS, ENTRY_NAMES, TEST_FILE, settled
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -199,11 +199,19 @@ def move_suggestions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Functions and classes that nothing calls, depends on or tests, and that are no tests."""
-    used = edges.where(F.col("kind").isin("CALLS", "DEPENDS_ON")).select(F.col("target").alias("qualified_name"))
+    """Functions and classes that nothing calls, depends on, inherits or tests.
+
+    Tests, entry points by decorator or name, names between double underscores, and constructors
+    don't count.
+    """
+    used = edges.where(F.col("kind").isin("CALLS", "DEPENDS_ON", "IMPORTS_FROM", "INHERITS", "REFERENCES")).select(F.col("target").alias("qualified_name"))
     tested = edges.where(F.col("kind") == "TESTED_BY").select(F.col("source").alias("qualified_name"))
-    some = nodes.where(F.col("kind").isin("Function", "Class") & ~F.col("is_test")).select("qualified_name", "kind", "file_path")
-    return some.join(used.unionAll(tested).distinct(), "qualified_name", "left_anti")
+    some = nodes.where(F.col("kind").isin("Function", "Class") & ~F.col("is_test") & ~F.col("file_path").rlike(TEST_FILE))
+    some = some.where(~F.col("name").rlike("|".join([*ENTRY_NAMES, "^__.*__$", "^constructor$"])))
+    if "decorators" in nodes.columns:
+        marks = F.coalesce(F.col("decorators"), F.lit(""))
+        some = some.where((marks == "") | ~marks.rlike("|".join(f"(?:{p})" for p in ENTRY_DECORATORS)))
+    return some.select("qualified_name", "kind", "file_path").join(used.unionAll(tested).distinct(), "qualified_name", "left_anti")
 
 
 def roll_up(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -87,6 +87,47 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node string")
 
 
+# What tells an entry point by a decorator and by a name, and a test's file.
+ENTRY_DECORATORS = [
+    r"(?i)app\.(get|post|put|delete|patch|route|websocket|on_event)", r"(?i)router\.(get|post|put|delete|patch|route)",
+    r"(?i)blueprint\.(route|before_request|after_request)", r"(?i)(before|after)_(request|response)", r"(?i)click\.(command|group)",
+    r"(?i)\w+\.(command|group)\b", r"(?i)(field|model)_(serializer|validator)", r"(?i)(celery\.)?(task|shared_task|periodic_task)", r"(?i)receiver",
+    r"(?i)api_view", r"(?i)\baction\b", r"pytest\.(fixture|mark)", r"(?i)(override_settings|modify_settings)", r"(?i)(event\.)?listens_for",
+    r"(?i)(Get|Post|Put|Delete|Patch|RequestMapping)Mapping", r"(?i)(Scheduled|EventListener|Bean|Configuration)",
+    r"(?i)(Component|Injectable|Controller|Module|Guard|Pipe)", r"(?i)(Subscribe|Mutation|Query|Resolver)",
+    r"(app|router)\.(get|post|put|delete|patch|use|all)\b", r"(?i)@(Override|OnLifecycleEvent|Composable)",
+    r"(?i)(HiltViewModel|AndroidEntryPoint|Inject)", r"(?i)\w+\.(tool|tool_plain|system_prompt|result_validator)\b", r"^tool\b",
+    r"(?i)\w+\.(middleware|exception_handler|on_exception)\b", r"(?i)\w+\.route\b",
+]
+ENTRY_NAMES = [
+    r"^main$", r"^__main__$", r"^test_", r"^Test[A-Z]", r"^on_", r"^handle_", r"^handler$", r"^handle$", r"^lambda_handler$", r"^upgrade$",
+    r"^downgrade$", r"^lifespan$", r"^get_db$", r"^on(Create|Start|Resume|Pause|Stop|Destroy|Bind|Receive)", r"^do(Get|Post|Put|Delete)$",
+    r"^do_(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$", r"^log_message$", r"^(middleware|errorHandler)$",
+    r"^ng(OnInit|OnChanges|OnDestroy|DoCheck|AfterContentInit|AfterContentChecked|AfterViewInit|AfterViewChecked)$",
+    r"^(transform|writeValue|registerOnChange|registerOnTouched|setDisabledState)$",
+    r"^(canActivate|canDeactivate|canActivateChild|canLoad|canMatch|resolve)$",
+    r"^(componentDidMount|componentDidUpdate|componentWillUnmount|shouldComponentUpdate|render)$",
+]
+TEST_FILE = r"([\\/]__tests__[\\/]|\.spec\.[jt]sx?$|\.test\.[jt]sx?$|[\\/]test_[^/\\]*\.py$)"
+
+
+def entry_points(nodes: DataFrame, edges: DataFrame, tests: bool = False) -> DataFrame:
+    """Functions that nothing but files calls, or that a decorator or their name tells as entry points; tests aside unless asked for.
+
+    `decorators`, where nodes have it, holds a node's decorators as one text a line.
+    """
+    some = nodes.where(F.col("kind").isin("Function", "Test"))
+    if not tests:
+        some = some.where(~F.col("is_test") & (F.col("kind") != "Test") & ~F.col("file_path").rlike(TEST_FILE))
+    callers = nodes.where(F.col("kind") == "File").select(F.col("qualified_name").alias("source"))
+    called = edges.where(F.col("kind") == "CALLS").join(callers, "source", "left_anti").select(F.col("target").alias("qualified_name")).distinct().withColumn("called", F.lit(True))
+    marks = F.coalesce(F.col("decorators"), F.lit("")) if "decorators" in nodes.columns else F.lit("")
+    by_mark = marks.rlike("|".join(f"(?:{p})" for p in ENTRY_DECORATORS)) & (marks != "")
+    by_name = F.col("name").rlike("|".join(ENTRY_NAMES))
+    why = F.when(F.col("called").isNull(), "uncalled").when(by_mark, "decorator").when(by_name, "name")
+    return some.join(called, "qualified_name", "left").select("qualified_name", why.alias("why")).where("why is not null")
+
+
 def flows(nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
     """(entry, node, depth): what each uncalled function reaches over calls, entries of two nodes or more."""
     calls = edges.where(F.col("kind") == "CALLS")
