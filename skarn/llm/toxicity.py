@@ -31,7 +31,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import Growing, Slots, id_bucket, mix64
 from ._scoring import labelled_sample, scored
