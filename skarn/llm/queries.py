@@ -146,6 +146,58 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), said AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM said GROUP BY ALL HAVING count(DISTINCT row) >= 30
+), cells AS (
+  SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total)::HUGEINT AS everything FROM kept GROUP BY lang
+), sums AS (
+  SELECT lang, source, sum(n)::HUGEINT AS own FROM cells GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.own, 0) + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 5)) // (l.everything + 5 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+), gaps AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -157,5 +209,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_nearest": op10_nearest,
+    "op12_simhash": op12_simhash,
+    "op13_divergence": op13_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op6_line_dedup": OP6_SQL, "op13_divergence": OP13_SQL}
