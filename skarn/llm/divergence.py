@@ -1,6 +1,7 @@
 """How far each source's use of terms lies from the other sources' and from its language's, by plain relational steps.
 
-Method: matches of the term pattern are exploded and counted by (lang, source, term); the terms
+Method: matches of the term pattern (what lies between matches of its complement, found many times
+faster by one split) are exploded and counted by (lang, source, term); the terms
 that enough documents of a language hold are its vocabulary; groups meet the vocabulary of their
 language, so that absent terms count as zeros; a self-join on (lang, term) gives the differences
 of each two sources, which are summed; windows rank them.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
-#: Runs of letters: of ASCII a-z only, beyond ASCII any character.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms, which are runs of letters: of ASCII a-z only, beyond ASCII any character.
+OTHER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Parts that a language's vocabulary is dealt to, so that one large language fills many tasks.
 SALTS = 64
@@ -43,11 +44,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences of a term in a group, and documents (rows) with it."""
     named = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")),
-        F.regexp_extract_all(_folded(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)).alias("terms"),
+        F.split(_folded(F.coalesce(F.col("text").cast("string"), F.lit(""))), OTHER, -1).alias("terms"),
     )
     # All terms of a text, then its distinct ones.
     twice = named.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    each = twice.select("lang", "source", "once", F.explode("terms").alias("term"))
+    each = twice.select("lang", "source", "once", F.explode("terms").alias("term")).where(F.col("term") != "")
     return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").cast("long").alias("d"))
 
 
