@@ -31,7 +31,7 @@ BLOCK_CHARS, BLOCK_ROWS, PIECE = 1_000_000, 1_000, 1 << 20
 #: Hashes whose bits are added at a time, in single bytes.
 LANES = 128
 #: Fingerprints under one key beyond which it is split again; rows and (row, word) pairs compared at a time.
-CROWD, ROWS, PAIRS = 512, 8_192, 1 << 17
+CROWD, ROWS, PAIRS = 512, 8_192, 1 << 14
 #: Planes are taken in this order, so that those that a group's key fixes don't come together.
 ORDER = [k * 37 % 64 for k in range(64)]
 FULL = np.uint64(2**64 - 1)
