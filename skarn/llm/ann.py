@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by score-aware quantisation and exact reranking.
 
-Method: vectors are cut into subspaces of two components, each coded by one of sixteen codewords
-(four bits).  Training weighs the part of a residual that is parallel to its vector more than the
+Method: each component is a subspace of its own, coded by one of sixteen codewords (four bits).  Training weighs the part of a residual that is parallel to its vector more than the
 rest, since that part changes large inner products most: codewords are the solutions of weighted
 least squares, and codes are chosen by coordinate descent on the anisotropic loss.  A query reads
 one table of 256 sums for each byte (two codes), and the best of this scan are scored again on
-the original vectors.  A row's scan errs by at most the sum over subspaces of its residual's norm
-times the query's, so every row whose bound reaches the k-th exact score found is scored too: no row
-of the best k is lost, however many rows have the same codes.
+the original vectors.
+
+The scan selects.  A residual's part along its vector only scales the inner product, so the scan
+divides it out, exactly.  What is left is the product of two vectors orthogonal to the row: the
+rest of the residual and the rest of the query, whose norms are known.  A row is scored exactly if
+its scan and the product of those norms reach the k-th exact score found, so no row of the best
+k is lost, however many rows have the same codes.  For near copies both rests are small, and the
+bound is narrow just where many rows are alike.
 
 The codebook is fitted on a bounded sample (SAMPLE rows of least hash); all rows are indexed, each
 once, in blocks of bounded size by which the queries pass in batches.
@@ -23,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .topk import CANDIDATES, FINITE, best_rows, blocks, search
 
-K, SAMPLE, SUB, CODES = 20, 10_000, 2, 16
+K, SAMPLE, SUB, CODES = 20, 10_000, 1, 16
 #: Parallel residuals weigh this many times the others.
-PARALLEL, ROUNDS, SWEEPS = 4.0, 6, 2
+PARALLEL, ROUNDS, SWEEPS = 4.0, 10, 2
 #: Rows of each block that are scored exactly first for each query, and rows scored at a time.
-RERANK, AT_ONCE = 160, 1_024
+RERANK, AT_ONCE = 96, 1_024
+#: Codes that keep a smaller share of their row are not scaled.
+KEPT = 0.25
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -60,7 +66,8 @@ def fit(x: np.ndarray, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     n, m = len(x), x.shape[1] // SUB
     parts = x.reshape(n, m, SUB)
-    books = np.stack([parts[rng.integers(0, n, CODES), j] for j in range(m)])
+    evenly = ((np.arange(CODES) + 0.5) / CODES * n).astype(int)
+    books = np.stack([parts[np.lexsort(parts[:, j].T)[evenly], j] for j in range(m)])
     unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
     for _ in range(ROUNDS):
         codes = encode(x, books)
@@ -97,39 +104,70 @@ def exact_scores(q: np.ndarray, candidates: np.ndarray, rows: np.ndarray) -> np.
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
+class Coded:
+    """A block's codes and what its rows' residuals leave open."""
+
+    def __init__(self, candidates: np.ndarray, books: np.ndarray) -> None:
+        n = len(candidates)
+        self.books, self.codes = books, np.concatenate([encode(padded(candidates[a : a + AT_ONCE]), books) for a in range(0, n, AT_ONCE)])
+        self.square, self.kept, self.rest, self.slack = (np.zeros(n) for _ in range(4))
+        for a in range(0, n, AT_ONCE):
+            at = slice(a, a + AT_ONCE)
+            x = padded(candidates[at])
+            quantised = books[np.arange(len(books))[None], self.codes[at]].reshape(x.shape)
+            square = np.maximum((x**2).sum(1), 1e-300)
+            residual = ((x - quantised) ** 2).sum(1)
+            kept = (quantised * x).sum(1) / square
+            along = np.where(kept > KEPT, (1 - kept) ** 2 * square, 0)
+            self.square[at], self.kept[at] = square, np.where(kept > KEPT, kept, 1.0)
+            self.rest[at] = np.sqrt(np.maximum(residual - along, 0)) / self.kept[at]
+            # The tables and their sums are in single precision, the scores in double.
+            self.slack[at] = (np.sqrt((quantised**2).sum(1)) + np.sqrt(square)) * (len(books) + 8) * 2.0**-23
+        # What isn't scaled has all of its error open.
+        self.scaled = self.kept != 1.0
+
+    def bounds(self, q: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimates, upper bounds) of the inner products, from the scan."""
+        norm = np.sqrt((q**2).sum())
+        estimate = about / self.kept
+        widest = norm * self.rest
+        # The query's part orthogonal to a row is largest where the product is nearest to zero.
+        least = np.maximum(np.abs(estimate) - widest, 0)
+        across = np.where(self.scaled, np.sqrt(np.maximum(norm**2 - least**2 / self.square, 0)), norm)
+        return estimate, estimate + across * self.rest + self.slack * norm
+
+
 def index_block(candidates: np.ndarray, books: np.ndarray | None, k: int, rerank: int) -> Callable:
     """Code a block once; the function returned yields the best k of each query.
 
-    Exact scores of the `rerank` best of the table scan come first, then those of all rows that
-    could still be among the k.
+    Exact scores of the `rerank` best of the table scan come first, then those of the rows whose
+    bound reaches the k-th of them.
     """
     n = len(candidates)
-    coded = books is not None and n > rerank + 1 and padded(candidates[:1]).shape[1] == books.shape[0] * SUB
-    if coded:
-        codes = np.concatenate([encode(padded(candidates[a : a + AT_ONCE]), books) for a in range(0, n, AT_ONCE)])
-        error, slack = np.zeros((n, len(books))), np.zeros(n)
-        for a in range(0, n, AT_ONCE):
-            whole = padded(candidates[a : a + AT_ONCE])
-            quantised = books[np.arange(len(books))[None], codes[a : a + AT_ONCE]]
-            error[a : a + AT_ONCE] = np.linalg.norm(whole.reshape(quantised.shape) - quantised, axis=2)
-            slack[a : a + AT_ONCE] = np.linalg.norm(quantised, axis=(1, 2)) + np.linalg.norm(whole, axis=1)
-        # The tables and their sums are in single precision, the scores in double.
-        slack *= (len(books) + 8) * 2.0**-23
+    coded = None
+    if books is not None and n > rerank + 1 and padded(candidates[:1]).shape[1] == books.shape[0] * SUB:
+        coded = Coded(candidates, books)
 
     def find(queries: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
-        scans = scan(padded(queries), codes, books) if coded else None
-        parts = np.linalg.norm(padded(queries).reshape(len(queries), -1, SUB), axis=2) if coded else None
+        scans = scan(padded(queries), coded.codes, books) if coded else None
         for i, q in enumerate(queries):
-            rows = np.arange(n)
             if coded:
-                about = next(scans)
-                first = best_rows(about, rerank + 1)
+                estimate, most = coded.bounds(q, next(scans))
+                first = best_rows(estimate, rerank + 1)
                 first = first[first != own[i]]
                 found = exact_scores(q, candidates, first)
                 least = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
-                rows = np.flatnonzero(~(about + error @ parts[i] + slack * np.linalg.norm(q) < least))
-            rows = rows[rows != own[i]]
-            scores = exact_scores(q, candidates, rows)
+                open_ = ~(most < least)
+                open_[first] = False
+                rest = np.flatnonzero(open_)
+                rest = rest[rest != own[i]]
+                rows, scores = np.r_[first, rest], np.r_[found, exact_scores(q, candidates, rest)]
+                order = np.argsort(rows)
+                rows, scores = rows[order], scores[order]
+            else:
+                rows = np.arange(n)
+                rows = rows[rows != own[i]]
+                scores = exact_scores(q, candidates, rows)
             best = best_rows(scores, k)
             yield i, rows[best], scores[best]
 
