@@ -311,8 +311,8 @@ register(
 )
 register(
     "memory_roi", lambda s, d: sc.roi(a.observations(s, d), "2024-02-01"),
-    """, r AS (SELECT id, round(access_count * importance / greatest(1.0::DOUBLE, (DATE '2024-02-01' - created_at) / 30.0::DOUBLE), 6) AS roi FROM observations WHERE NOT archived)
-    SELECT id, roi, roi < 0.1 AS low FROM r""", a.OBSERVATIONS,
+    """, r AS (SELECT id, type, round(access_count * importance / greatest(1.0::DOUBLE, (DATE '2024-02-01' - created_at) / 30.0::DOUBLE), 6) AS roi FROM observations WHERE NOT archived)
+    SELECT id, roi, roi < 0.1 AND type NOT IN ('guardrail', 'convention', 'warning') AS low FROM r""", a.OBSERVATIONS,
 )
 register(
     "expired_memory", lambda s, d: sc.expired(a.observations(s, d), "2024-02-01"),
@@ -436,4 +436,4 @@ register(
     "SELECT lang, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
 )
 
-from . import catalog_more, catalog_outputs, catalog_scalars, catalog_sources  # noqa: E402, F401
+from . import catalog_more, catalog_outputs, catalog_scalars, catalog_search, catalog_sources  # noqa: E402, F401

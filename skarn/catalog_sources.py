@@ -170,12 +170,6 @@ register(
     SELECT qualified_name, kind, round(score * CASE kind WHEN 'Class' THEN 1.5::DOUBLE WHEN 'Function' THEN 1.5 ELSE 1 END * CASE WHEN file_path = 'part/Brand#11.md' THEN 1.5::DOUBLE ELSE 1 END, 6) AS score
     FROM r JOIN nodes USING (qualified_name) ORDER BY score DESC, qualified_name LIMIT 20""", a.NODES,
 )
-register(
-    "tiered_search", lambda s, d: se.tiers(a.table(s, d, "documents"), "licens", 30),
-    """WITH c AS (SELECT doc_id, ((length(text) - length(replace(lower(text), 'licens', ''))) // 6)::DOUBLE AS score FROM documents)
-    SELECT doc_id, 2 AS tier, score FROM c WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30""",
-)
-
 # --- sinks
 
 register(

@@ -37,17 +37,17 @@ def severities(changes: DataFrame) -> DataFrame:
     return changes.groupBy("severity", "change").agg(F.count("*").alias("n"))
 
 
-def backward_slice(definitions: DataFrame, targets: DataFrame, settle, most: int = 1_000) -> DataFrame:
+def backward_slice(definitions: DataFrame, targets: DataFrame, settle) -> DataFrame:
     """(path, line): the lines that a variable's value at a line depends on.
 
     `definitions` has (path, line, variable, used): a line that sets a variable and the array of
     variables it uses.  `targets` has (path, line, variable).  Each round takes the definitions, up
-    to the target's line, of the variables that the last round reached, until none is new.
+    to the target's line, of the variables that the last round reached, until none is new, however long the chain is.
     """
     wanted = targets.select("path", F.col("line").alias("upto"), "variable")
     seen = frontier = settle(wanted.distinct())
     lines = None
-    for _ in range(most):
+    while True:
         hit = definitions.join(frontier, ["path", "variable"]).where(F.col("line") <= F.col("upto"))
         found = settle(hit.select("path", "upto", "line", "used"))
         lines = found.select("path", "line") if lines is None else lines.unionByName(found.select("path", "line"))

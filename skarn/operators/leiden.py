@@ -69,7 +69,7 @@ class _Graph:
 
     def round(self, state: DataFrame, turn: int) -> DataFrame:
         """`state` after the moves of one half of the nodes."""
-        strengths = state.groupBy("c").agg(F.sum("k").alias("s"))
+        strengths = state.groupBy("c").agg(F.sum("k").alias("s"), F.count("*").alias("n"))
         own = state.select(F.col("id").alias("a"), "c", F.lit(0).cast("long").alias("w"))
         options = self._votes(state).unionAll(own).groupBy("a", "c").agg(F.sum("w").alias("w")).join(strengths, "c")
         mine = state.select(F.col("id").alias("a"), "k", F.col("c").alias("own"))
@@ -77,14 +77,17 @@ class _Graph:
         at_home = F.col("c") == F.col("own")
         gain = F.col("w") - F.lit(self.rate) * F.col("k") * (F.col("s") - F.when(at_home, F.col("k")).otherwise(0))
         best = options.groupBy("a", "k", "own").agg(
-            F.max(F.struct(gain.alias("gain"), (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(at_home, gain)).alias("stay")
+            F.max(F.struct(gain.alias("gain"), (-F.col("c")).alias("c"), "n")).alias("best"), F.max(F.when(at_home, gain)).alias("stay"), F.max(F.when(at_home, F.col("n"))).alias("n")
         )
-        moves = _coin("a", turn) & (F.col("best.gain") > F.col("stay") + 1e-9)
+        # Of two nodes that are alone the later joins the earlier, lest they change places.
+        swaps = (F.col("n") == 1) & (F.col("best.n") == 1) & (-F.col("best.c") > F.col("own"))
+        moves = _coin("a", turn) & (F.col("best.gain") > F.col("stay") + 1e-9) & ~swaps
         return self.scratch.keep(best.select(F.col("a").alias("id"), "k", F.when(moves, -F.col("best.c")).otherwise(F.col("own")).alias("c")))
 
     def moved(self, state: DataFrame, turn: int) -> tuple[DataFrame, int]:
         """The best state of rounds that raise modularity, and the next turn."""
         best, value = state, self.modularity(state)
+        turn += turn % 2  # the two halves of one draw
         while True:
             after = self.round(self.round(best, turn), turn + 1)
             turn += 2

@@ -16,10 +16,10 @@ def age_days(as_of: str, created: Column) -> Column:
 
 
 def roi(observations: DataFrame, as_of: str) -> DataFrame:
-    """Accesses times importance over age in months (one at least); low below 0.1."""
+    """Accesses times importance over age in months (one at least); low below 0.1, but for types that are never archived."""
     months = F.greatest(F.lit(1.0), age_days(as_of, F.col("created_at")) / 30.0)
     value = F.round(F.col("access_count") * F.col("importance") / months, 6)
-    return observations.where(~F.col("archived")).select("id", value.alias("roi"), (value < 0.1).alias("low"))
+    return observations.where(~F.col("archived")).select("id", value.alias("roi"), ((value < 0.1) & ~F.coalesce(F.col("type"), F.lit("")).isin(IMMUNE)).alias("low"))
 
 
 def expired(observations: DataFrame, as_of: str) -> DataFrame:

@@ -123,22 +123,6 @@ def hybrid(nodes: DataFrame, lists: list[DataFrame], query: str, k: int, files:
     return rows.select("qualified_name", "kind", F.round(F.col("score") * factor, 6).alias("score")).orderBy(F.desc("score"), "qualified_name").limit(k)
 
 
-def tiers(docs: DataFrame, query: str, k: int) -> DataFrame:
-    """(doc_id, tier, score): documents with all of the query's words, by BM25 of those; if none, those with it within words.
-
-    The second tier holds documents that have the query's letters in a row; it counts only where
-    the first is empty, and is ordered by how often it has them.
-    """
-    words = [w for w in query.lower().split() if w]
-    first = bm25(docs, words, k)
-    low = F.lower(F.coalesce("text", F.lit("")))
-    hits = F.floor((F.length(low) - F.length(F.replace(low, F.lit(query.lower()), F.lit("")))) / len(query)).cast("double")
-    second = docs.select("doc_id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
-    empty = first.agg((F.count("*") == 0).alias("empty"))  # one row
-    rest = second.join(F.broadcast(empty)).where("empty").select("doc_id", F.lit(2).alias("tier"), "score")
-    return first.select("doc_id", F.lit(1).alias("tier"), "score").unionByName(rest)
-
-
 def close_words(vocabulary: DataFrame, word: str, k: int = 3, least: float = 0.6) -> DataFrame:
     """(term, ratio): the k terms most like a word by the share of matching blocks, at least so much."""
     from .memory import alike

@@ -51,21 +51,19 @@ def chunk_paragraphs(docs: DataFrame, most: int = 4_096) -> DataFrame:
     """(doc_id, part, text): paragraphs (blank-line separated) packed in order into chunks of at most `most` characters.
 
     A paragraph starts a new chunk when it, the chunk so far and the blank line between exceed
-    `most`; a longer one is a chunk of its own.  The fold keeps lengths and chunk numbers only;
-    texts are joined once, at the end.
+    `most`; a longer one is a chunk of its own.  Each row is folded by itself, so nothing is shuffled
+    and rows that share an id stay apart.
     """
     parts = F.filter(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?s)(?:(?!\n\s*\n).)+"), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("at", "paragraph"))
-    sized = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.length("paragraph").alias("n"), "paragraph"))).alias("p"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("chunks"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def add(state, part):
-        fits = (state["size"] == 0) | (state["size"] + part["n"] + 2 <= most)
-        chunk = F.when(fits, state["chunk"]).otherwise(state["chunk"] + 1)
-        size = F.when(state["size"] == 0, part["n"]).when(fits, state["size"] + part["n"] + 2).otherwise(part["n"])
-        return F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(state["chunks"], F.array(chunk)).alias("chunks"))
-
-    numbered = sized.select("doc_id", "p", F.aggregate("p", start, add)["chunks"].alias("c"))
-    each = numbered.select("doc_id", F.explode(F.arrays_zip("p", "c")).alias("z")).select("doc_id", F.col("z.c").alias("part"), F.col("z.p.at").alias("at"), F.col("z.p.paragraph").alias("paragraph"))
-    joined = each.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "paragraph"))).alias("x"))
-    return joined.select("doc_id", "part", F.array_join(F.col("x.paragraph"), "\n\n").alias("text"))
+        fits = (state["n"] == 0) | (F.length(state["open"]) + F.length(part) + 2 <= most)
+        done = F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+        grown = F.when(state["n"] == 0, part).when(fits, F.concat(state["open"], F.lit("\n\n"), part)).otherwise(part)
+        return F.struct(done.alias("done"), grown.alias("open"), (state["n"] + 1).alias("n"))
+
+    def chunks(state):
+        return F.when(state["n"] == 0, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+
+    return docs.select("doc_id", F.posexplode(F.aggregate(parts, start, add, chunks)).alias("part", "text"))

@@ -13,8 +13,8 @@ from skarn import catalog
 from .conftest import SMALL
 
 
-#: Queries without SQL: tests of their own hold them to brute force (test_texts).
-BRUTE = ["community_names", "compressed_texts", "markdown_chunks", "memory_filled", "paragraph_chunks", "plain_chunks"]
+#: Queries without SQL: tests of their own hold them to brute force (test_texts, test_leiden).
+BRUTE = ["community_names", "compressed_texts", "leiden_assigned", "leiden_communities", "markdown_chunks", "memory_filled", "paragraph_chunks", "plain_chunks"]
 
 
 @pytest.fixture(scope="module")
