@@ -2,7 +2,7 @@
 
 Logical tables: nodes and edges of a property graph, telemetry and session events, pipeline runs,
 memory observations, pack candidates, diff ranges and two versions of files.  Nothing here is
-collected.  Nodes and edges are stored once a session; each other view is a projection or union of
+collected.  Nodes and edges are stored once a session and state of their files; each other view is a projection or union of
 scans, so filters and columns reach the files.
 """
 
@@ -26,12 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is derived once for a session and folder, kept as Parquet in the shared folder and read from there.
+def version(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """The files of some tables with their lengths and times: another text once any of them changes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    said = []
+    for name in names:
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            said.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(said))
 
-    Input folders don't change while a session reads them; a new session derives its tables anew.
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the tables `sources`, kept as Parquet in the shared folder and read from there.
+
+    It is derived once a session for each state of the files it comes from, and anew when they change.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, name, version(spark, sf_dir, sources))
     if key not in _STORED:
         at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(at)
@@ -45,7 +58,7 @@ def _key(kind: str, column: str):
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored nodes of the property graph."""
-    return stored(spark, sf_dir, "nodes", lambda: derived_nodes(spark, sf_dir))
+    return stored(spark, sf_dir, "nodes", ["customer", "supplier", "part", "nation", "region"], lambda: derived_nodes(spark, sf_dir))
 
 
 def derived_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +109,7 @@ NODES = """nodes AS (
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored edges of the property graph."""
-    return stored(spark, sf_dir, "edges", lambda: derived_edges(spark, sf_dir))
+    return stored(spark, sf_dir, "edges", ["lineitem", "orders", "customer", "supplier", "nation"], lambda: derived_edges(spark, sf_dir))
 
 
 def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

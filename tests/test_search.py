@@ -141,3 +141,14 @@ def test_slices_of_long_chains(spark):
     rows = spark.createDataFrame([("f", k, f"v{k}", [f"v{k - 1}"]) for k in range(1, n + 1)], "path string, line int, variable string, used array<string>")
     target = spark.createDataFrame([("f", n, f"v{n}")], "path string, line int, variable string")
     assert changes.backward_slice(rows, target, traverse.settled).count() == n
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from skarn.plans import adapters
+
+    for name in ("customer", "supplier", "part", "nation", "region", "lineitem", "orders"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(5).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = adapters.nodes(spark, str(tmp_path)).count()
+    assert adapters.nodes(spark, str(tmp_path)).count() == before
+    spark.read.parquet(f"{SMALL}/customer.parquet").limit(9).write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+    assert adapters.nodes(spark, str(tmp_path)).count() == before + 4
