@@ -436,4 +436,4 @@ register(
     "SELECT lang, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
 )
 
-from . import catalog_more, catalog_outputs, catalog_scalars, catalog_search, catalog_sources  # noqa: E402, F401
+from . import catalog_code, catalog_more, catalog_outputs, catalog_scalars, catalog_search, catalog_sources  # noqa: E402, F401
