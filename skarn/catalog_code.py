@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import G, register
 from .operators import depth as de
+from .operators.traverse import settled
 from .plans import adapters as a
 from .sources import imports as im
 
@@ -52,7 +53,7 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _project(spark, sf_dir)
     script = F.lit("typescript").alias("language")
     asked = p["imports"].select("file_path", script, "module").unionAll(p["exports"].select("file_path", script, "module"))
-    found = im.module_files(asked, p["files"], im.effective_settings(p["settings"]))
+    found = settled(im.module_files(asked, p["files"], im.effective_settings(p["settings"])))
     exports = p["exports"].join(found, ["file_path", "module"], "left").select("file_path", "place", "exported", F.coalesce("original", "exported").alias("original"), "target_file")
     names = im.exported_names(p["definitions"], exports)
     calls = p["imports"].select("file_path", "name")

@@ -55,7 +55,8 @@ def _suffixed(base: Column, end: str, append: bool) -> Column:
 
 def _probes(base: Column, append: bool) -> Column:
     """The file itself, with each extension, and as a folder's index."""
-    return F.array(base, *[_suffixed(base, e, append) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index{e}")) for e in EXTENSIONS])
+    every = lambda b: F.array(b, *[_suffixed(b, e, append) for e in EXTENSIONS], *[F.concat(b, F.lit(f"/index{e}")) for e in EXTENSIONS])
+    return F.element_at(F.transform(F.array(base), every), 1)  # the base is made once
 
 
 def effective_settings(configs: DataFrame) -> DataFrame:
