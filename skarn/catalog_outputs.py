@@ -104,3 +104,5 @@ def _sql(kind: str, rules: list[filters.Rule]) -> str:
 for _kind in SQL:
     _rules = [r for r in filters.RULES if r.way.kind == _kind]
     register(f"outputs_{_kind}", _run([r.name for r in _rules]), _sql(_kind, _rules))
+_summed = [r.name for r in filters.RULES if r.way.kind == "summary"]
+register("outputs_summary", _run(_summed))

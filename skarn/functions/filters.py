@@ -4,17 +4,20 @@ A rule's ways are column expressions on the output's lines, so a million logs ar
 JVM: `head` keeps first lines, `drop` leaves lines out first, `ends` keeps both ends, `count`
 counts lines by label and shows the first of them, `top` counts by a captured group, `unique`
 masks times and addresses and keeps distinct lines, `kept` keeps matching lines, `mask` hides
-secrets.  Formats are this engine's own.
+secrets, and `summary` parses lines of a known form (`summaries`).  Formats are this engine's own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import summaries
+from .arrays import counted
 from .text import head_tail, mask_log, mask_secret
 
 
@@ -76,8 +79,7 @@ def top(pattern: str, n: int) -> Way:
 
     def way(text: Column) -> Column:
         values = F.filter(F.transform(_lines(text), lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
-        pairs = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), v.alias("v")))
-        return F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: F.format_string("%d %s", -p["n"], p["v"])), "\n")
+        return F.array_join(F.transform(F.slice(counted(values), 1, n), lambda p: F.format_string("%d %s", p["n"], p["v"])), "\n")
 
     return Way("top", (pattern, n), way)
 
@@ -100,11 +102,18 @@ def masked(n: int) -> Way:
     return Way("masked", (n,), lambda text: _first(F.array_sort(F.transform(_lines(text), line)), n))
 
 
+def summary(cut: Callable[[Column], Column]) -> Way:
+    return Way("summary", (), cut)
+
+
 @dataclass(frozen=True)
 class Rule:
+    """A command pattern and its way; with `both`, what went to stderr follows what went to stdout."""
+
     name: str
     command: str
     way: Way
+    both: bool = False
 
 
 GIT = r"^(?:git|yadm)\s+(?:-[Cc]\s+\S+\s+)*"
@@ -117,7 +126,7 @@ RULES = [
     Rule("cargo_clippy", r"^cargo\s+clippy", count(10, **ERRORS)), Rule("cargo_check", r"^cargo\s+check", count(10, errors=r"(?i)\berror\b")),
     Rule("cat", r"^(?:cat|head|tail)(?:\s|$)", ends(50, 200)),
     Rule("aws_identity", r"^aws\s+sts\s+get-caller-identity", kept("(?i)arn|account", 2)), Rule("aws_ec2", r"^aws\s+ec2\s+describe-instances", kept("(?i)instance|state|\"name\"", 15)),
-    Rule("aws_lambda", r"^aws\s+lambda\s+list-functions", kept("(?i)functionname|runtime", 20)), Rule("aws_s3", r"^aws\s+s3\s+ls", head(20)),
+    Rule("aws_lambda", r"^aws\s+lambda\s+list-functions", kept("(?i)functionname|runtime", 20)), Rule("aws_s3", r"^aws\s+s3\s+ls", summary(summaries.above(30, 20))),
     Rule("curl", r"^curl\s+", drop(r"^[<>*] |^\s*%|^\s*\d+\s+\d+", 80)), Rule("wget", r"^wget\s+", drop(r"\d+%|^--", 20)),
     Rule("docker_images", r"^docker\s+images", head(16)), Rule("docker_logs", r"^docker\s+logs?\s+", unique(50)),
     Rule("kubectl_pods", r"^kubectl\s+(?:get\s+)?pods?", head(20)), Rule("kubectl_services", r"^kubectl\s+(?:get\s+)?services?", head(20)),
@@ -127,33 +136,33 @@ RULES = [
     Rule("dotnet_build", r"^dotnet\s+build", top(r"\b((?:CS|MSB|NU)\d+)\b", 10)), Rule("dotnet_test", r"^dotnet\s+test", count(5, **TESTS)),
     Rule("gh_pr_list", r"^gh\s+pr\s+list", head(20)), Rule("gh_pr_view", r"^gh\s+pr\s+view", drop(r"^<!--|!\[", 30)),
     Rule("gh_issue_list", r"^gh\s+issue\s+list", head(20)), Rule("gh_issue_view", r"^gh\s+issue\s+view", head(30)), Rule("gh_run_list", r"^gh\s+run\s+list", head(20)),
-    Rule("git_diff", GIT + r"diff(?:\s|$)", kept(r"^(?:diff --git|@@|[+-])", 500)), Rule("git_log", GIT + r"log(?:\s|$)", drop(r"^(?:Author|Date|Merge):", 100)),
+    Rule("git_diff", GIT + r"diff(?:\s|$)", summary(summaries.hunks)), Rule("git_log", GIT + r"log(?:\s|$)", drop(r"^(?:Author|Date|Merge):", 100)),
     Rule("git_add", GIT + r"add(?:\s|$)", kept(r"changed|insertion|deletion", 1)), Rule("git_commit", GIT + r"commit(?:\s|$)", kept(r"^\[|changed", 2)),
     Rule("git_push", GIT + r"push(?:\s|$)", kept(r"->|up-to-date|rejected", 5)), Rule("git_pull", GIT + r"pull(?:\s|$)", kept(r"changed|up to date|CONFLICT", 5)),
-    Rule("git_status", GIT + "status", count(20, conflicts=r"^(?:UU|AA|DD)", staged=r"^[MARCD] ", modified=r"^.[MD]", untracked=r"^\?\?")),
+    Rule("git_status", GIT + "status", summary(summaries.status)),
     Rule("go_test", r"^go\s+test", count(10, **{"ok": r"^ok\b", "failed": r"^(?:FAIL|--- FAIL)"})), Rule("go_build", r"^go\s+build", kept(r"\.go:\d+", 10)),
     Rule("go_vet", r"^go\s+vet", kept(r"\.go:\d+", 10)), Rule("golangci_lint", r"^golangci-lint\s+run", top(r"\(([\w-]+)\)\s*$", 5)),
-    Rule("grep", r"^(?:grep|rg|ripgrep)(?:\s|$)", top(r"^([^:]+):", 200)),
+    Rule("grep", r"^(?:grep|rg|ripgrep)(?:\s|$)", summary(summaries.matches)),
     Rule("npm_install", r"^npm\s+(?:install|ci|i)(?:\s|$)", drop(r"(?i)^npm (?:warn|notice)|funding", 10)), Rule("npm_test", r"^npm\s+(?:run\s+)?test", drop(r"^>", 30)),
     Rule("pnpm_install", r"^pnpm\s+(?:install|i|add)(?:\s|$)", drop(r"(?i)^progress", 10)), Rule("pnpm_list", r"^pnpm\s+(?:list|ls)(?:\s|$)", head(20)),
-    Rule("tsc", r"^(?:npx\s+)?tsc(?:\s|$)", top(r"error (TS\d+)", 5)), Rule("eslint", r"^(?:npx\s+)?(?:eslint|biome\s+(?:check|lint))", top(r"\s([@\w/-]+)\s*$", 5)),
+    Rule("tsc", r"^(?:npx\s+)?tsc(?:\s|$)", summary(summaries.diagnostics("TypeScript", summaries.TSC, (1, 2, 3, 4), 3, "tsc: ok", width=70, unless="(?i)error")), both=True), Rule("eslint", r"^(?:npx\s+)?(?:eslint|biome\s+(?:check|lint))", summary(summaries.lint)),
     Rule("vitest", r"^(?:npx\s+)?vitest\s+run", count(5, **TESTS)), Rule("jest", r"^(?:npx\s+)?(?:jest)(?:\s|$)", count(5, **TESTS)),
     Rule("playwright", r"^(?:npx\s+)?playwright\s+test", count(5, **TESTS)), Rule("next_build", r"^(?:npx\s+)?next\s+build", kept(r"^[┌├└○●λƒ]", 15)),
     Rule("prettier", r"^(?:npx\s+)?prettier\s+", kept(r"^\[warn\]", 10)), Rule("prisma_generate", r"^(?:npx\s+)?prisma\s+generate", drop(r"[█▓░]", 10)),
     Rule("kubectl_get", r"^kubectl\s+get\s+", head(31)),
     Rule("kubectl_apply", r"^kubectl\s+(?:apply|create|delete)\s+", count(0, created=r"created$", configured=r"configured$", deleted=r"deleted", unchanged=r"unchanged$")),
     Rule("kubectl_describe", r"^kubectl\s+describe\s+", kept(r"^(?:Name|Namespace|Status|Events):|^\s+(?:Normal|Warning)\s", 20)),
-    Rule("ls", r"^ls(?:\s|$)", top(r"(\.[A-Za-z0-9]+)$", 5)), Rule("pytest", r"^(?:python\s+-m\s+)?pytest(?:\s|$)", kept(r"^(?:FAILED|ERROR|E  |=+ .*(?:passed|failed|error))", 20)),
-    Rule("ruff_check", r"^(?:python3?\s+-m\s+)?ruff\s+check", top(r":\d+:\d+: ([A-Z]+\d+)", 5)), Rule("mypy", r"^(?:python3?\s+-m\s+)?mypy(?:\s|$)", top(r"\[([\w-]+)\]\s*$", 5)),
+    Rule("ls", r"^ls(?:\s|$)", summary(summaries.listing)), Rule("pytest", r"^(?:python\s+-m\s+)?pytest(?:\s|$)", summary(summaries.failures), both=True),
+    Rule("ruff_check", r"^(?:python3?\s+-m\s+)?ruff\s+check", top(r":\d+:\d+: ([A-Z]+\d+)", 5)), Rule("mypy", r"^(?:python3?\s+-m\s+)?mypy(?:\s|$)", summary(summaries.diagnostics("mypy", summaries.MYPY, (1, 2, 4, 3), 5, "mypy: clean")), both=True),
     Rule("pip_list", r"^(?:python3?\s+-m\s+)?pip\s+list", head(30)), Rule("pip_outdated", r"^(?:python3?\s+-m\s+)?pip\s+.*outdated", head(20)),
     Rule("rake_test", r"^(?:bundle\s+exec\s+)?rake\s+test", kept(r"\d+ (?:runs|tests)", 1)), Rule("rspec", r"^(?:bundle\s+exec\s+)?rspec", kept(r"\d+ examples?|^rspec ", 10)),
     Rule("rubocop", r"^(?:bundle\s+exec\s+)?rubocop", top(r": [CWEF]: (?:\[Correctable\] )?([\w/]+):", 5)),
-    Rule("find", r"^find\s+", drop(r"/(?:node_modules|\.git|__pycache__|\.venv)(?:/|$)", 200)), Rule("tree", r"^tree(?:\s|$)", head(80)),
+    Rule("find", r"^find\s+", drop(r"/(?:node_modules|\.git|__pycache__|\.venv)(?:/|$)", 200)), Rule("tree", r"^tree(?:\s|$)", summary(summaries.above(100, 80, without="|".join(map(re.escape, summaries.NOISE_DIRS[:-1])), end=r"^\d+ director"))),
     Rule("env", r"^env(?:\s|$)", masked(40)), Rule("json_structure", r"^(?:jq|python3?\s+-m\s+json\.tool)\s+", kept(r"^\s{0,6}\"[^\"]+\":", 30)),
-    Rule("log_dedup", r"^(?:tail\s+-f|journalctl)\s+", unique(100)), Rule("wc", r"^wc(?:\s|$)", head(16)), Rule("diff", r"^diff\s+", head(80)),
+    Rule("log_dedup", r"^(?:tail\s+-f|journalctl)\s+", unique(100)), Rule("wc", r"^wc(?:\s|$)", summary(summaries.above(20, 15, last=True))), Rule("diff", r"^diff\s+", summary(summaries.above(100, 80))),
     Rule("bundle_install", r"^(?:bundle\s+install|gem\s+install)", drop(r"^Using ", 15)), Rule("terraform_plan", r"^terraform\s+plan(?:\s|$)", kept(r"^Plan:|^\s*# ", 21)),
     Rule("terraform_apply", r"^terraform\s+apply(?:\s|$)", kept(r"complete|Creating|Destroying|Modifying|Error", 20)),
-    Rule("terraform_state", r"^terraform\s+state\s+(?:list|show)(?:\s|$)", head(50)), Rule("terraform_show", r"^terraform\s+show(?:\s|$)", kept(r"^(?:resource|data|#) ", 50)),
+    Rule("terraform_state", r"^terraform\s+state\s+(?:list|show)(?:\s|$)", summary(summaries.above(52, 50))), Rule("terraform_show", r"^terraform\s+show(?:\s|$)", kept(r"^(?:resource|data|#) ", 50)),
 ]
 
 
@@ -171,12 +180,16 @@ def match_rule(command: Column) -> Column:
 
 
 def filter_outputs(runs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """`runs` (command, stdout) with `rule` and `filtered`; outputs without a rule, or not made shorter, stay."""
+    """`runs` (command, stdout) with `rule` and `filtered`; outputs without a rule, or not made shorter, stay.
+
+    A column `stderr`, where there is one, follows stdout in the rules that read both.
+    """
     rules = [r for r in RULES if names is None or r.name in names]
     ruled = runs.withColumn("rule", match_rule(F.col("command")))
     out = F.lit(None).cast("string")
     for rule in rules:
-        out = F.when(F.col("rule") == rule.name, rule.way(F.col("stdout"))).otherwise(out)
+        text = F.concat(F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit(""))) if rule.both and "stderr" in runs.columns else F.col("stdout")
+        out = F.when(F.col("rule") == rule.name, rule.way(text)).otherwise(out)
     return ruled.withColumn("filtered", out).withColumn(
         "filtered", F.when(F.length("filtered") < F.length("stdout"), F.col("filtered")).otherwise(F.col("stdout"))
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # The suffixes of Porter's second, third and fourth steps, and what takes their place.
 STEP_2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
@@ -24,18 +26,13 @@ HAS_VOWEL = f"^(?:{CONSONANTS})?[aeiouy]"
 SHORT_END = f"^{CONSONANTS}[aeiouy][^aeiouwxyY]$"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is computed once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _without(w: Column, n: int | Column) -> Column:
     return F.substring(w, F.lit(1), F.length(w) - n)
 
 
 def _longest(w: Column, suffixes: list[str], then: Callable[[Column, Column], Column]) -> Column:
     """`then` of the stem and the longest suffix that leaves a stem; the word itself if there is none."""
-    return _let(F.regexp_extract(w, f"^.*?({'|'.join(suffixes)})$", 1), lambda end: F.when(end == "", w).otherwise(_let(_without(w, F.length(end)), lambda stem: then(stem, end))))
+    return let(F.regexp_extract(w, f"^.*?({'|'.join(suffixes)})$", 1), lambda end: F.when(end == "", w).otherwise(let(_without(w, F.length(end)), lambda stem: then(stem, end))))
 
 
 def _replaced(w: Column, table: dict[str, str]) -> Column:
@@ -63,12 +60,12 @@ def porter(term: Column) -> Column:
         lambda w: _replaced(w, STEP_2),
         lambda w: _replaced(w, STEP_3),
         lambda w: _longest(w, STEP_4, lambda stem, end: F.when(stem.rlike(MORE_THAN_1) & ((end != "ion") | stem.rlike("[st]$")), stem).otherwise(w)),
-        lambda w: _let(_without(w, 1), lambda stem: F.when(w.endswith("e") & (stem.rlike(MORE_THAN_1) | stem.rlike(EXACTLY_1) & ~stem.rlike(SHORT_END)), stem).otherwise(w)),
+        lambda w: let(_without(w, 1), lambda stem: F.when(w.endswith("e") & (stem.rlike(MORE_THAN_1) | stem.rlike(EXACTLY_1) & ~stem.rlike(SHORT_END)), stem).otherwise(w)),
         lambda w: F.when(w.endswith("ll") & w.rlike(MORE_THAN_1), _without(w, 1)).otherwise(w),
         lambda w: F.when(w.startswith("Y"), F.concat(F.lit("y"), F.substring(w, 2, 1_000))).otherwise(w),
     ]
 
     def stemmed(w: Column, left: list) -> Column:
-        return _let(left[0](w), lambda x: stemmed(x, left[1:])) if left else w
+        return let(left[0](w), lambda x: stemmed(x, left[1:])) if left else w
 
     return F.when(term.rlike("^[a-z]{3,64}$"), stemmed(term, steps)).otherwise(term)
