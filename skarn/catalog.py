@@ -74,9 +74,9 @@ register(
     "SELECT DISTINCT target FROM edges LEFT JOIN nodes ON source = qualified_name WHERE edges.kind = 'CALLS' AND (nodes.kind IS NULL OR nodes.kind <> 'File')", *G,
 )
 register(
-    "resolve_bare_names", lambda s, d: g.resolve_by_name(a.table(s, d, "part").select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("name")), a.nodes(s, d)),
+    "resolve_bare_names", lambda s, d: g.resolve_by_name(a.nodes(s, d).select(F.col("qualified_name").alias("call_id"), "name"), a.nodes(s, d)),
     """, u AS (SELECT name, min(qualified_name) AS target FROM nodes GROUP BY name HAVING count(*) = 1)
-    SELECT p_partkey AS call_id, p_name AS name, target FROM part JOIN u ON p_name = name""", a.NODES,
+    SELECT qualified_name AS call_id, name, target FROM nodes JOIN u USING (name)""", a.NODES,
 )
 register(
     "range_overlap", lambda s, d: g.range_overlap(a.nodes(s, d), a.diff_ranges(s, d)),
@@ -111,9 +111,8 @@ register(
     SELECT node, count(*) AS degree FROM e2 GROUP BY node ORDER BY degree DESC, node LIMIT 10""", *G,
 )
 register(
-    "isolated_nodes", _graph(lambda n, e: g.isolated(n, e.where("kind = 'TESTED_BY'"))),
-    """, te AS (SELECT source AS node FROM edges WHERE kind = 'TESTED_BY' UNION ALL SELECT target FROM edges WHERE kind = 'TESTED_BY'), td AS (SELECT node, count(*) AS degree FROM te GROUP BY node)
-    SELECT qualified_name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN td ON node = qualified_name WHERE kind <> 'File' AND coalesce(degree, 0) <= 1""", *G,
+    "isolated_nodes", _graph(lambda n, e: g.isolated(n, e)),
+    """SELECT qualified_name, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degrees ON node = qualified_name WHERE kind <> 'File' AND coalesce(degree, 0) <= 1""", *G, ENDS,
 )
 register(
     "untested_hotspots", _graph(lambda n, e: g.untested_hotspots(n, e, 5, 20)),
@@ -121,8 +120,8 @@ register(
     AND node NOT IN (SELECT source FROM edges WHERE kind = 'TESTED_BY') ORDER BY degree DESC, node LIMIT 20""", *G, ENDS,
 )
 register(
-    "single_file_communities", lambda s, d: g.single_file_communities(a.nodes(s, d).where("kind = 'Class' or file_type = 'document' and community_id < 3")),
-    "SELECT community_id, count(*) AS n, count(DISTINCT file_path) AS files FROM nodes WHERE (kind = 'Class' OR file_type = 'document' AND community_id < 3) AND community_id IS NOT NULL GROUP BY community_id HAVING count(DISTINCT file_path) = 1 AND count(*) >= 3", a.NODES,
+    "single_file_communities", lambda s, d: g.single_file_communities(a.nodes(s, d)),
+    "SELECT community_id, count(*) AS n, count(DISTINCT file_path) AS files FROM nodes WHERE community_id IS NOT NULL GROUP BY community_id HAVING count(DISTINCT file_path) = 1 AND count(*) >= 3", a.NODES,
 )
 COMMUNITY_ENDS = """ce AS (SELECT e.kind, source, target, x.community_id AS a, y.community_id AS b FROM edges e
   LEFT JOIN nodes x ON source = x.qualified_name LEFT JOIN nodes y ON target = y.qualified_name)"""
@@ -148,8 +147,8 @@ register(
     SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, source, target, kind LIMIT 50""", *G, ENDS,
 )
 register(
-    "move_suggestions", _graph(lambda n, e: g.move_suggestions(n.withColumn("community_id", F.when(F.col("file_type") == "code", 0).otherwise(F.col("community_id") % 5)), e)),
-    """, c AS (SELECT qualified_name, CASE WHEN file_type = 'code' THEN 0 ELSE community_id % 5 END AS c FROM nodes WHERE file_type = 'code' OR community_id IS NOT NULL),
+    "move_suggestions", _graph(g.move_suggestions),
+    """, c AS (SELECT qualified_name, community_id AS c FROM nodes WHERE community_id IS NOT NULL),
     p AS (SELECT target, min(c) AS low, max(c) AS high FROM edges JOIN c ON source = qualified_name WHERE kind = 'CALLS' GROUP BY target HAVING min(c) = max(c))
     SELECT target, c AS from_community, low AS to_community FROM p JOIN c ON target = qualified_name WHERE low <> c""", *G,
 )

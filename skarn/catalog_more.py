@@ -156,10 +156,10 @@ register(
     "peeled_modules",
     lambda s, d: rs.peeled(
         a.table(s, d, "customer").select(_text("nation.", F.col("c_nationkey").cast("string"), ".customer.f", (F.col("c_custkey") % 5).cast("string")).alias("target")).distinct(),
-        a.nodes(s, d).where("kind = 'File' or (kind = 'Function' and file_type = 'code' and community_id % 2 = 0)").select(F.regexp_replace(F.regexp_replace("file_path", "[.]py$", ""), "/", ".").alias("module"), "file_path").distinct(),
+        a.nodes(s, d).where("kind = 'File' or (kind = 'Function' and file_type = 'code')").select(F.regexp_replace(F.regexp_replace("file_path", "[.]py$", ""), "/", ".").alias("module"), "file_path").distinct(),
     ),
     """, t AS (SELECT DISTINCT 'nation.' || c_nationkey || '.customer.f' || (c_custkey % 5) AS target FROM customer),
-    m AS (SELECT DISTINCT replace(regexp_replace(file_path, '[.]py$', ''), '/', '.') AS module, file_path FROM nodes WHERE kind = 'File' OR (kind = 'Function' AND file_type = 'code' AND community_id % 2 = 0)),
+    m AS (SELECT DISTINCT replace(regexp_replace(file_path, '[.]py$', ''), '/', '.') AS module, file_path FROM nodes WHERE kind = 'File' OR (kind = 'Function' AND file_type = 'code')),
     r AS (SELECT target, module, file_path, row_number() OVER (PARTITION BY target ORDER BY length(module) DESC) AS k FROM t JOIN m ON starts_with(target || '.', module || '.'))
     SELECT target, module, file_path, substr(target, length(module) + 2) AS rest FROM r WHERE k = 1""", a.NODES,
 )
@@ -176,8 +176,8 @@ register(
 register(
     "called_names", lambda s, d: rs.called_names(
         a.table(s, d, "part").select(F.col("p_partkey").alias("id"), _text(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), "(x) + print(y) + other (z)").alias("text")),
-        a.table(s, d, "part").where("p_size < 25").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"))),
-    "SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name FROM part WHERE replace(p_name, ' ', '_') IN (SELECT replace(p_name, ' ', '_') FROM part WHERE p_size < 25)",
+        a.table(s, d, "part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"))),
+    "SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name FROM part WHERE replace(p_name, ' ', '_') IN (SELECT replace(p_name, ' ', '_') FROM part)",
 )
 register("type_names", lambda s, d: rs.type_names(a.table(s, d, "documents")), "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9_]*')) AS name FROM documents")
 register("whole_edges", _graph(rs.whole_edges), "SELECT source, target, max(kind) AS kind FROM edges WHERE source IN (SELECT qualified_name FROM nodes) AND target IN (SELECT qualified_name FROM nodes) GROUP BY 1, 2", *G)
@@ -314,21 +314,21 @@ register(
 
 def _by_filter(s: SparkSession, d: str) -> DataFrame:
     t = te.savings(a.telemetry(s, d))
-    return t.groupBy(F.concat_ws("/", "tool_name", "intensity").alias("filter")).agg(F.count("*").alias("n"), F.round(F.min("savings_pct"), 4).alias("avg_pct"))
+    return t.groupBy(F.concat_ws("/", "tool_name", "intensity").alias("filter")).agg(F.count("*").alias("n"), F.round(F.avg("savings_pct"), 4).alias("avg_pct"))
 
 
 FILTERS = ["click/lite", "git", "grep", "ls", "pytest"]
 
 
 def _waste(s: SparkSession, d: str) -> DataFrame:
-    totals = _totals(s, d).withColumn("error_rate", F.col("n_errors") / F.greatest("n_events", F.lit(1)) * 4)
-    return rp.waste(totals.withColumns({"importance": F.col("importance") / 3, "n_compressed": F.floor(F.col("n_compressed") / 9)}), _by_filter(s, d), s.createDataFrame([(f,) for f in FILTERS], "filter string"))
+    totals = _totals(s, d).withColumn("error_rate", F.col("n_errors") / F.greatest("n_events", F.lit(1)))
+    return rp.waste(totals, _by_filter(s, d), s.createDataFrame([(f,) for f in FILTERS], "filter string"))
 
 
 register(
     "waste_findings", _waste,
-    f""", w AS (SELECT * REPLACE (importance / 3 AS importance, n_compressed // 9 AS n_compressed), n_errors / greatest(n_events, 1) * 4 AS error_rate FROM totals),
-    f AS (SELECT tool_name || '/' || intensity AS filter, count(*) AS n, round(min(savings_pct), 4) AS avg_pct FROM saved GROUP BY 1),
+    f""", w AS (SELECT *, n_errors / greatest(n_events, 1) AS error_rate FROM totals),
+    f AS (SELECT tool_name || '/' || intensity AS filter, count(*) AS n, round(avg(savings_pct), 4) AS avg_pct FROM saved GROUP BY 1),
     i AS (SELECT count(*) AS n FROM (VALUES {', '.join(f"('{x}')" for x in FILTERS)}) v(filter) WHERE filter NOT IN (SELECT filter FROM f))
     SELECT 'empty_filter' AS finding, 'low' AS severity, filter AS subject, 0::BIGINT AS tokens FROM f WHERE n >= 5 AND avg_pct < 5
     UNION ALL SELECT 'session_bloat', 'medium', '', n_long_sessions * 50000 FROM w WHERE n_long_sessions >= 2
@@ -343,7 +343,7 @@ register(
 def _health(s: SparkSession, d: str) -> DataFrame:
     flags = {
         "filters_active": F.col("n_commands") > 0, "memory_used": F.col("n_memory") > 0, "compression_on": F.col("n_compressed") > 0, "sessions_on": F.col("n_events") > 100,
-        "n_filter_events": F.col("n_commands"), "avg_pct": F.col("graph_pct") / 9, "saved": F.col("n_calls"), "graph_empty": F.col("n_nodes") == 0,
+        "n_filter_events": F.col("n_commands"), "avg_pct": F.col("graph_pct"), "saved": F.col("n_calls"), "graph_empty": F.col("n_nodes") == 0,
     }
     return rp.health(_totals(s, d).withColumns(flags))
 
@@ -351,9 +351,9 @@ def _health(s: SparkSession, d: str) -> DataFrame:
 register(
     "health_report", _health,
     f""", r AS (SELECT CASE WHEN n_commands > 0 THEN 5 ELSE 0 END + CASE WHEN n_memory > 0 THEN 5 ELSE 0 END + CASE WHEN n_compressed > 0 THEN 5 ELSE 0 END + CASE WHEN n_events > 100 THEN 5 ELSE 0 END
-        - CASE WHEN graph_pct / 9 < 20 AND n_calls > 0 THEN 5 ELSE 0 END - CASE WHEN archive_rate > 0.8 AND n_memory > 10 THEN 5 ELSE 0 END - CASE WHEN n_media = 0 THEN 3 ELSE 0 END + 70 AS h,
+        - CASE WHEN graph_pct < 20 AND n_calls > 0 THEN 5 ELSE 0 END - CASE WHEN archive_rate > 0.8 AND n_memory > 10 THEN 5 ELSE 0 END - CASE WHEN n_media = 0 THEN 3 ELSE 0 END + 70 AS h,
       concat_ws(',', CASE WHEN n_commands > 0 THEN 'filters_active' END, CASE WHEN n_memory > 0 THEN 'memory_used' END, CASE WHEN n_compressed > 0 THEN 'compression_on' END, CASE WHEN n_events > 100 THEN 'sessions_on' END,
-        CASE WHEN graph_pct / 9 < 20 AND n_calls > 0 THEN 'low_savings' END, CASE WHEN archive_rate > 0.8 AND n_memory > 10 THEN 'memory_archived' END, CASE WHEN n_media = 0 THEN 'no_media' END) AS rules FROM totals)
+        CASE WHEN graph_pct < 20 AND n_calls > 0 THEN 'low_savings' END, CASE WHEN archive_rate > 0.8 AND n_memory > 10 THEN 'memory_archived' END, CASE WHEN n_media = 0 THEN 'no_media' END) AS rules FROM totals)
     SELECT least(100, greatest(0, h))::INT AS health, {GRADE.format('least(100, greatest(0, h))')} AS grade, rules FROM r""", *T,
 )
 
