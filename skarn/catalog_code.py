@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import G, register
+from .functions.json_text import skeleton
 from .operators import depth as de
+from .operators.json_tree import compress_json
 from .operators.traverse import settled
 from .plans import adapters as a
 from .sources import imports as im
@@ -96,3 +98,33 @@ register(
     + """, costs AS (SELECT place, node, depth, sum(length(node) // 4 + 10) OVER (ORDER BY place)::BIGINT AS spent FROM placed)
     SELECT place, node, depth, spent FROM costs WHERE spent <= 2000""", *G,
 )
+
+# --- JSON of any shape
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    text = _text('{"z": {"b": {"k": ', k, ', "deep": {"x": [{"y": 1}]}}, "list": [[1.5, 2], ', k, ']}, "type": "', F.col("event_type"), '", "none": null, "on": true, "e": {}, "l": []}')
+    return a.table(spark, sf_dir, "events").select("event_id", text.alias("json"))
+
+
+register(
+    "json_skeletons", lambda s, d: _settings(s, d).select("event_id", skeleton(F.col("json")).alias("shape")),
+    """SELECT event_id, '{"z": {"b": {"k": "int", "deep": {"x": "..."}}, "list": [["...", "... (2 items)"], "... (2 items)"]}, "type": "str(' || length(event_type)
+    || ')", "none": "null", "on": "bool", "e": {}, "l": []}' AS shape FROM events""",
+)
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a tool's response: texts under keys of both sorts, in lists, and in objects in lists."""
+    part = lambda i: F.substring("text", i, 200)
+    inner = F.struct(part(200).alias("title"), F.col("source").alias("source"), F.array(part(400), F.lit("short")).alias("parts"))
+    whole = F.struct(F.col("doc_id").alias("id"), F.col("text").alias("summary"), F.col("text").alias("other"), F.array(inner, inner).alias("results"), F.struct(part(1).alias("text")).alias("nodes"))
+    return a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.to_json(whole).alias("json"))
+
+
+def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_json(_responses(spark, sf_dir), "ultra")
+
+
+register("compressed_responses", _compressed)

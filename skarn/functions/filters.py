@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import summaries
 from .arrays import counted
+from .json_text import skeleton
 from .text import head_tail, mask_log, mask_secret
 
 
@@ -158,7 +159,7 @@ RULES = [
     Rule("rake_test", r"^(?:bundle\s+exec\s+)?rake\s+test", kept(r"\d+ (?:runs|tests)", 1)), Rule("rspec", r"^(?:bundle\s+exec\s+)?rspec", kept(r"\d+ examples?|^rspec ", 10)),
     Rule("rubocop", r"^(?:bundle\s+exec\s+)?rubocop", top(r": [CWEF]: (?:\[Correctable\] )?([\w/]+):", 5)),
     Rule("find", r"^find\s+", drop(r"/(?:node_modules|\.git|__pycache__|\.venv)(?:/|$)", 200)), Rule("tree", r"^tree(?:\s|$)", summary(summaries.above(100, 80, without="|".join(map(re.escape, summaries.NOISE_DIRS[:-1])), end=r"^\d+ director"))),
-    Rule("env", r"^env(?:\s|$)", masked(40)), Rule("json_structure", r"^(?:jq|python3?\s+-m\s+json\.tool)\s+", kept(r"^\s{0,6}\"[^\"]+\":", 30)),
+    Rule("env", r"^env(?:\s|$)", masked(40)), Rule("json_structure", r"^(?:jq|python3?\s+-m\s+json\.tool)\s+", summary(lambda text: F.coalesce(skeleton(text), text))),
     Rule("log_dedup", r"^(?:tail\s+-f|journalctl)\s+", unique(100)), Rule("wc", r"^wc(?:\s|$)", summary(summaries.above(20, 15, last=True))), Rule("diff", r"^diff\s+", summary(summaries.above(100, 80))),
     Rule("bundle_install", r"^(?:bundle\s+install|gem\s+install)", drop(r"^Using ", 15)), Rule("terraform_plan", r"^terraform\s+plan(?:\s|$)", kept(r"^Plan:|^\s*# ", 21)),
     Rule("terraform_apply", r"^terraform\s+apply(?:\s|$)", kept(r"complete|Creating|Destroying|Modifying|Error", 20)),

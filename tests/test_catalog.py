@@ -13,8 +13,8 @@ from skarn import catalog
 from .conftest import SMALL
 
 
-#: Queries without SQL: tests of their own hold them to brute force (test_texts, test_leiden, test_summaries).
-BRUTE = ["community_names", "compressed_texts", "leiden_assigned", "leiden_communities", "markdown_chunks", "memory_filled", "outputs_summary", "paragraph_chunks", "plain_chunks"]
+#: Queries without SQL: tests of their own hold them to brute force (test_texts, test_leiden, test_summaries, test_json_tree).
+BRUTE = ["community_names", "compressed_responses", "compressed_texts", "leiden_assigned", "leiden_communities", "markdown_chunks", "memory_filled", "outputs_summary", "paragraph_chunks", "plain_chunks"]
 
 
 @pytest.fixture(scope="module")
