@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import G, register
 from .functions.json_text import skeleton
 from .operators import depth as de
+from .operators import receivers as re
 from .operators.json_tree import compress_json
 from .operators.traverse import settled
 from .plans import adapters as a
@@ -128,3 +129,42 @@ def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("compressed_responses", _compressed)
+
+# --- calls through variables: suppliers as classes with one method and a base each, orders as functions that use two of them
+
+
+def _receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    n = s.agg(F.count("*").alias("n"))
+    o = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).crossJoin(F.broadcast(n))  # one row
+    named = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    file, first = _text("app/", (F.col("o") % 200).cast("string"), ".py"), (F.floor(F.col("o") / 200) * 10 + 1).cast("int")
+    said = F.array(
+        _text("def f", F.col("o").cast("string"), "(x: ", named("S", F.col("c") % F.col("n")), "):"), _text("    y = ", named("S", F.col("o") % F.col("n")), "()"),
+        _text("    y.m", (F.col("o") % 7).cast("string"), "()"), _text("    x.m", (F.col("o") % 5).cast("string"), "(y.other())"), F.lit("    z.m1()"),
+    )
+    lines = o.select(file.alias("file_path"), first.alias("first"), F.posexplode(said).alias("i", "text")).select("file_path", (F.col("first") + F.col("i")).alias("line"), "text")
+    scopes = o.select(_text(file, "::f", F.col("o").cast("string")).alias("qualified_name"), file.alias("file_path"), F.lit("Function").alias("kind"), first.alias("line_start"), (first + 4).alias("line_end"), file.alias("parent"))
+    whole = o.select(file.alias("qualified_name"), file.alias("file_path"), F.lit("File").alias("kind"), F.lit(0).alias("line_start"), F.lit(1_000_000_000).alias("line_end"), F.lit(None).cast("string").alias("parent")).distinct()
+    cls = named("lib/s.py::S", F.col("k"))
+    method = named("m", F.col("k") % 7)
+    seen = o.select(file.alias("file_path"), F.explode(F.array(F.col("o") % F.col("n"), F.col("c") % F.col("n"))).alias("k")).distinct().join(s, "k")
+    types = seen.select("file_path", named("S", F.col("k")).alias("name"), cls.alias("class"))
+    bases = s.where("k > 1").select(cls.alias("class"), named("lib/s.py::S", F.floor(F.col("k") / 2)).alias("base"))
+    methods = s.select(cls.alias("class"), method.alias("method"), _text(cls, ".", method).alias("target"))
+    known = o.where("o % 3 = 0").select(_text(file, "::f", F.col("o").cast("string")).alias("source"), (first + 2).alias("line"))
+    return re.resolve_receivers(lines, scopes.unionByName(whole), types, bases, methods, known).select("file_path", "line", "receiver", "method", "source", "target", "outcome")
+
+
+register(
+    "receiver_calls", _receivers,
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+    up AS (SELECT s_suppkey AS k, s_suppkey AS a, 0 AS d FROM supplier UNION ALL SELECT k, a // 2, d + 1 FROM up WHERE a > 1),
+    m AS (SELECT k, a % 7 AS m, arg_min(a, d) AS a FROM up JOIN supplier ON s_suppkey = a GROUP BY 1, 2),
+    o AS (SELECT o_orderkey AS o, 'app/' || (o_orderkey % 200) || '.py' AS f, (o_orderkey // 200 * 10 + 1)::INT AS first, o_custkey % n AS x, o_orderkey % n AS y FROM orders, n),
+    c AS (SELECT o, f, first + 2 AS line, 'y' AS receiver, o % 7 AS m, y AS k FROM o UNION ALL SELECT o, f, first + 3, 'x', o % 5, x FROM o UNION ALL SELECT o, f, first + 3, 'y', NULL, y FROM o UNION ALL SELECT o, f, first + 4, 'z', 1, NULL FROM o)
+    SELECT f AS file_path, line, receiver, CASE WHEN c.m IS NULL THEN 'other' ELSE 'm' || c.m END AS method, f || '::f' || o AS source,
+      CASE WHEN s_suppkey IS NOT NULL THEN 'lib/s.py::S' || a || '.m' || c.m END AS target,
+      CASE WHEN c.m IS NULL THEN 'method' WHEN receiver = 'z' THEN 'receiver' WHEN s_suppkey IS NULL THEN 'type' WHEN a IS NULL THEN 'member' WHEN o % 3 = 0 AND line % 10 = 3 THEN 'known' ELSE 'new' END AS outcome
+    FROM c LEFT JOIN m ON m.k = c.k AND m.m = c.m LEFT JOIN supplier ON s_suppkey = c.k""",
+)

@@ -129,11 +129,12 @@ def entry_points(nodes: DataFrame, edges: DataFrame, tests: bool = False) -> Dat
 
 
 def flows(nodes: DataFrame, edges: DataFrame, depth: int = 15) -> DataFrame:
-    """(entry, node, depth): what each uncalled function reaches over calls, entries of two nodes or more."""
+    """(entry, node, depth): what each entry point reaches over calls, entries of two nodes or more.
+
+    Entry points are those of `entry_points`, called by others or not.
+    """
     calls = edges.where(F.col("kind") == "CALLS")
-    callable_ = nodes.where((F.col("kind") == "Function") & ~F.col("is_test")).select(F.col("qualified_name").alias("node"))
-    entries = callable_.join(calls.select(F.col("target").alias("node")), "node", "left_anti")
-    return traced(entries.select(F.col("node").alias("entry")), calls, depth)
+    return traced(entry_points(nodes, edges).select(F.col("qualified_name").alias("entry")).distinct(), calls, depth)
 
 
 def traced(entries: DataFrame, calls: DataFrame, depth: int = 15) -> DataFrame:
