@@ -504,8 +504,8 @@ def test_nearest_among_near_copies(noise):
         assert list(rows) == list(topk.best_rows(exact, 20)) and np.array_equal(scores, exact[rows])
 
 
-def test_queries_have_all_ten():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+def test_queries_have_all_operators():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert base64.b64encode(b"x") == b"eA=="
 
 
