@@ -136,7 +136,7 @@ register("compressed_responses", _compressed)
 def _receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     n = s.agg(F.count("*").alias("n"))
-    o = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).crossJoin(F.broadcast(n))  # one row
+    o = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(F.broadcast(n))  # one row
     named = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
     file, first = _text("app/", (F.col("o") % 200).cast("string"), ".py"), (F.floor(F.col("o") / 200) * 10 + 1).cast("int")
     said = F.array(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .sums import sums_before
 from .traverse import settled
 
 
@@ -29,20 +30,6 @@ def shortest_tree(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def _before(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """`rows` with `before`: the sum of `size` over the siblings (of one parent, null for roots) of lesser name."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parent = F.coalesce(F.col("parent"), F.lit(""))
-    ordered = rows.withColumns({"family": F.struct(F.col("parent").isNotNull().alias("has"), parent.alias("name"))})
-    # A table's files don't keep partitions apart, so each row carries its own.
-    ordered = scratch.keep(ordered.repartitionByRange(parts, "family", "node").withColumn("part", F.spark_partition_id()))
-    local = F.coalesce(F.sum("size").over(Window.partitionBy("part", "family").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = ordered.groupBy("part", "family").agg(F.sum("size").alias("sum"))
-    carried = F.coalesce(F.sum("sum").over(Window.partitionBy("family").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carry = sums.select("part", "family", carried.alias("carried"))
-    return ordered.withColumn("local", local).join(carry, ["part", "family"]).withColumn("before", F.col("local") + F.col("carried")).drop("family", "part", "local", "carried")
-
-
 def preorder(forest: DataFrame) -> DataFrame:
     """(node, parent, depth, size, place): places from 0 in depth-first order, roots and siblings by name.
 
@@ -64,7 +51,8 @@ def preorder(forest: DataFrame) -> DataFrame:
             below = own.join(sums, "node", "left").select("node", "parent", "depth", (F.coalesce("sum", F.lit(0)) + 1).alias("size"))
         below = scratch.keep(below)
         sized = below if sized is None else sized.unionByName(below)
-    ranked = scratch.keep(_before(sized, scratch))
+    family = F.struct(F.col("parent").isNotNull().alias("has"), F.coalesce("parent", F.lit("")).alias("name"))
+    ranked = scratch.keep(sums_before(sized, family, ["node"], "size", "before", scratch.keep))
     above = scratch.keep(ranked.where("depth = 0").select("node", "parent", "depth", "size", F.col("before").alias("place")))
     out = above
     for level in range(1, deepest + 1):

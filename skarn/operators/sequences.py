@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sums import sums_before
+from .traverse import settled
+
 
 def output_cap(rows: DataFrame, group: str, order: str, cap: int, partial: int = 100) -> DataFrame:
-    """Each group's texts in order up to `cap` bytes; the one that crosses it is cut if over `partial` bytes are left."""
-    size = F.octet_length("text")
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    left = F.lit(cap) - F.coalesce(before, F.lit(0))
-    ranked = rows.withColumns({"left": left, "size": size})
+    """Each group's texts in order up to `cap` bytes; the one that crosses it is cut if over `partial` bytes are left.
+
+    A null text has no size and is left out, as are texts after the cap.  `order` tells a group's rows apart.
+    """
+    sized = rows.select(group, order, F.octet_length("text").cast("long").alias("size")).where("size is not null")
+    ranked = sums_before(sized, F.col(group), [order], "size", "before", settled).withColumn("left", F.lit(cap) - F.col("before"))
     fits, cut = F.col("size") <= F.col("left"), F.col("left") > partial
     return ranked.where(fits | cut).select(group, order, F.when(fits, F.col("size")).otherwise(F.col("left")).cast("long").alias("kept_bytes"), (~fits).alias("cut"))
 
