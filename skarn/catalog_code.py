@@ -13,6 +13,7 @@ from .operators.json_tree import compress_json
 from .operators.traverse import settled
 from .plans import adapters as a
 from .sources import imports as im
+from .sources import scanner as sc
 
 # --- imports and re-exports: parts as scripts, their folders' indexes as barrels, order lines as importers
 
@@ -168,3 +169,18 @@ register(
       CASE WHEN c.m IS NULL THEN 'method' WHEN receiver = 'z' THEN 'receiver' WHEN s_suppkey IS NULL THEN 'type' WHEN a IS NULL THEN 'member' WHEN o % 3 = 0 AND line % 10 = 3 THEN 'known' ELSE 'new' END AS outcome
     FROM c LEFT JOIN m ON m.k = c.k AND m.m = c.m LEFT JOIN supplier ON s_suppkey = c.k""",
 )
+
+# --- modules of brace languages: a file for each customer, whose comments and texts hold braces too
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = a.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("n"), "c_name")
+    text = _text("module N", F.col("n"), " = {\n  // } {\n  module C", F.col("k"), ' = {\n    let s = "}{', F.col("c_name"), '"\n  /* } /* } */ { */ }\n}\nmodule Al = Foo.Bar\nlet x = {1}\n')
+    return sc.modules(c.select(_text(F.col("k"), ".res").alias("file_path"), text.alias("text")))
+
+
+register(
+    "brace_modules", _modules,
+    """SELECT c_custkey || '.res' AS file_path, 'N' || c_nationkey AS name, 1 AS line_start, 6 AS line_end, NULL AS parent FROM customer
+    UNION ALL SELECT c_custkey || '.res', 'C' || c_custkey, 3, 5, 'N' || c_nationkey FROM customer""",
+)
