@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Slots, char_blocks, durable, mix64, small_batches, spare
+from ._common import Slots, char_blocks, durable, mix64, small_batches, spare, written
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -344,7 +344,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_key(F.col("text").cast("string")).alias("key")
     )
-    sketched = durable(named.mapInPandas(_sketch, "doc_id long, key binary, bands array<long>, bits binary"))
+    sketched = written(named.mapInPandas(_sketch, "doc_id long, key binary, bands array<long>, bits binary"))
     last_id = F.lit(2**63 - 1)
     first = F.min(F.struct(F.coalesce("doc_id", last_id).alias("rep"), "bands", "bits"))
     nodes = durable(
@@ -354,7 +354,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     company = rows.groupBy(*_alone("h")).agg(F.count("*").alias("n")).where("n > 1").drop("_dealt")
     members = durable(rows.join(company, "h").select("h", "nid", "n"))
     chosen = nodes.join(members.select("nid").distinct(), "nid").select("nid", "key", "rep")
-    texts = durable(
+    texts = written(
         named.withColumn("rep", F.coalesce("doc_id", last_id))
         .join(chosen, ["rep", "key"])
         .select("nid", "text")
@@ -367,7 +367,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     groups = groups.repartition("p", "part").sortWithinPartitions("p", "part", F.col("u").asc_nulls_first())
     labels = _roots(groups.mapInPandas(_to_pivot, "u long, p long"))
     crowd = _open_groups(members, labels, nodes).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "nid")
-    crowd = durable(crowd.mapInPandas(_hopeful, GROUP))
+    crowd = written(crowd.mapInPandas(_hopeful, GROUP))
     links = durable(crowd.join(texts, "nid").groupBy("h", "i", "j").applyInPandas(_settle, "u long, v long"))
     labelled = nodes.select("key", "rep", "nid").join(labels, "nid", "left").select("key", "rep", F.coalesce("label", "nid").alias("label"))
     if not links.isEmpty():
