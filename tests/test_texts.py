@@ -179,6 +179,32 @@ def test_bare_calls_by_imports(spark):
     assert {(r.call_id, r.target) for r in resolve.resolve_bare_calls(calls, nodes, imports).collect()} == {(1, "a.py::f"), (3, "c.py::g")}
 
 
+def test_bare_calls_meet_files_and_not_each_node_of_their_name(spark):
+    nodes = spark.range(3_000).selectExpr("'Function' as kind", "'f' as name", "concat('a.py::', id) as qualified_name", "'a.py' as file_path").unionByName(
+        spark.createDataFrame([("Function", "f", "b.py::f", "b.py")], "kind string, name string, qualified_name string, file_path string")
+    )
+    calls = spark.range(3_000).selectExpr("id as call_id", "if(id = 7, 'n.py', 'm.py') as file_path", "'f' as name")
+    imports = spark.createDataFrame([("m.py", "a.py"), ("n.py", "b.py")], "file_path string, imported string")
+    made = resolve.resolve_bare_calls(calls, nodes, imports)
+    assert [tuple(r) for r in made.collect()] == [(7, "f", "b.py::f")]
+    plan = made._jdf.queryExecution().executedPlan()
+    assert max(_rows_out(plan)) < 10_000  # 9,000,000 pairs before
+
+
+def _rows_out(plan):
+    """Rows out of each join of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        yield from _rows_out(plan.executedPlan())
+        return
+    if plan.nodeName().endswith("QueryStage"):
+        yield from _rows_out(plan.plan())
+        return
+    if "Join" in plan.nodeName():
+        yield plan.metrics().apply("numOutputRows").value()
+    for i in range(plan.children().size()):
+        yield from _rows_out(plan.children().apply(i))
+
+
 def test_shell_events(spark):
     rows = [(1, "git commit -m x", "[main abc1234f] fix the bug\n 1 file", "", 0), (2, "cat 'a b.txt'", "", "", 0), (3, "make", "", "boom", 2), (4, "git status", " M a\nA  b\n?? c\n?? d", "", 0)]
     got = sessions.shell_events(spark.createDataFrame(rows, "call_id int, command string, stdout string, stderr string, exit_code int")).collect()
