@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from skarn.functions import filters
 from skarn.operators import traverse
 from skarn.plans import adapters
 
@@ -39,3 +40,9 @@ def test_betweenness_deals_out_numbers(spark, monkeypatch):
     assert got == {"b": 3.0, "c": 0.5, "d": 0.5}
     levels = [df for df in dealt if "pivot" in df.columns]
     assert levels and all(t in ("bigint", "double", "int") for df in levels for _, t in df.dtypes)
+
+
+def test_a_count_rule_splits_its_output_once(spark):
+    made = str(filters.count(5, **filters.TESTS)(F.col("stdout")))
+    assert made.count("split(") == 1
+    assert str(filters.match_rule(F.col("command"))).count("regexp_replace(") == 1
