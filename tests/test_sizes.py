@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from skarn.functions import filters
-from skarn.operators import traverse
+from skarn.operators import community, traverse
 from skarn.plans import adapters
 
 from .conftest import SMALL
@@ -46,3 +46,14 @@ def test_a_count_rule_splits_its_output_once(spark):
     made = str(filters.count(5, **filters.TESTS)(F.col("stdout")))
     assert made.count("split(") == 1
     assert str(filters.match_rule(F.col("command"))).count("regexp_replace(") == 1
+
+
+def test_label_rounds_deal_out_numbers(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(community, "settled", lambda df: kept.append(df) or settled(df))
+    nodes = spark.createDataFrame([(n,) for n in ("a", "b", "c", "d", "lone", None)], "qualified_name string")
+    edges = spark.createDataFrame([("CALLS", "b", "a"), ("CALLS", "c", "d"), ("CALLS", "d", "c"), ("CALLS", "d", "outside"), ("CALLS", "a", "a"), ("CALLS", "a", None)], "kind string, source string, target string")
+    got = {(r.node, r.community) for r in community.propagate(nodes, edges, 1).collect()}
+    assert got == {("c", "d"), ("outside", "d")}  # communities of one are left out
+    assert [df.dtypes for df in kept if "label" in df.columns] == [[("node", "bigint"), ("label", "bigint")]] * 2
