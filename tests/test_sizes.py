@@ -57,3 +57,17 @@ def test_label_rounds_deal_out_numbers(spark, monkeypatch):
     got = {(r.node, r.community) for r in community.propagate(nodes, edges, 1).collect()}
     assert got == {("c", "d"), ("outside", "d")}  # communities of one are left out
     assert [df.dtypes for df in kept if "label" in df.columns] == [[("node", "bigint"), ("label", "bigint")]] * 2
+
+
+def test_large_tables_are_dealt_to_tasks_by_their_size(spark, monkeypatch):
+    want = sorted(map(tuple, adapters.derived_edges(spark, SMALL).collect()))
+    monkeypatch.setattr(adapters, "tasks_for", lambda *_: 9)
+    many = adapters.derived_edges(spark, SMALL)
+    assert sorted(map(tuple, many.collect())) == want
+    assert many._jdf.queryExecution().executedPlan().toString().count(", 9), REPARTITION_BY_NUM") >= 1
+
+
+def test_a_task_for_each_few_megabytes(spark, tmp_path):
+    spark.range(2_000_000).selectExpr("xxhash64(id) as x").write.parquet(str(tmp_path / "t.parquet"))
+    assert adapters.tasks_for(spark, SMALL, ["nation"]) == 1
+    assert adapters.tasks_for(spark, str(tmp_path), ["t"]) == 4
