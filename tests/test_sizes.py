@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from skarn.functions import filters
+from skarn.functions import filters, scalars
 from skarn.operators import community, traverse
 from skarn.plans import adapters
 
@@ -71,3 +71,10 @@ def test_a_task_for_each_few_megabytes(spark, tmp_path):
     spark.range(2_000_000).selectExpr("xxhash64(id) as x").write.parquet(str(tmp_path / "t.parquet"))
     assert adapters.tasks_for(spark, SMALL, ["nation"]) == 1
     assert adapters.tasks_for(spark, str(tmp_path), ["t"]) == 4
+
+
+def test_a_body_is_split_and_its_indent_found_once(spark):
+    assert str(scalars.body_hash(F.col("text"))).count("split(") == 1
+    rows = spark.createDataFrame([("    a\n      b\n\n    c\n",), ("a\n  b\n\nc",), ("\ta\n\n\tb",), ("a\n\nb",)], "text string")
+    got = [r.h for r in rows.select(scalars.body_hash(F.col("text")).alias("h")).collect()]
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
