@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from skarn.functions import filters, scalars
+from skarn import catalog_code
+from skarn.functions import filters, scalars, text
 from skarn.operators import community, traverse
 from skarn.plans import adapters
 
@@ -78,3 +79,19 @@ def test_a_body_is_split_and_its_indent_found_once(spark):
     rows = spark.createDataFrame([("    a\n      b\n\n    c\n",), ("a\n  b\n\nc",), ("\ta\n\n\tb",), ("a\n\nb",)], "text string")
     got = [r.h for r in rows.select(scalars.body_hash(F.col("text")).alias("h")).collect()]
     assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
+
+
+def test_a_text_is_read_once_to_be_compressed_and_documents_are_dealt_out(spark, monkeypatch):
+    assert str(text.compress(F.col("said"), "ultra")).count("said") == 1
+    monkeypatch.setattr(adapters, "tasks_for", lambda *_: 9)
+    assert ", 9), REPARTITION_BY_NUM" in catalog_code._responses(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_run_where_a_word_of_theirs_is(spark):
+    said = ["is able in order to go", "IN ORDER TO go", "However\tso that the database, is", "a  word, in order to", "", None]
+    for level in ("lite", "full", "ultra"):
+        plain = F.col("t")
+        for step in text.replacements(level):
+            plain = text.without_words(plain, step) if isinstance(step, list) else F.regexp_replace(plain, *step)
+        rows = spark.createDataFrame([(t,) for t in said], "t string").coalesce(1).select(plain.alias("plain"), text.replaced(F.col("t"), level).alias("got")).collect()
+        assert [r.got for r in rows] == [r.plain for r in rows]
