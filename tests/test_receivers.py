@@ -65,3 +65,18 @@ def test_flows_start_at_every_entry_point(spark):
     edges = spark.createDataFrame([("CALLS", "u", "r"), ("CALLS", "r", "h"), ("CALLS", "h", "m"), ("CALLS", "m", "r")], "kind string, source string, target string")
     entries = {r.entry for r in traverse.flows(nodes, edges).collect()}
     assert entries == {"r", "m", "u"}
+
+
+def test_methods_are_settled_once_a_class(spark, monkeypatch):
+    kept = []
+    keep = receivers.Scratch.keep
+    monkeypatch.setattr(receivers.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    lines = spark.createDataFrame([("a.py", 2, "x = A()"), ("a.py", 3, "x.m(); x.n()"), ("a.py", 4, "x.own()"), ("a.py", 5, "y = Alone()"), ("a.py", 6, "y.m()")], "file_path string, line int, text string")
+    scopes = spark.createDataFrame([("a.py", "a.py", "File", 0, 99, None)], "qualified_name string, file_path string, kind string, line_start int, line_end int, parent string")
+    types = spark.createDataFrame([("a.py", "A", "A"), ("a.py", "Alone", "Alone")], "file_path string, name string, class string")
+    bases = spark.createDataFrame([("A", "B"), ("B", "C")], "class string, base string")
+    methods = spark.createDataFrame([("B", "m", "B.m"), ("C", "m", "C.m"), ("C", "n", "C.n"), ("A", "own", "A.own"), ("Alone", "m", "Alone.m")], "class string, method string, target string")
+    known = spark.createDataFrame([], "source string, line int")
+    out = receivers.resolve_receivers(lines, scopes, types, bases, methods, known).collect()
+    assert {(r.line, r.method, r.target, r.outcome) for r in out} == {(3, "m", "B.m", "new"), (3, "n", "C.n", "new"), (4, "own", "A.own", "new"), (6, "m", "Alone.m", "new")}
+    assert [df for df in kept if df.columns == ["class", "method", "target"]]
