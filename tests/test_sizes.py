@@ -95,3 +95,16 @@ def test_steps_run_where_a_word_of_theirs_is(spark):
             plain = text.without_words(plain, step) if isinstance(step, list) else F.regexp_replace(plain, *step)
         rows = spark.createDataFrame([(t,) for t in said], "t string").coalesce(1).select(plain.alias("plain"), text.replaced(F.col("t"), level).alias("got")).collect()
         assert [r.got for r in rows] == [r.plain for r in rows]
+
+
+def test_flows_keep_only_the_calls_that_lead_on(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    entries = spark.createDataFrame([("a",), ("b",), ("self",), ("lone",)], "entry string")
+    calls = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("y", "z"), ("z", "y"), ("z", "a"), ("self", "self"), ("far", "x"), ("a", None)], "source string, target string")
+    got = {tuple(r) for r in traverse.traced(entries, calls).collect()}
+    assert got == {("a", "a", 0), ("a", "x", 1), ("a", "y", 1), ("a", None, 1), ("a", "z", 2), ("b", "b", 0), ("b", "y", 1), ("b", "z", 2), ("b", "a", 3), ("b", "x", 4), ("b", None, 4)}
+    steps = [df for df in kept if df.columns == ["node", "next"]]
+    assert sorted(r.node for df in steps for r in df.collect()) == ["a", "a", "a", "y", "z", "z"]  # not those of b, self and far
+    assert traverse.traced(entries, calls, 0).isEmpty()
