@@ -108,3 +108,15 @@ def test_flows_keep_only_the_calls_that_lead_on(spark, monkeypatch):
     steps = [df for df in kept if df.columns == ["node", "next"]]
     assert sorted(r.node for df in steps for r in df.collect()) == ["a", "a", "a", "y", "z", "z"]  # not those of b, self and far
     assert traverse.traced(entries, calls, 0).isEmpty()
+
+
+def test_walks_keep_no_table_of_all_steps(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "c"), ("far", "out"), ("c", None)], "source string, target string")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    reached = lambda **how: {tuple(r) for r in traverse.reach(edges, seeds, 3, **how).collect() if r.node}
+    assert reached() == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert reached(directed=True) == {("a", 0), ("b", 1), ("c", 2)}
+    assert kept and not [df for df in kept if "next" in df.columns]
