@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn import catalog_code
 from skarn.functions import filters, scalars, text
-from skarn.operators import community, traverse
+from skarn.operators import community, depth, traverse
 from skarn.plans import adapters
 
 from .conftest import SMALL
@@ -120,3 +120,12 @@ def test_walks_keep_no_table_of_all_steps(spark, monkeypatch):
     assert reached() == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert reached(directed=True) == {("a", 0), ("b", 1), ("c", 2)}
     assert kept and not [df for df in kept if "next" in df.columns]
+
+
+def test_trees_keep_no_table_of_all_steps(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(depth, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "c"), ("far", "out"), ("c", None)], "source string, target string")
+    assert {tuple(r) for r in depth.shortest_tree(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()} == {("a", None, 0), ("b", "a", 1), ("c", "b", 2)}
+    assert kept and not [df for df in kept if "next" in df.columns]
