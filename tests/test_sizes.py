@@ -129,3 +129,18 @@ def test_trees_keep_no_table_of_all_steps(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("d", "c"), ("far", "out"), ("c", None)], "source string, target string")
     assert {tuple(r) for r in depth.shortest_tree(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()} == {("a", None, 0), ("b", "a", 1), ("c", "b", 2)}
     assert kept and not [df for df in kept if "next" in df.columns]
+
+
+def test_a_shortest_path_is_walked_from_both_ends(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    pairs = [("a", "m"), ("a", "k"), ("m", "p"), ("k", "p"), ("k", "q"), ("q", "z"), ("p", "z"), ("z", "end"), ("a", None)] + [("z", "h")] + [("h", f"leaf{k}") for k in range(50)] + [("one", "two")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    path = lambda a, b: [r.node for r in traverse.shortest_path(edges, a, b).orderBy("step").collect()]
+    assert path("a", "end") == ["a", "k", "p", "z", "end"]
+    assert path("end", "a") == ["end", "z", "p", "k", "a"]
+    assert path("a", "k") == ["a", "k"] and path("a", "a") == ["a"] and path("a", "one") == path("a", "nowhere") == []
+    kept.clear()
+    traverse.shortest_path(edges, "end", "a")
+    assert not [r.node for df in kept for r in df.collect() if r.node.startswith("leaf")]
