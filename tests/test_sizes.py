@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from skarn import catalog_code
+from skarn import catalog_code, catalog_more
 from skarn.functions import filters, scalars, text
 from skarn.operators import community, depth, traverse
 from skarn.plans import adapters
@@ -144,3 +144,11 @@ def test_a_shortest_path_is_walked_from_both_ends(spark, monkeypatch):
     kept.clear()
     traverse.shortest_path(edges, "end", "a")
     assert not [r.node for df in kept for r in df.collect() if r.node.startswith("leaf")]
+
+
+def test_risks_copy_no_stored_table(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df: kept.append(df.columns) or settled(df))
+    assert not catalog_more._risks(spark, SMALL).isEmpty()
+    assert kept and not [c for c in kept if "kind" in c]
