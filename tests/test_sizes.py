@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn import catalog_code, catalog_more
 from skarn.functions import filters, scalars, text
-from skarn.operators import community, depth, traverse
+from skarn.operators import community, depth, graph, reports, traverse
 from skarn.plans import adapters
 
 from .conftest import SMALL
@@ -152,3 +152,31 @@ def test_risks_copy_no_stored_table(spark, monkeypatch):
     monkeypatch.setattr(traverse, "settled", lambda df: kept.append(df.columns) or settled(df))
     assert not catalog_more._risks(spark, SMALL).isEmpty()
     assert kept and not [c for c in kept if "kind" in c]
+
+
+def test_spans_of_lines_meet_changed_ranges_once(spark, monkeypatch):
+    met = []
+    binned = graph.binned
+    monkeypatch.setattr(graph, "binned", lambda df, *ends: met.append(df) or binned(df, *ends))
+    rows = [(f"f{k}", "a.py", 10, 70 if k % 2 else 20) for k in range(40)] + [("back", "a.py", 9, 3), ("b", "b.py", 10, 70), ("f0", "a.py", 10, 20), ("none", None, 10, 70)]
+    nodes = spark.createDataFrame(rows, "qualified_name string, file_path string, line_start int, line_end int")
+    ranges = spark.createDataFrame([("a.py", 60, 66), ("a.py", 21, 30), (None, 1, 99)], "file_path string, start int, stop int")
+    got = [r.qualified_name for r in graph.range_overlap(nodes, ranges).collect()]
+    assert sorted(got) == sorted(f"f{k}" for k in range(1, 40, 2))
+    assert met[0].count() == 4
+
+
+def test_a_report_of_changes_follows_the_flows_through_them_alone(spark, monkeypatch):
+    kept = []
+    settled = traverse.settled
+    monkeypatch.setattr(traverse, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    rows = [(n, "Function", n, "a.py", n == "t", k % 2) for k, n in enumerate(["a", "b", "c", "x", "y", "t"])]
+    nodes = spark.createDataFrame(rows, "qualified_name string, kind string, name string, file_path string, is_test boolean, community_id int")
+    edges = spark.createDataFrame([("CALLS", "a", "x"), ("CALLS", "x", "y"), ("CALLS", "b", "x"), ("CALLS", "c", "t"), ("TESTED_BY", "y", "t")], "kind string, source string, target string")
+    through = traverse.flows(nodes, edges, through=spark.createDataFrame([("y",)], "node string"))
+    assert {r.entry for r in through.collect()} == {"a", "b"}
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 0.125)], "entry string, criticality double")
+    of = spark.createDataFrame([("y",), ("x",)], "qualified_name string")
+    risks = lambda members, some: {tuple(r) for r in reports.risk(nodes, edges, members.join(scores, "entry"), reports.tests_near(edges), some).collect()}
+    every = risks(traverse.flows(nodes, edges), None)
+    assert len(every) == 6 and risks(through, of) == {r for r in every if r[0] in ("x", "y")}
