@@ -180,3 +180,17 @@ def test_a_report_of_changes_follows_the_flows_through_them_alone(spark, monkeyp
     risks = lambda members, some: {tuple(r) for r in reports.risk(nodes, edges, members.join(scores, "entry"), reports.tests_near(edges), some).collect()}
     every = risks(traverse.flows(nodes, edges), None)
     assert len(every) == 6 and risks(through, of) == {r for r in every if r[0] in ("x", "y")}
+
+
+def test_edges_are_not_sorted_to_meet_nodes(spark):
+    nodes = spark.createDataFrame([("a", "Class", "x.py", False, 1), ("b", "Function", "y.md", True, 2), ("c", "Function", "x.py", False, None)], "qualified_name string, kind string, file_path string, is_test boolean, community_id int")
+    edges = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "a", "c"), ("CONTAINS", "c", "a"), ("CALLS", "a", "out")], "kind string, source string, target string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = graph.surprising(nodes, edges, 5)
+        assert [tuple(r) for r in scored.collect()] == [("CALLS", "a", "b", 0.8), ("CALLS", "a", "c", 0.15)]
+        for df in (scored,):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
