@@ -187,9 +187,10 @@ def test_edges_are_not_sorted_to_meet_nodes(spark):
     edges = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "a", "c"), ("CONTAINS", "c", "a"), ("CALLS", "a", "out")], "kind string, source string, target string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scored = graph.surprising(nodes, edges, 5)
+        scored, files = graph.surprising(nodes, edges, 5), graph.roll_up(nodes, edges)
         assert [tuple(r) for r in scored.collect()] == [("CALLS", "a", "b", 0.8), ("CALLS", "a", "c", 0.15)]
-        for df in (scored,):
+        assert [tuple(r) for r in files.collect()] == [("x.py", "y.md", 1)]
+        for df in (scored, files):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     finally:
