@@ -195,3 +195,12 @@ def test_edges_are_not_sorted_to_meet_nodes(spark):
             assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_made_distinct_as_numbers_once(spark, monkeypatch):
+    kept = []
+    settled = catalog_code.settled
+    monkeypatch.setattr(catalog_code, "settled", lambda df: kept.append(df) or settled(df))
+    project = catalog_code._project(spark, SMALL)
+    assert [k for df in kept for k in keys_of_plan(df) if "l_partkey" in k] and not [k for df in kept for k in keys_of_plan(df) if "concat" in k or "as string" in k]
+    assert not [f for f in project["imports"].inputFiles() if "lineitem" in f]
