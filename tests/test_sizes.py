@@ -2,9 +2,10 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from skarn import catalog_code, catalog_more
+from skarn import catalog, catalog_code, catalog_more
 from skarn.functions import filters, scalars, text
 from skarn.operators import community, depth, graph, reports, traverse
 from skarn.plans import adapters
@@ -81,6 +82,18 @@ def test_a_body_is_split_and_its_indent_found_once(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
 
 
+def test_odd_texts_and_sizes_are_hashed_as_the_sql_says(spark, tmp_path):
+    texts = [None, "", "a", "a\n", "a\n\n", "\n", "\n\n", "  ", " \n\t\n ", "  a\n    b\n\n  c\n", "     \n  x", "a\n  ", "a\n\r", "a\r\nb\r\n", "a\n\u2028", "\n a\n ", "\ta\n  b"]
+    sizes = [None, -1, 0, 1023, 1024, 3328, 1_048_575, 1_048_576, 1_101_005, 77_194_200_000]
+    rows = [(k, t, len(t or "")) for k, t in enumerate(texts)] + [(1, "x", n) for n in sizes] + [(None, "x", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = db.execute(catalog.oracle_sql()["content_hashes"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["content_hashes"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 def test_a_text_is_read_once_to_be_compressed_and_documents_are_dealt_out(spark, monkeypatch):
     assert str(text.compress(F.col("said"), "ultra")).count("said") == 1
     monkeypatch.setattr(adapters, "tasks_for", lambda *_: 9)
